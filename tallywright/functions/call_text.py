@@ -189,6 +189,14 @@ def extract_calls_json_and_text(response: Column, nested: bool = False) -> Colum
     return F.concat(from_json, calls_in_text(response, typed=False))
 
 
+def is_one_json_value(text: Column) -> Column:
+    """The whole text is one JSON value. Spark's parser alone would ignore text after it."""
+    in_list = F.try_parse_json(F.concat(F.lit("["), text, F.lit("]")))
+    in_object = F.try_parse_json(F.concat(F.lit('{"v":'), text, F.lit("}")))
+    alone = F.try_variant_get(in_list, "$[1]", "variant").isNull()
+    return in_list.isNotNull() & in_object.isNotNull() & alone
+
+
 def extract_calls_tiered(response: Column, nested: bool = False) -> Column:
     """Flat JSON objects; else the whole answer as JSON; else ``word(...)`` of known functions."""
     item = "struct<function_name:string,parameters:variant>"
@@ -208,9 +216,10 @@ def extract_calls_tiered(response: Column, nested: bool = False) -> Column:
     flat = F.transform(
         F.regexp_extract_all(response, F.lit(pattern), F.lit(0)), lambda m: F.from_json(m, item)
     )
+    start = F.substring(strip(response), 1, 1)
     whole = F.when(
-        F.ltrim(response).startswith("["), F.from_json(response, f"array<{item}>")
-    ).when(F.ltrim(response).startswith("{"), F.array(F.from_json(response, item)))
+        (start == "[") & is_one_json_value(response), F.from_json(response, f"array<{item}>")
+    ).when((start == "{") & is_one_json_value(response), F.array(F.from_json(response, item)))
     tiers = [
         to_calls(flat),
         F.coalesce(to_calls(whole), no_calls()),

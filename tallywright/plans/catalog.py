@@ -418,9 +418,7 @@ def _(spark, sf):
     register_facts({"budget_outlays": view(spark, sf, "fx_budget_outlays")})
     answers = view(spark, sf, "fx_sql_responses").select(sql_text.extract_sql_block(F.col("content")).alias("sql"))
     _status, rows = run_statements(answers)
-    return rows.groupBy("sql_id").agg(F.count("*").alias("n_rows"), F.max("pos").alias("last_pos")).select(
-        "n_rows", "last_pos"
-    )
+    return rows.groupBy("sql_id").agg(F.count("*").alias("n_rows"), F.max("pos").alias("last_pos"))
 
 
 @query("m2_ordered_equality")
@@ -852,9 +850,9 @@ def _(spark, sf):
     return reduce(lambda a, b: a.unionByName(b), parts)
 
 
-def _patterns(spark: SparkSession, sf: str, kind: str, horizon: str = "long_term") -> DataFrame:
+def _patterns(spark: SparkSession, sf: str, kind: str, horizon: str = "long_term", confidence: float = 0.95) -> DataFrame:
     df = view(spark, sf, "fx_time_series_data")
-    return economics.identify_patterns(df, kind, ["BLS", "BEA", "OMB"], horizon)
+    return economics.identify_patterns(df, kind, ["BLS", "BEA", "OMB"], horizon, confidence)
 
 
 @query("d5_seasonal")
@@ -864,7 +862,7 @@ def _(spark, sf):
 
 @query("d5_anomaly")
 def _(spark, sf):
-    return _patterns(spark, sf, "anomaly", "medium_term")
+    return _patterns(spark, sf, "anomaly", "medium_term", 0.9)
 
 
 @query("d5_cyclical")
