@@ -9,11 +9,11 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tallywright.functions.text import ordered_lookup, strip, strip_chars
+from tallywright.functions.text import once, ordered_lookup, strip, strip_chars
 from tallywright.functions.values import (
     ARGS,
     CALLS,
-    argument_from_text,
+    arguments_from_text,
     arguments_from_variant_map,
     kind_of_digits,
     kind_of_text,
@@ -42,11 +42,11 @@ PLAIN_FUNCTIONS = list(REQUIRED_KEYS)
 # A call's parentheses never span lines, so "up to the first )" is [^)\n]*. The
 # look-behind starts a name only at its first letter: same matches, linear time.
 CALL = r"(?<!\w)(\w++)\((?:[^)\n]*+)\)"
-CALL_PARTS = r"^(\w+)\(([^)\n]*)\)"
+PLAIN_PATTERN = r"(?<!\w)(\w++)\s*+\(([^)\n]*+)\)"
 LABELLED_PATTERNS = [
     r"(?i)Function:\s*(\w+)\s*\nParameters:\s*([^\n]+)",
     r"(?i)Function:\s*(\w+)\s*Parameters:\s*([^\n]+)",
-    r"(?i)(?<!\w)(\w++)\s*+\(([^)\n]*)\)",
+    PLAIN_PATTERN,
     r"(?i)call\s+(\w+)\s*\(([^)\n]*)\)",
     r"(?i)use\s+(\w+)\s*\(([^)\n]*)\)",
 ]
@@ -64,83 +64,97 @@ def no_calls() -> Column:
     return F.array().cast(CALLS)
 
 
+def _if_any(calls: Column) -> Column:
+    return F.when(F.size(calls) > 0, calls)
+
+
+def _before(text: Column, mark: str) -> Column:
+    return F.substring_index(text, mark, 1)
+
+
+def _after(text: Column, mark: str) -> Column:
+    return F.substr(text, F.instr(text, mark) + F.lit(1))
+
+
 def keep_last_of_key(args: Column) -> Column:
     """A repeated key keeps its last value. The slow branch runs only where a key repeats."""
 
-    def dedupe(arr: Column) -> Column:
-        keys = F.transform(arr, lambda a: a["key"])
-        later = lambda a, i: F.array_contains(
-            F.slice(keys, i + F.lit(2), F.size(keys)), a["key"]
-        )
-        return F.when(F.size(F.array_distinct(keys)) == F.size(keys), arr).otherwise(
-            F.filter(arr, lambda a, i: ~later(a, i))
+    def keys(arr: Column) -> Column:
+        return F.transform(arr, lambda a: a["key"])
+
+    def last_only(arr: Column) -> Column:
+        return F.filter(
+            arr,
+            lambda a, i: ~F.array_contains(
+                keys(F.slice(arr, i + F.lit(2), F.size(arr))), a["key"]
+            ),
         )
 
-    return F.transform(F.array(args), dedupe)[0]
+    return once(
+        args,
+        lambda arr: F.when(F.size(F.array_distinct(keys(arr))) == F.size(arr), arr).otherwise(
+            last_only(arr)
+        ),
+    )
 
 
-def _typed_pairs(pairs: Column, kind_of) -> Column:
-    """``array<struct<key, value>>`` to typed arguments, one evaluation per step."""
-    kinds = F.transform(
+def _with_kind(pairs: Column, kind_of) -> Column:
+    """``array<struct<key, value>>`` with the kind of each value added."""
+    return F.transform(
         pairs,
         lambda p: F.struct(
             p["key"].alias("key"), p["value"].alias("value"), kind_of(p["value"]).alias("kind")
         ),
     )
-    return kinds
+
+
+def _key_and_value(pair: Column) -> Column:
+    """Split a written pair at its first ``=``; quotes around the value are dropped."""
+    return F.struct(
+        strip(_before(pair, "=")).alias("key"),
+        strip_chars(strip(_after(pair, "=")), "\"'").alias("value"),
+    )
 
 
 def parse_labelled_parameters(params: Column) -> Column:
     """``key = value`` pairs, typed; the first malformed number drops its own and all later pairs."""
-    pairs = F.transform(
-        F.regexp_extract_all(params, F.lit(PARAMETER), F.lit(0)),
-        lambda m: F.struct(
-            F.regexp_extract(m, PARAMETER, 1).alias("key"),
-            strip(strip_chars(strip(F.regexp_extract(m, PARAMETER, 2)), "\"'")).alias("value"),
-        ),
-    )
+
+    def read(pair: Column) -> Column:
+        both = _key_and_value(pair)
+        return F.struct(both["key"].alias("key"), strip(both["value"]).alias("value"))
 
     def cut(arr: Column) -> Column:
-        kinds = F.transform(arr, lambda a: a["kind"])
-        first_bad = F.array_position(kinds, "bad").cast("int")
-        return F.when(first_bad == 0, arr).otherwise(F.filter(arr, lambda a, i: i + 1 < first_bad))
+        first_bad = F.array_position(F.transform(arr, lambda a: a["kind"]), "bad").cast("int")
+        return once(
+            first_bad,
+            lambda n: F.when(n == 0, arr).otherwise(F.slice(arr, F.lit(1), n - F.lit(1))),
+        )
 
-    kept = F.transform(F.array(_typed_pairs(pairs, kind_of_text)), cut)[0]
-    return keep_last_of_key(
-        F.transform(kept, lambda a: argument_from_text(a["key"], a["kind"], a["value"]))
-    )
+    pairs = F.transform(F.regexp_extract_all(params, F.lit(PARAMETER), F.lit(0)), read)
+    return keep_last_of_key(arguments_from_text(once(_with_kind(pairs, kind_of_text), cut)))
 
 
 def parse_plain_arguments(params: Column, typed: bool) -> Column:
     """Comma-separated ``key=value`` pairs; pieces without ``=`` are skipped."""
-    pieces = F.filter(F.split(params, ","), lambda p: p.contains("="))
     pairs = F.transform(
-        pieces,
-        lambda p: F.struct(
-            strip(F.substring_index(p, "=", 1)).alias("key"),
-            strip_chars(
-                strip(F.substr(p, F.instr(p, "=") + F.lit(1))), "\"'"
-            ).alias("value"),
-        ),
+        F.filter(F.split(params, ","), lambda p: p.contains("=")), _key_and_value
     )
     kind_of = kind_of_digits if typed else (lambda v: F.lit("str"))
-    return keep_last_of_key(
-        F.transform(
-            _typed_pairs(pairs, kind_of),
-            lambda a: argument_from_text(a["key"], a["kind"], a["value"]),
-        )
+    return keep_last_of_key(arguments_from_text(_with_kind(pairs, kind_of)))
+
+
+def _name_and_params(match: Column) -> Column:
+    """Split ``name (params)`` at its parenthesis."""
+    inner = _after(match, "(")
+    return F.struct(
+        strip(_before(match, "(")).alias("name"),
+        F.substr(inner, F.lit(1), F.length(inner) - F.lit(1)).alias("params"),
     )
 
 
 def calls_in_text(response: Column, typed: bool, names: list[str] | None = None) -> Column:
     """Every ``word(...)``, or only those whose word is one of ``names``."""
-    parts = F.transform(
-        F.regexp_extract_all(response, F.lit(CALL), F.lit(0)),
-        lambda m: F.struct(
-            F.regexp_extract(m, CALL_PARTS, 1).alias("name"),
-            F.regexp_extract(m, CALL_PARTS, 2).alias("params"),
-        ),
-    )
+    parts = F.transform(F.regexp_extract_all(response, F.lit(CALL), F.lit(0)), _name_and_params)
     if names is not None:
         parts = F.filter(parts, lambda p: p["name"].isin(*names))
     return F.transform(
@@ -218,16 +232,18 @@ def extract_calls_tiered(response: Column, nested: bool = False) -> Column:
     )
     start = F.substring(strip(response), 1, 1)
     whole = F.when(
-        (start == "[") & is_one_json_value(response), F.from_json(response, f"array<{item}>")
-    ).when((start == "{") & is_one_json_value(response), F.array(F.from_json(response, item)))
+        start.isin("[", "{") & is_one_json_value(response),
+        F.when(start == "[", F.from_json(response, f"array<{item}>")).otherwise(
+            F.array(F.from_json(response, item))
+        ),
+    )
     tiers = [
         to_calls(flat),
         F.coalesce(to_calls(whole), no_calls()),
         calls_in_text(response, typed=True, names=PLAIN_FUNCTIONS),
     ]
     # coalesce stops at the first tier that found something
-    found = [F.transform(F.array(t), lambda c: F.when(F.size(c) > 0, c))[0] for t in tiers]
-    return F.coalesce(*found, no_calls())
+    return F.coalesce(*[once(t, _if_any) for t in tiers], no_calls())
 
 
 def default_arguments(name: Column) -> Column:
@@ -258,13 +274,15 @@ def extract_calls_labelled(response: Column, dedupe: bool = False) -> Column:
     """
 
     def under(pattern: str) -> Column:
-        parts = F.transform(
-            F.regexp_extract_all(response, F.lit(pattern), F.lit(0)),
-            lambda m: F.struct(
-                F.regexp_extract(m, pattern, 1).alias("name"),
-                F.regexp_extract(m, pattern, 2).alias("params"),
-            ),
-        )
+        def split(match: Column) -> Column:
+            if pattern == PLAIN_PATTERN:
+                return _name_and_params(match)
+            return F.struct(
+                F.regexp_extract(match, pattern, 1).alias("name"),
+                F.regexp_extract(match, pattern, 2).alias("params"),
+            )
+
+        parts = F.transform(F.regexp_extract_all(response, F.lit(pattern), F.lit(0)), split)
         return F.filter(parts, lambda p: p["name"].isin(*LABELLED_FUNCTIONS))
 
     written = F.transform(
@@ -275,8 +293,7 @@ def extract_calls_labelled(response: Column, dedupe: bool = False) -> Column:
     ).cast(CALLS)
     if dedupe:
         written = F.array_distinct(written)
-    found = F.transform(F.array(written), lambda c: F.when(F.size(c) > 0, c))[0]
-    return F.coalesce(found, mentioned_calls(response))
+    return F.coalesce(once(written, _if_any), mentioned_calls(response))
 
 
 def argument_of(args: Column, key: str) -> Column:
@@ -286,12 +303,23 @@ def argument_of(args: Column, key: str) -> Column:
 
 def with_defaults(call: Column) -> Column:
     """The call's arguments, completed by the function's defaults for keys it leaves out."""
-    given = call["args"]
-    keys = F.transform(given, lambda a: a["key"])
-    missing = F.filter(
-        default_arguments(call["name"]), lambda d: ~F.array_contains(keys, d["key"])
+
+    def complete(c: Column) -> Column:
+        missing = F.filter(
+            default_arguments(c["name"]),
+            lambda d: ~F.exists(c["args"], lambda a: a["key"] == d["key"]),
+        )
+        return F.concat(c["args"], missing)
+
+    return once(call, complete)
+
+
+def argument_or_default(name: Column, args: Column, key: str) -> Column:
+    """Text of an argument, or of the function's default where the call leaves it out."""
+    defaults = {f: F.lit(str(d[key])) for f, d in FUNCTION_DEFAULTS.items() if key in d}
+    return F.coalesce(
+        argument_of(args, key)["sval"], ordered_lookup(name, defaults, F.lit(None).cast("string"))
     )
-    return F.concat(given, missing)
 
 
 def well_formed(call: Column) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -36,3 +38,12 @@ def ordered_lookup(key: Column, table: dict[str, Column], default: Column) -> Co
     for name, value in table.items():
         out = F.when(key == name, value) if out is None else out.when(key == name, value)
     return default if out is None else out.otherwise(default)
+
+
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with ``value`` computed a single time, however often ``use`` names it.
+
+    Inside lambdas Spark evaluates a repeated expression each time it appears; a lambda
+    variable is evaluated once.
+    """
+    return F.transform(F.array(value), use)[0]

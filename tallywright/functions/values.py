@@ -34,11 +34,10 @@ INT_TEXT = r"^\s*[+-]?\d+\s*$"
 
 def argument(key: Column, kind: Column, sval: Column, nval: Column) -> Column:
     """Assemble one argument, deriving its equality token."""
-    number = F.when(
-        (kind == "int") & (F.abs(nval) >= EXACT_INT_LIMIT), F.concat(F.lit("n:"), sval)
-    ).otherwise(F.concat(F.lit("n:"), (nval + F.lit(0.0)).cast("string")))
-    token = F.when(kind.isin("int", "float", "bool"), number).otherwise(
-        F.concat(kind, F.lit(":"), sval)
+    token = (
+        F.when(nval.isNull(), F.concat(kind, F.lit(":"), sval))
+        .when((kind == "int") & (F.abs(nval) >= EXACT_INT_LIMIT), F.concat(F.lit("n:"), sval))
+        .otherwise(F.concat(F.lit("n:"), (nval + F.lit(0.0)).cast("string")))
     )
     return F.struct(
         key.alias("key"),
@@ -49,23 +48,18 @@ def argument(key: Column, kind: Column, sval: Column, nval: Column) -> Column:
     )
 
 
-def literal_argument(key: str, value: object) -> Column:
-    """A fixed argument, for defaults and expected calls that are constants."""
-    if isinstance(value, bool):
-        kind, number = "bool", float(value)
-    elif isinstance(value, int):
-        kind, number = "int", float(value)
-    elif isinstance(value, float):
-        kind, number = "float", value
-    elif value is None:
-        kind, number = "null", None
-    else:
-        kind, number = "str", None
-    return argument(F.lit(key), F.lit(kind), F.lit(str(value)), F.lit(number).cast("double"))
+def literal_arguments(values: dict[str, object]) -> Column:
+    """Fixed arguments (text and whole numbers), as one constant."""
 
+    def one(key: str, value: str | int) -> str:
+        if isinstance(value, str):
+            rest = f"'str', '{value}', CAST(NULL AS DOUBLE), 'str:{value}'"
+        else:
+            rest = f"'int', '{value}', {value}D, 'n:{float(value)}'"
+        kind, sval, nval, tok = rest.split(", ")
+        return f"named_struct('key', '{key}', 'kind', {kind}, 'sval', {sval}, 'nval', {nval}, 'tok', {tok})"
 
-def literal_arguments(values: dict[str, object]) -> Column:
-    return F.array(*[literal_argument(k, v) for k, v in values.items()]).cast(ARGS)
+    return F.expr(f"array({', '.join(one(k, v) for k, v in values.items())})").cast(ARGS)
 
 
 def kind_of_text(value: Column) -> Column:
@@ -95,60 +89,84 @@ def canonical_int(value: Column) -> Column:
     return F.when(text == "-0", "0").otherwise(text)
 
 
-def argument_from_text(key: Column, kind: Column, value: Column) -> Column:
-    number = F.when(kind.isin("int", "float"), value.try_cast("double")).when(
-        kind == "bool", (F.lower(value) == "true").cast("double")
-    )
-    text = (
-        F.when(kind == "int", canonical_int(value))
-        .when(kind == "float", value.try_cast("double").cast("string"))
-        .when(kind == "bool", F.initcap(F.lower(value)))
-        .when(kind == "null", "None")
-        .otherwise(value)
-    )
-    return argument(key, kind, text, number)
+def _finished(raw: Column) -> Column:
+    """``array<struct<key, kind, text, number>>`` to typed arguments."""
+    return F.transform(raw, lambda r: argument(r["key"], r["kind"], r["text"], r["number"]))
 
 
-def argument_from_variant(key: Column, value: Column) -> Column:
-    """Typed argument from a JSON value; JSON's own types decide the kind."""
-    schema = F.schema_of_variant(value)
-    kind = (
-        F.when(schema == "BIGINT", "int")
-        .when(schema.rlike(r"^DECIMAL\((19|[23]\d),0\)$"), "int")
-        .when(schema.startswith("DECIMAL") | (schema == "DOUBLE"), "float")
+def arguments_from_text(pairs: Column) -> Column:
+    """``array<struct<key, value, kind>>`` of written values to typed arguments."""
+
+    def read(p: Column) -> Column:
+        kind, value = p["kind"], p["value"]
+        number = F.when(kind.isin("int", "float"), value.try_cast("double")).when(
+            kind == "bool", (F.lower(value) == "true").cast("double")
+        )
+        text = (
+            F.when(kind == "str", value)
+            .when(kind == "int", canonical_int(value))
+            .when(kind == "float", value.try_cast("double").cast("string"))
+            .when(kind == "bool", F.initcap(value))
+            .otherwise("None")
+        )
+        return F.struct(p["key"].alias("key"), kind.alias("kind"), text.alias("text"), number.alias("number"))
+
+    return _finished(F.transform(pairs, read))
+
+
+def kind_of_json(schema: Column) -> Column:
+    """Kind of a JSON value from its schema text. Whole numbers beyond 64 bits are decimals there."""
+    return (
+        F.when(schema == "STRING", "str")
+        .when(schema == "BIGINT", "int")
+        .when(schema == "DOUBLE", "float")
         .when(schema == "BOOLEAN", "bool")
-        .when(schema == "STRING", "str")
         .when(schema.isNull() | (schema == "VOID"), "null")
+        .when(schema.rlike(r"^DECIMAL\((19|[23]\d),0\)$"), "int")
+        .when(schema.startswith("DECIMAL"), "float")
         .otherwise("json")
     )
-    text = F.try_variant_get(value, "$", "string")
-    number = F.try_variant_get(value, "$", "double")
-    return F.struct(key.alias("key"), kind.alias("kind"), text.alias("text"), number.alias("number"))
 
 
 def arguments_from_variant_map(entries: Column) -> Column:
     """``map<string, variant>`` to typed arguments (empty for a missing map)."""
-    raw = F.transform(
-        F.map_entries(entries), lambda e: argument_from_variant(e["key"], e["value"])
+    seen = F.transform(
+        F.map_entries(entries),
+        lambda e: F.struct(
+            e["key"].alias("key"),
+            e["value"].alias("value"),
+            F.schema_of_variant(e["value"]).alias("schema"),
+        ),
     )
-    typed = F.transform(
-        raw,
-        lambda r: argument(
-            r["key"],
-            r["kind"],
-            F.when(r["kind"] == "bool", F.initcap(r["text"]))
-            .when(r["kind"] == "float", r["number"].cast("string"))
-            .when(r["kind"] == "null", "None")
-            .otherwise(r["text"]),
-            F.when(r["kind"].isin("int", "float", "bool"), r["number"]),
+    known = F.transform(
+        seen,
+        lambda s: F.struct(
+            s["key"].alias("key"),
+            s["value"].alias("value"),
+            kind_of_json(s["schema"]).alias("kind"),
+            F.try_variant_get(s["value"], "$", "string").alias("text"),
         ),
     )
-    return F.coalesce(typed, F.array().cast(ARGS))
+    read = F.transform(
+        known,
+        lambda k: F.struct(
+            k["key"].alias("key"),
+            k["kind"].alias("kind"),
+            F.when(k["kind"] == "bool", F.initcap(k["text"]))
+            .when(k["kind"] == "null", "None")
+            .when(k["kind"] == "float", k["text"].try_cast("double").cast("string"))
+            .otherwise(k["text"])
+            .alias("text"),
+            F.when(k["kind"] == "bool", (k["text"] == "true").cast("double"))
+            .when(k["kind"].isin("int", "float"), k["text"].try_cast("double"))
+            .alias("number"),
+        ),
+    )
+    return F.coalesce(_finished(read), F.array().cast(ARGS))
 
 
 def strict_match(expected: Column, predicted: Column) -> Column:
     """Equal; or both text, ignoring case; or both numbers within 0.001."""
-    numbers = ("int", "float", "bool")
     return (
         (expected["tok"] == predicted["tok"])
         | (
@@ -156,27 +174,21 @@ def strict_match(expected: Column, predicted: Column) -> Column:
             & (predicted["kind"] == "str")
             & (F.lower(expected["sval"]) == F.lower(predicted["sval"]))
         )
-        | (
-            expected["kind"].isin(*numbers)
-            & predicted["kind"].isin(*numbers)
-            & (F.abs(expected["nval"] - predicted["nval"]) < STRICT_TOLERANCE)
-        )
+        | F.coalesce(F.abs(expected["nval"] - predicted["nval"]) < STRICT_TOLERANCE, F.lit(False))
     )
 
 
 def as_float(value: Column) -> Column:
-    return F.when(value["kind"].isin("int", "float", "bool"), value["nval"]).when(
-        (value["kind"] == "str") & value["sval"].rlike(FLOAT_TEXT),
-        strip(value["sval"]).try_cast("double"),
+    return F.when(value["kind"] != "str", value["nval"]).when(
+        value["sval"].rlike(FLOAT_TEXT), strip(value["sval"]).try_cast("double")
     )
 
 
 def as_int(value: Column) -> Column:
     """What Python's ``int()`` makes of the value: numbers are cut toward zero."""
     cut = F.signum(value["nval"]) * F.floor(F.abs(value["nval"]))
-    return F.when(value["kind"].isin("int", "float", "bool"), cut).when(
-        (value["kind"] == "str") & value["sval"].rlike(INT_TEXT),
-        strip(value["sval"]).try_cast("double"),
+    return F.when(value["kind"] != "str", cut).when(
+        value["sval"].rlike(INT_TEXT), strip(value["sval"]).try_cast("double")
     )
 
 

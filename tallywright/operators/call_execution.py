@@ -13,7 +13,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallywright.functions.call_text import argument_of, with_defaults
+from tallywright.functions.call_text import argument_or_default
+from tallywright.functions.text import once
 
 SERIES_FUNCTIONS = ["get_cpi_data", "get_employment_cost_index", "get_productivity_data"]
 ALL_INDUSTRIES = "ALL"
@@ -32,38 +33,30 @@ def fact_coverage(time_series: DataFrame, industry_gdp: DataFrame, regional: Dat
     return years.groupBy("domain", "key").agg(F.collect_list("year").alias("years"))
 
 
-def _year(args: Column, key: str) -> Column:
-    return argument_of(args, key)["sval"].try_cast("int")
-
-
 def call_request(call: Column) -> Column:
     """What a call asks the facts for; ``ok`` says that it can be run at all."""
-    full = with_defaults(call)
-    staged = F.transform(F.array(full), lambda a: _request(call["name"], a))
-    return staged[0]
+    name, args = call["name"], call["args"]
 
+    def text(key: str) -> Column:
+        return argument_or_default(name, args, key)
 
-def _request(name: Column, args: Column) -> Column:
     series = name.isin(*SERIES_FUNCTIONS)
-    domain = (
-        F.when(series, "series")
-        .when(name == "get_gdp_by_industry", "industry")
-        .when(name == "get_regional_income", "state")
-    )
-    key = (
-        F.when(series, argument_of(args, "series_id")["sval"])
-        .when(name == "get_gdp_by_industry", argument_of(args, "industry")["sval"])
-        .when(name == "get_regional_income", argument_of(args, "state")["sval"])
+    industry, state = name == "get_gdp_by_industry", name == "get_regional_income"
+    asked = F.struct(
+        F.when(series, "series").when(industry, "industry").when(state, "state").alias("domain"),
+        F.when(series, text("series_id"))
+        .when(industry, text("industry"))
+        .when(state, text("state"))
+        .alias("key"),
+        F.when(series, text("start_year")).otherwise(text("year")).try_cast("int").alias("low"),
+        F.when(series, text("end_year")).otherwise(text("year")).try_cast("int").alias("high"),
     )
-    low = F.when(series, _year(args, "start_year")).otherwise(_year(args, "year"))
-    high = F.when(series, _year(args, "end_year")).otherwise(_year(args, "year"))
-    ok = domain.isNotNull() & low.isNotNull() & high.isNotNull()
-    return F.struct(
-        domain.alias("domain"),
-        key.alias("key"),
-        low.alias("low"),
-        high.alias("high"),
-        ok.alias("ok"),
+    return once(
+        asked,
+        lambda r: F.struct(
+            *[r[f].alias(f) for f in ("domain", "key", "low", "high")],
+            (r["domain"].isNotNull() & r["low"].isNotNull() & r["high"].isNotNull()).alias("ok"),
+        ),
     )
 
 
@@ -80,21 +73,32 @@ def execution_success(requests: Column) -> Column:
 def result_accuracy(df: DataFrame, coverage: DataFrame, keys: list[str]) -> DataFrame:
     """Add ``result``: the share of a row's calls that find at least one fact row.
 
-    ``keys`` identify a row of ``df``, which carries ``requests``. Only requests that can
-    find anything take part in the join; ``df`` itself is joined back on its keys.
+    ``keys`` identify a row of ``df``, which carries ``requests``. Each row is spread into
+    its requests, looked up, and put together again by one aggregation on ``keys``. The
+    row itself travels with its first request only, so it is shuffled once and the calls
+    are extracted once. Rows that ask for nothing get a key of their own that matches no
+    fact, which keeps them evenly spread should the join have to shuffle.
     """
-    asked = (
-        df.select(*keys, F.explode("requests").alias("r"))
-        .where("r.ok")
-        .select(*keys, "r.domain", "r.key", "r.low", "r.high")
+    rest = [c for c in df.columns if c not in keys]
+    spread = df.select(*keys, F.struct(*rest).alias("_row"), F.posexplode_outer("requests").alias("_pos", "_r"))
+    alone = F.concat(F.lit("none:"), F.xxhash64(*keys).cast("string"))
+    asked = spread.select(
+        *keys,
+        F.when(F.coalesce("_pos", F.lit(0)) == 0, F.col("_row")).alias("_row"),
+        F.when(F.col("_r.ok"), F.col("_r.domain")).otherwise("none").alias("_domain"),
+        F.when(F.col("_r.ok"), F.col("_r.key")).otherwise(alone).alias("_key"),
+        F.col("_r.low").alias("_low"),
+        F.col("_r.high").alias("_high"),
     )
-    facts = coverage.withColumnsRenamed({"key": "_key", "domain": "_domain"})
-    hits = (
-        asked.join(facts, (F.col("domain") == F.col("_domain")) & (F.col("key") == F.col("_key")))
-        .where(F.exists("years", lambda y: y.between(F.col("low"), F.col("high"))))
+    found = F.exists("years", lambda y: y.between(F.col("_low"), F.col("_high")))
+    together = (
+        asked.join(coverage, (F.col("_domain") == F.col("domain")) & (F.col("_key") == F.col("key")), "left")
         .groupBy(*keys)
-        .agg(F.count("*").alias("_found"))
+        .agg(
+            F.first("_row", ignorenulls=True).alias("_row"),
+            F.count_if(F.coalesce(found, F.lit(False))).alias("_found"),
+        )
     )
-    calls = F.size("requests")
-    share = F.when(calls == 0, 0.0).otherwise(F.coalesce("_found", F.lit(0)) / calls)
-    return df.join(hits, keys, "left").withColumn("result", share).drop("_found")
+    calls = F.size("_row.requests")
+    share = F.when(calls == 0, 0.0).otherwise(F.col("_found") / calls)
+    return together.select(*keys, "_row.*", share.alias("result"))

@@ -71,10 +71,11 @@ def _similarity(e: Column, p: Column) -> Column:
         )
     )
     matched = F.size(F.array_intersect(e["pairs"], p["pairs"])) + nulls
+    either = F.size(e["keys"]) + F.size(p["keys"]) - F.size(F.array_intersect(e["keys"], p["keys"]))
     args = (
         F.when((F.size(e["keys"]) == 0) & (F.size(p["keys"]) == 0), 1.0)
         .when((F.size(e["keys"]) == 0) | (F.size(p["keys"]) == 0), 0.0)
-        .otherwise(matched / F.size(F.array_union(e["keys"], p["keys"])))
+        .otherwise(matched / either)
     )
     return F.when(e["name"] == p["name"], 0.5).otherwise(0.0) + 0.5 * args
 
@@ -102,14 +103,20 @@ def call_match(df: DataFrame, predicted: str = "predicted", expected: str = "exp
     best = F.transform(
         e, lambda x: F.array_max(F.transform(distinct, lambda y: _similarity(x, y)))
     )
-    partial = F.when(_none(e) | _none(distinct), 0.0).otherwise(_mean(best))
+    # Calls that match exactly score 1 without comparing pairs.
+    partial = (
+        F.when(_none(e) | _none(distinct), 0.0)
+        .when(F.col("is_exact"), 1.0)
+        .otherwise(_mean(best))
+    )
     exact = (
         F.when(_none(e), ~_none(p))
         .when(F.size(p) != F.size(e), False)
         .otherwise(in_name_order(p) == in_name_order(e))
     )
     return (
-        sig.withColumns({"is_exact": exact, "partial_score": partial})
+        sig.withColumn("is_exact", exact)
+        .withColumn("partial_score", partial)
         .withColumn("match_score", F.when(F.col("is_exact"), 1.0).otherwise(F.col("partial_score")))
         .drop("_p", "_e", "_distinct")
     )

@@ -180,8 +180,8 @@ _add("s11_results_csv", f"SELECT {_STORED} FROM fx_eval_results", "fx_eval_resul
 
 # Aggregation
 
-_METRICS = """COUNT(*) AS total_samples, count_if(is_correct) AS correct_samples,
-  round(count_if(is_correct) / COUNT(*), 6) AS accuracy, round(avg(score), 6) AS average_score,
+_METRICS = """COUNT(*) AS total_samples, COUNT(CASE WHEN is_correct THEN 1 END) AS correct_samples,
+  round(COUNT(CASE WHEN is_correct THEN 1 END) / COUNT(*), 6) AS accuracy, round(avg(score), 6) AS average_score,
   round(avg(execution_time), 6) AS average_execution_time"""
 _ERROR_RATE = "round(COUNT(error_message) / COUNT(*), 6) AS error_rate"
 _LEVEL = """CASE WHEN grouping(evaluation_type) = 1 AND grouping(difficulty) = 1 THEN 'overall'
@@ -197,13 +197,13 @@ UNION ALL SELECT unnest(['### ' || upper(k), '- Samples: ' || n, printf('- Accur
 UNION ALL SELECT printf('  - %s: %.2f%%', k, 100.0 * er) FROM m WHERE k IN ('sql', 'function')""",
     "fx_eval_results",
     ctes="""stacked AS (SELECT 'all' AS k, * FROM fx_eval_results UNION ALL SELECT evaluation_type, * FROM fx_eval_results UNION ALL SELECT difficulty, * FROM fx_eval_results),
-m AS (SELECT k, COUNT(*) AS n, count_if(is_correct) AS c, round(count_if(is_correct) / COUNT(*), 6) AS acc, round(avg(score), 6) AS s,
+m AS (SELECT k, COUNT(*) AS n, COUNT(CASE WHEN is_correct THEN 1 END) AS c, round(COUNT(CASE WHEN is_correct THEN 1 END) / COUNT(*), 6) AS acc, round(avg(score), 6) AS s,
   round(avg(execution_time), 6) AS t, round(COUNT(error_message) / COUNT(*), 6) AS er, COUNT(error_message) AS e FROM stacked GROUP BY k)""",
 )
 _add(
     "s13_stored_runs",
-    """SELECT run_id, COUNT(*) AS total_samples, count_if(is_correct) AS passed, COUNT(*) - count_if(is_correct) AS failed,
-  round(count_if(is_correct) / COUNT(*), 6) AS success_rate, round(avg(score), 6) AS average_score FROM fx_eval_results GROUP BY run_id""",
+    """SELECT run_id, COUNT(*) AS total_samples, COUNT(CASE WHEN is_correct THEN 1 END) AS passed, COUNT(*) - COUNT(CASE WHEN is_correct THEN 1 END) AS failed,
+  round(COUNT(CASE WHEN is_correct THEN 1 END) / COUNT(*), 6) AS success_rate, round(avg(score), 6) AS average_score FROM fx_eval_results GROUP BY run_id""",
     "fx_eval_results",
 )
 _add("a1_overall_metrics", f"SELECT {_METRICS}, {_ERROR_RATE} FROM fx_eval_results", "fx_eval_results")
@@ -251,8 +251,8 @@ FROM patterns) WHERE rank <= 2""",
 )
 _add(
     "a7_pass_summary",
-    """SELECT COUNT(*) AS total_samples, count_if(is_correct) AS passed, COUNT(*) - count_if(is_correct) AS failed,
-  round(count_if(is_correct) / COUNT(*), 6) AS success_rate,
+    """SELECT COUNT(*) AS total_samples, COUNT(CASE WHEN is_correct THEN 1 END) AS passed, COUNT(*) - COUNT(CASE WHEN is_correct THEN 1 END) AS failed,
+  round(COUNT(CASE WHEN is_correct THEN 1 END) / COUNT(*), 6) AS success_rate,
   round(avg(CAST(is_correct AS INT)) FILTER (evaluation_type = 'sql'), 6) AS sql_success_rate,
   round(avg(CAST(is_correct AS INT)) FILTER (evaluation_type = 'function'), 6) AS function_success_rate FROM fx_eval_results""",
     "fx_eval_results",
@@ -264,7 +264,7 @@ _add(
   round(b.s, 6) AS baseline_average_score, round(i.s, 6) AS improved_average_score, round(i.s - b.s, 6) AS average_score_change,
   i.p - b.p AS passed_change FROM runs b JOIN runs i ON b.run_id = 'baseline' AND i.run_id = 'improved'""",
     "fx_eval_results",
-    ctes="runs AS (SELECT run_id, COUNT(*) AS n, count_if(is_correct) AS p, avg(score) AS s FROM fx_eval_results GROUP BY run_id)",
+    ctes="runs AS (SELECT run_id, COUNT(*) AS n, COUNT(CASE WHEN is_correct THEN 1 END) AS p, avg(score) AS s FROM fx_eval_results GROUP BY run_id)",
 )
 _add(
     "a9_token_usage",
@@ -274,16 +274,16 @@ _add(
 )
 _add(
     "a11_model_comparison",
-    """SELECT model, COUNT(DISTINCT sid) AS common_samples, COUNT(*) AS total_samples, count_if(is_correct) AS correct_samples,
+    """SELECT model, COUNT(DISTINCT sid) AS common_samples, COUNT(*) AS total_samples, COUNT(CASE WHEN is_correct THEN 1 END) AS correct_samples,
   round(avg(CAST(is_correct AS INT)), 6) AS accuracy, round(avg(score), 6) AS average_score,
-  CAST(rank() OVER (ORDER BY count_if(is_correct) / COUNT(*) DESC) AS INT) AS rank
+  CAST(rank() OVER (ORDER BY COUNT(CASE WHEN is_correct THEN 1 END) / COUNT(*) DESC) AS INT) AS rank
 FROM r WHERE sid IN (SELECT sid FROM r GROUP BY sid HAVING COUNT(DISTINCT model) = (SELECT COUNT(DISTINCT model) FROM r)) GROUP BY model""",
     "fx_eval_results",
     ctes="r AS (SELECT *, evaluation_type || '|' || difficulty || '|' || strftime(timestamp, '%Y-%m-%d') AS sid FROM fx_eval_results)",
 )
 _add(
     "a12_evaluation_types",
-    """SELECT t.covers, COUNT(*) AS n, count_if(is_correct) AS correct FROM fx_eval_results JOIN
+    """SELECT t.covers, COUNT(*) AS n, COUNT(CASE WHEN is_correct THEN 1 END) AS correct FROM fx_eval_results JOIN
 (VALUES ('sql', 'sql'), ('function', 'function'), ('mixed', 'sql'), ('mixed', 'function'), ('full', 'sql'), ('full', 'function')) AS t(covers, family)
 ON evaluation_type = t.family GROUP BY t.covers""",
     "fx_eval_results",
@@ -774,7 +774,7 @@ _add(
 )
 _add(
     "m21_error_rows",
-    "SELECT error_message, COUNT(*) AS n, count_if(score >= 0.75) AS correct, max(score) AS max_score FROM verdicts WHERE error_message IS NOT NULL GROUP BY 1",
+    "SELECT error_message, COUNT(*) AS n, COUNT(CASE WHEN score >= 0.75 THEN 1 END) AS correct, max(score) AS max_score FROM verdicts WHERE error_message IS NOT NULL GROUP BY 1",
     *_FACTS,
     ctes=_FLAGSHIP,
 )
