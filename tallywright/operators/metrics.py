@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 DIGITS = 6
+MEAN_TYPE = "decimal(18,9)"
 EVALUATION_TYPES = {
     "sql": ["sql"],
     "function": ["function"],
@@ -19,6 +20,11 @@ def _rounded(value: Column) -> Column:
     return F.round(value, DIGITS)
 
 
+def mean(value: Column | str) -> Column:
+    """Mean through exact decimals, so it does not depend on the order of rows."""
+    return F.avg(F.col(value).cast(MEAN_TYPE) if isinstance(value, str) else value.cast(MEAN_TYPE)).cast("double")
+
+
 def _share(part: Column) -> Column:
     return _rounded(F.coalesce(F.try_divide(part, F.count("*")), F.lit(0.0)))
 
@@ -29,8 +35,8 @@ def metric_columns(error_rate: bool = True) -> list[Column]:
         F.count("*").alias("total_samples"),
         F.count_if("is_correct").alias("correct_samples"),
         _share(F.count_if("is_correct")).alias("accuracy"),
-        _rounded(F.avg("score")).alias("average_score"),
-        _rounded(F.avg("execution_time")).alias("average_execution_time"),
+        _rounded(mean("score")).alias("average_score"),
+        _rounded(mean("execution_time")).alias("average_execution_time"),
     ]
     if error_rate:
         out.append(_share(F.count("error_message")).alias("error_rate"))
@@ -104,7 +110,7 @@ def pass_summary(results: DataFrame, *keys: str) -> DataFrame:
         F.count_if("is_correct").alias("passed"),
         (F.count("*") - F.count_if("is_correct")).alias("failed"),
         _share(F.count_if("is_correct")).alias("success_rate"),
-        _rounded(F.avg("score")).alias("average_score"),
+        _rounded(mean("score")).alias("average_score"),
     )
 
 
@@ -141,7 +147,7 @@ def compare_runs(results: DataFrame, baseline: str, improved: str) -> DataFrame:
             F.count_if((F.col("run_id") == r) & F.col("is_correct")).alias(f"{s}_passed")
             for s, r in sides.items()
         ],
-        *[F.avg(of(r, F.col("score"))).alias(f"{s}_score") for s, r in sides.items()],
+        *[mean(of(r, F.col("score"))).alias(f"{s}_score") for s, r in sides.items()],
     )
 
     def rate(side: str) -> Column:
@@ -174,7 +180,7 @@ def token_usage(responses: DataFrame, *keys: str) -> DataFrame:
 def component_means(scores: DataFrame, *keys: str, components: tuple[str, ...] = ("selection", "parameters", "execution", "result")) -> DataFrame:
     return scores.groupBy(*keys).agg(
         F.count("*").alias("total_samples"),
-        *[_rounded(F.avg(c)).alias(f"mean_{c}") for c in components],
+        *[_rounded(mean(c)).alias(f"mean_{c}") for c in components],
     )
 
 
@@ -187,7 +193,7 @@ def model_comparison(results: DataFrame) -> DataFrame:
     per_pair = results.groupBy("sample_id", "model").agg(
         F.count("*").alias("n"),
         F.count_if("is_correct").alias("correct"),
-        F.sum("score").alias("score"),
+        F.sum(F.col("score").cast(MEAN_TYPE)).alias("score"),
     )
     models = results.agg(F.count_distinct("model").alias("n")).select("n").scalar()
     answered_by = F.count("*").over(W.partitionBy("sample_id"))
@@ -200,7 +206,7 @@ def model_comparison(results: DataFrame) -> DataFrame:
             F.sum("n").alias("total_samples"),
             F.sum("correct").alias("correct_samples"),
             (F.sum("correct") / F.sum("n")).alias("_accuracy"),
-            _rounded(F.sum("score") / F.sum("n")).alias("average_score"),
+            _rounded(F.sum("score").cast("double") / F.sum("n")).alias("average_score"),
         )
     )
     # One row per model is left here.

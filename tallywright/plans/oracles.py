@@ -181,8 +181,8 @@ _add("s11_results_csv", f"SELECT {_STORED} FROM fx_eval_results", "fx_eval_resul
 # Aggregation
 
 _METRICS = """COUNT(*) AS total_samples, COUNT(CASE WHEN is_correct THEN 1 END) AS correct_samples,
-  round(COUNT(CASE WHEN is_correct THEN 1 END) / COUNT(*), 6) AS accuracy, round(avg(score), 6) AS average_score,
-  round(avg(execution_time), 6) AS average_execution_time"""
+  round(COUNT(CASE WHEN is_correct THEN 1 END) / COUNT(*), 6) AS accuracy, round(avg(CAST(score AS DECIMAL(18,9))), 6) AS average_score,
+  round(avg(CAST(execution_time AS DECIMAL(18,9))), 6) AS average_execution_time"""
 _ERROR_RATE = "round(COUNT(error_message) / COUNT(*), 6) AS error_rate"
 _LEVEL = """CASE WHEN grouping(evaluation_type) = 1 AND grouping(difficulty) = 1 THEN 'overall'
   WHEN grouping(difficulty) = 1 THEN 'type' WHEN grouping(evaluation_type) = 1 THEN 'difficulty' ELSE 'type_difficulty' END AS level"""
@@ -197,13 +197,13 @@ UNION ALL SELECT unnest(['### ' || upper(k), '- Samples: ' || n, printf('- Accur
 UNION ALL SELECT printf('  - %s: %.2f%%', k, 100.0 * er) FROM m WHERE k IN ('sql', 'function')""",
     "fx_eval_results",
     ctes="""stacked AS (SELECT 'all' AS k, * FROM fx_eval_results UNION ALL SELECT evaluation_type, * FROM fx_eval_results UNION ALL SELECT difficulty, * FROM fx_eval_results),
-m AS (SELECT k, COUNT(*) AS n, COUNT(CASE WHEN is_correct THEN 1 END) AS c, round(COUNT(CASE WHEN is_correct THEN 1 END) / COUNT(*), 6) AS acc, round(avg(score), 6) AS s,
-  round(avg(execution_time), 6) AS t, round(COUNT(error_message) / COUNT(*), 6) AS er, COUNT(error_message) AS e FROM stacked GROUP BY k)""",
+m AS (SELECT k, COUNT(*) AS n, COUNT(CASE WHEN is_correct THEN 1 END) AS c, round(COUNT(CASE WHEN is_correct THEN 1 END) / COUNT(*), 6) AS acc, round(avg(CAST(score AS DECIMAL(18,9))), 6) AS s,
+  round(avg(CAST(execution_time AS DECIMAL(18,9))), 6) AS t, round(COUNT(error_message) / COUNT(*), 6) AS er, COUNT(error_message) AS e FROM stacked GROUP BY k)""",
 )
 _add(
     "s13_stored_runs",
     """SELECT run_id, COUNT(*) AS total_samples, COUNT(CASE WHEN is_correct THEN 1 END) AS passed, COUNT(*) - COUNT(CASE WHEN is_correct THEN 1 END) AS failed,
-  round(COUNT(CASE WHEN is_correct THEN 1 END) / COUNT(*), 6) AS success_rate, round(avg(score), 6) AS average_score FROM fx_eval_results GROUP BY run_id""",
+  round(COUNT(CASE WHEN is_correct THEN 1 END) / COUNT(*), 6) AS success_rate, round(avg(CAST(score AS DECIMAL(18,9))), 6) AS average_score FROM fx_eval_results GROUP BY run_id""",
     "fx_eval_results",
 )
 _add("a1_overall_metrics", f"SELECT {_METRICS}, {_ERROR_RATE} FROM fx_eval_results", "fx_eval_results")
@@ -264,7 +264,7 @@ _add(
   round(b.s, 6) AS baseline_average_score, round(i.s, 6) AS improved_average_score, round(i.s - b.s, 6) AS average_score_change,
   i.p - b.p AS passed_change FROM runs b JOIN runs i ON b.run_id = 'baseline' AND i.run_id = 'improved'""",
     "fx_eval_results",
-    ctes="runs AS (SELECT run_id, COUNT(*) AS n, COUNT(CASE WHEN is_correct THEN 1 END) AS p, avg(score) AS s FROM fx_eval_results GROUP BY run_id)",
+    ctes="runs AS (SELECT run_id, COUNT(*) AS n, COUNT(CASE WHEN is_correct THEN 1 END) AS p, avg(CAST(score AS DECIMAL(18,9))) AS s FROM fx_eval_results GROUP BY run_id)",
 )
 _add(
     "a9_token_usage",
@@ -275,7 +275,7 @@ _add(
 _add(
     "a11_model_comparison",
     """SELECT model, COUNT(DISTINCT sid) AS common_samples, COUNT(*) AS total_samples, COUNT(CASE WHEN is_correct THEN 1 END) AS correct_samples,
-  round(avg(CAST(is_correct AS INT)), 6) AS accuracy, round(avg(score), 6) AS average_score,
+  round(avg(CAST(is_correct AS INT)), 6) AS accuracy, round(avg(CAST(score AS DECIMAL(18,9))), 6) AS average_score,
   CAST(rank() OVER (ORDER BY COUNT(CASE WHEN is_correct THEN 1 END) / COUNT(*) DESC) AS INT) AS rank
 FROM r WHERE sid IN (SELECT sid FROM r GROUP BY sid HAVING COUNT(DISTINCT model) = (SELECT COUNT(DISTINCT model) FROM r)) GROUP BY model""",
     "fx_eval_results",
@@ -689,8 +689,8 @@ _lists(
 )
 _lists(
     "a10_component_means",
-    """SELECT model, COUNT(*) AS total_samples, round(avg(selection), 6) AS mean_selection, round(avg(parameters), 6) AS mean_parameters,
-  round(avg(execution), 6) AS mean_execution, round(avg(result), 6) AS mean_result FROM family GROUP BY model""",
+    """SELECT model, COUNT(*) AS total_samples, round(avg(CAST(selection AS DECIMAL(18,9))), 6) AS mean_selection, round(avg(CAST(parameters AS DECIMAL(18,9))), 6) AS mean_parameters,
+  round(avg(CAST(execution AS DECIMAL(18,9))), 6) AS mean_execution, round(avg(CAST(result AS DECIMAL(18,9))), 6) AS mean_result FROM family GROUP BY model""",
     f"{_NAMES},\n{_SOFT}",
 )
 
