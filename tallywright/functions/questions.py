@@ -31,39 +31,42 @@ def normal_difficulty(raw: Column) -> Column:
     return F.when(low.isin(*DIFFICULTIES), low).otherwise("medium")
 
 
-def _tables(question: Column, series_words: list[str]) -> Column:
-    def pick(words: list[str], *tables: str) -> Column:
-        return F.when(
-            contains_any(question, words), F.array(*[F.lit(t) for t in tables])
-        ).otherwise(F.array().cast("array<string>"))
-
-    return F.concat(
-        pick(BUDGET_WORDS, "budget_outlays"),
-        pick(series_words, "time_series_data"),
-        pick(GDP_WORDS, "industry_gdp", "gdp_by_industry"),
-        pick(REGIONAL_WORDS, "regional_data"),
+def _tables(question: Column, series_words: list[str], fallback) -> Column:
+    """Matched tables in fixed order, or the fallback.
+
+    Written without lambdas, so that the lower-cased text and the four tests are each
+    computed once per row in generated code.
+    """
+    low = F.lower(question)
+    budget = contains_any(low, BUDGET_WORDS)
+    series = contains_any(low, series_words)
+    gdp = contains_any(low, GDP_WORDS)
+    regional = contains_any(low, REGIONAL_WORDS)
+    none = ~(budget | series | gdp | regional)
+    picked = F.array(
+        F.when(budget, "budget_outlays"),
+        F.when(series, "time_series_data"),
+        F.when(gdp, "industry_gdp"),
+        F.when(gdp, "gdp_by_industry"),
+        F.when(regional, "regional_data"),
+        F.when(none, fallback(low)),
     )
-
-
-def _or_else(tables: Column, fallback: Column) -> Column:
-    chosen = F.transform(F.array(tables), lambda t: F.when(F.size(t) > 0, t))[0]
-    return F.coalesce(chosen, F.array(fallback))
+    return F.array_except(picked, F.array(F.lit(None).cast("string")))
 
 
 def classify_question(question: Column) -> Column:
     """Tables a question is about; the budget table when nothing matches."""
-    return _or_else(_tables(question, SERIES_WORDS), F.lit("budget_outlays"))
+    return _tables(question, SERIES_WORDS, lambda low: F.lit("budget_outlays"))
 
 
 def classify_question_extended(question: Column) -> Column:
     """Same with two more series words, and trend words deciding the fallback."""
-    trend = ~contains_any(question, FALLBACK_BUDGET_WORDS) & contains_any(
-        question, FALLBACK_SERIES_WORDS
-    )
-    return _or_else(
-        _tables(question, SERIES_WORDS + SERIES_EXTRA_WORDS),
-        F.when(trend, "time_series_data").otherwise("budget_outlays"),
-    )
+
+    def fallback(low: Column) -> Column:
+        trend = ~contains_any(low, FALLBACK_BUDGET_WORDS) & contains_any(low, FALLBACK_SERIES_WORDS)
+        return F.when(trend, "time_series_data").otherwise("budget_outlays")
+
+    return _tables(question, SERIES_WORDS + SERIES_EXTRA_WORDS, fallback)
 
 
 # The one call expected for a question, by rule.
@@ -84,14 +87,12 @@ def expected_calls(question: Column) -> Column:
             F.struct(F.lit(name).alias("name"), literal_arguments(args).alias("args"))
         ).cast(CALLS)
 
+    low = F.lower(question)
     return (
-        F.when(contains_any(question, ["cpi", "consumer price"]), one("cpi"))
-        .when(contains_any(question, ["employment cost", "eci"]), one("eci"))
-        .when(contains_any(question, ["gdp"]) & contains_any(question, ["industry"]), one("gdp"))
-        .when(
-            contains_any(question, ["income"]) & contains_any(question, ["state", "region"]),
-            one("income"),
-        )
+        F.when(contains_any(low, ["cpi", "consumer price"]), one("cpi"))
+        .when(contains_any(low, ["employment cost", "eci"]), one("eci"))
+        .when(low.contains("gdp") & low.contains("industry"), one("gdp"))
+        .when(low.contains("income") & contains_any(low, ["state", "region"]), one("income"))
         .otherwise(one("gdp"))
     )
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tallywright.functions.text import lines, non_empty, strip
+from tallywright.functions.text import contains_any, lines, non_empty, once, strip
 
 # Statement words of the two extraction rules, and the table-name audit.
 BASIC_KEYWORDS = ["SELECT", "INSERT", "UPDATE", "DELETE"]
@@ -32,7 +32,7 @@ def extract_sql_basic(response: Column) -> Column:
     line = F.regexp_extract(response, _line_start(BASIC_KEYWORDS, r"[^\n]*"), 1)
     found = (
         F.when(response.rlike(SQL_FENCE), F.regexp_extract(response, SQL_FENCE, 1))
-        .when(F.upper(fenced).rlike("|".join(BASIC_KEYWORDS)), fenced)
+        .when(contains_any(F.upper(fenced), BASIC_KEYWORDS), fenced)
         .otherwise(line)
     )
     return non_empty(strip(found))
@@ -56,12 +56,11 @@ def _statement_lines(response: Column, first_line_semicolon: bool) -> Column:
         )
         return F.coalesce(F.array_min(stops), F.size(parts))
 
-    # A one-element array around the lines lets the split be evaluated once.
-    joined = F.transform(
-        F.array(F.transform(lines(tail), strip)),
+    joined = once(
+        F.transform(lines(tail), strip),
         lambda parts: F.array_join(F.slice(parts, F.lit(1), keep_count(parts)), " "),
     )
-    return non_empty(strip(F.rtrim(joined[0], F.lit(";"))))
+    return non_empty(strip(F.rtrim(joined, F.lit(";"))))
 
 
 def extract_sql_block(
@@ -81,10 +80,11 @@ def extract_sql_block(
         .when(text.contains("```"), F.split_part(text, F.lit("```"), F.lit(2)))
         .otherwise(text)
     )
-    block = _without_semicolons(block)
-    return F.when(F.upper(block).rlike("|".join(BLOCK_KEYWORDS)), block).otherwise(
-        _statement_lines(response, first_line_semicolon)
+    accepted = once(
+        _without_semicolons(block),
+        lambda b: F.when(once(F.upper(b), lambda u: contains_any(u, BLOCK_KEYWORDS)), b),
     )
+    return F.coalesce(accepted, _statement_lines(response, first_line_semicolon))
 
 
 def clean_sql(sql: Column) -> Column:

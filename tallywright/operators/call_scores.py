@@ -52,7 +52,7 @@ def _signatures(calls: Column) -> Column:
             F.transform(c["args"], key).alias("keys"),
             pick(c["args"], False, key).alias("live"),
             pick(c["args"], True, key).alias("nulls"),
-            F.array_sort(F.transform(c["args"], pair)).alias("full"),
+            F.sort_array(F.transform(c["args"], pair)).alias("full"),
             pick(c["args"], False, pair).alias("pairs"),
         ),
     )
@@ -93,7 +93,7 @@ def call_match(df: DataFrame, predicted: str = "predicted", expected: str = "exp
             sig, lambda s, i: F.struct(s["name"].alias("name"), i.alias("i"), s["full"].alias("full"))
         )
         return F.transform(
-            F.array_sort(numbered), lambda s: F.struct(s["name"].alias("name"), s["full"].alias("full"))
+            F.sort_array(numbered), lambda s: F.struct(s["name"].alias("name"), s["full"].alias("full"))
         )
 
     sig = df.withColumns(
@@ -124,7 +124,7 @@ def call_match(df: DataFrame, predicted: str = "predicted", expected: str = "exp
 
 def selection_exact(predicted: Column, expected: Column) -> Column:
     """1 if both sides name the same set of functions, else 0."""
-    same = F.array_sort(_names(predicted)) == F.array_sort(_names(expected))
+    same = F.sort_array(_names(predicted)) == F.sort_array(_names(expected))
     return same.cast("double")
 
 

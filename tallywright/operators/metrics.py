@@ -60,13 +60,22 @@ def all_metrics(results: DataFrame, by: list[str] | None = None) -> DataFrame:
     """Overall, per type, per difficulty and per both, from one scan.
 
     ``level`` tells which; ``by`` adds keys, such as the run or the model, to every level.
+    Results are first reduced to one row per type and difficulty; the four levels are sums
+    over those few rows, where grouping sets alone would copy every result four times.
     """
     by = by or []
+    cells = results.groupBy(*by, "evaluation_type", "difficulty").agg(
+        F.count("*").alias("n"),
+        F.count_if("is_correct").alias("correct"),
+        F.sum(F.col("score").cast(MEAN_TYPE)).alias("score"),
+        F.count("score").alias("scored"),
+        F.sum(F.col("execution_time").cast(MEAN_TYPE)).alias("time"),
+        F.count("execution_time").alias("timed"),
+        F.count("error_message").alias("errors"),
+    )
     t, d = F.col("evaluation_type"), F.col("difficulty")
     extra = [F.col(c) for c in by]
-    grouped = results.groupingSets(
-        [extra, [*extra, t], [*extra, d], [*extra, t, d]], *extra, t, d
-    )
+    grouped = cells.groupingSets([extra, [*extra, t], [*extra, d], [*extra, t, d]], *extra, t, d)
     no_type, no_difficulty = F.grouping("evaluation_type"), F.grouping("difficulty")
     level = (
         F.when((no_type == 1) & (no_difficulty == 1), "overall")
@@ -74,7 +83,19 @@ def all_metrics(results: DataFrame, by: list[str] | None = None) -> DataFrame:
         .when(no_type == 1, "difficulty")
         .otherwise("type_difficulty")
     )
-    return grouped.agg(level.alias("level"), *metric_columns())
+
+    def ratio(part: str, whole: str) -> Column:
+        return _rounded(F.try_divide(F.sum(part).cast("double"), F.sum(whole)))
+
+    return grouped.agg(
+        level.alias("level"),
+        F.sum("n").alias("total_samples"),
+        F.sum("correct").alias("correct_samples"),
+        ratio("correct", "n").alias("accuracy"),
+        ratio("score", "scored").alias("average_score"),
+        ratio("time", "timed").alias("average_execution_time"),
+        ratio("errors", "n").alias("error_rate"),
+    ).where("total_samples > 0")
 
 
 def error_rates(results: DataFrame) -> DataFrame:

@@ -33,7 +33,7 @@ def printed(value: Column, dtype: str, digits: int | None = ROUND_DIGITS) -> Col
 def unordered_row_key(df: DataFrame, columns: list[str], digits: int | None = ROUND_DIGITS) -> Column:
     """Row identity that ignores column names and order: the sorted texts of the values."""
     types = dict(df.dtypes)
-    return F.array_sort(F.array(*[printed(F.col(f"`{c}`"), types[c], digits) for c in columns]))
+    return F.sort_array(F.array(*[printed(F.col(f"`{c}`"), types[c], digits) for c in columns]))
 
 
 def ordered_row_key(df: DataFrame, columns: list[str], digits: int | None = ROUND_DIGITS) -> Column:

@@ -26,7 +26,7 @@ def expected_rows(samples: DataFrame, sample_id: str = "sample_id", expected: st
         F.lit("None"),
     )
     return samples.select(sample_id, F.explode(expected).alias("row")).select(
-        sample_id, F.array_sort(F.transform(F.map_values("row"), text)).alias("row_key")
+        sample_id, F.sort_array(F.transform(F.map_values("row"), text)).alias("row_key")
     )
 
 

@@ -68,7 +68,7 @@ def call_rows(df: DataFrame, keys: list[str], calls: str) -> DataFrame:
 
 @query("s1_sql_question_set")
 def _(spark, sf):
-    docs = question_sets.parse_documents(view(spark, sf, "fx_sql_documents"), "body")
+    docs = question_sets.parse_documents(view(spark, sf, "fx_sql_documents", wide=True), "body")
     return question_sets.sql_samples(docs).select(
         "doc_id", "pos", "sample_id", "question", "difficulty", "context", "ground_truth_sql", "category", "complexity"
     )
@@ -76,7 +76,7 @@ def _(spark, sf):
 
 @query("s2_function_question_set")
 def _(spark, sf):
-    docs = question_sets.parse_documents(view(spark, sf, "fx_function_documents"), "body")
+    docs = question_sets.parse_documents(view(spark, sf, "fx_function_documents", wide=True), "body")
     df = question_sets.function_samples(docs).withColumn(
         "tools", prompts.function_list(F.col("available_functions"))
     )
@@ -86,7 +86,7 @@ def _(spark, sf):
 
 @query("s3_catalogue_question_set")
 def _(spark, sf):
-    docs = question_sets.parse_documents(view(spark, sf, "fx_catalogue_documents"), "body")
+    docs = question_sets.parse_documents(view(spark, sf, "fx_catalogue_documents", wide=True), "body")
     df = question_sets.catalogue_samples(docs)
     return call_rows(df, ["doc_id", "sample_id", "question", "difficulty", "category", "context"], "expected_calls")
 
@@ -121,7 +121,7 @@ def _(spark, sf):
 @query("s7_dataset_info")
 def _(spark, sf):
     def read(name: str, kind: str, normalise) -> DataFrame:
-        docs = question_sets.parse_documents(view(spark, sf, name), "body")
+        docs = question_sets.parse_documents(view(spark, sf, name, wide=True), "body")
         return normalise(docs).select(F.lit(kind).alias("set_name"))
 
     parts = [
@@ -143,7 +143,7 @@ def _(spark, sf):
 
 @query("s9_recorded_responses")
 def _(spark, sf):
-    df = view(spark, sf, "fx_sql_responses").withColumn(
+    df = view(spark, sf, "fx_sql_responses", wide=True).withColumn(
         "error", F.when(F.col("content").contains("do not know"), "refused")
     )
     out = responses.normalise_responses(df)
@@ -214,7 +214,7 @@ def _(spark, sf):
 
 @query("p1_classify_documents")
 def _(spark, sf):
-    df = table(spark, sf, "documents")
+    df = table(spark, sf, "documents", wide=True)
     return df.select("doc_id", _joined(questions.classify_question(F.col("text"))).alias("tables"))
 
 
@@ -226,7 +226,7 @@ def _(spark, sf):
 
 @query("p2_classify_conversations")
 def _(spark, sf):
-    df = table(spark, sf, "conversations")
+    df = table(spark, sf, "conversations", wide=True)
     tables = _joined(questions.classify_question_extended(F.col("text")))
     return df.select("conv_id", "turn", "role", tables.alias("tables"))
 
@@ -270,7 +270,7 @@ def _(spark, sf):
 
 @query("p6_year_limit")
 def _(spark, sf):
-    df = view(spark, sf, "fx_sql_responses")
+    df = view(spark, sf, "fx_sql_responses", wide=True)
     return df.select("sample_id", questions.respects_year_limit(F.col("content")).alias("respects_limit"))
 
 
@@ -279,44 +279,44 @@ def _(spark, sf):
 
 @query("x1_extract_sql_basic")
 def _(spark, sf):
-    df = view(spark, sf, "fx_sql_responses")
+    df = view(spark, sf, "fx_sql_responses", wide=True)
     return df.select("sample_id", sql_text.extract_sql_basic(F.col("content")).alias("sql"))
 
 
 @query("x2_extract_sql_block")
 def _(spark, sf):
-    df = view(spark, sf, "fx_sql_responses")
+    df = view(spark, sf, "fx_sql_responses", wide=True)
     return df.select("sample_id", sql_text.extract_sql_block(F.col("content")).alias("sql"))
 
 
 @query("x3_extract_sql_block_first_line")
 def _(spark, sf):
-    df = view(spark, sf, "fx_sql_responses")
+    df = view(spark, sf, "fx_sql_responses", wide=True)
     sql = sql_text.extract_sql_block(F.col("content"), first_line_semicolon=True)
     return df.select("sample_id", sql.alias("sql"))
 
 
 @query("x4_clean_sql")
 def _(spark, sf):
-    df = view(spark, sf, "fx_sql_responses")
+    df = view(spark, sf, "fx_sql_responses", wide=True)
     return df.select("sample_id", sql_text.clean_sql(F.col("content")).alias("sql"))
 
 
 @query("x5_statement_kind")
 def _(spark, sf):
-    df = view(spark, sf, "fx_sql_responses").withColumn("sql", sql_text.extract_sql_basic(F.col("content")))
+    df = view(spark, sf, "fx_sql_responses", wide=True).withColumn("sql", sql_text.extract_sql_basic(F.col("content")))
     return df.select("sample_id", sql_text.statement_kind(F.col("sql")).alias("kind"))
 
 
 @query("x6_table_audit")
 def _(spark, sf):
-    df = view(spark, sf, "fx_sql_responses").withColumn("sql", sql_text.extract_sql_block(F.col("content")))
+    df = view(spark, sf, "fx_sql_responses", wide=True).withColumn("sql", sql_text.extract_sql_block(F.col("content")))
     audited = df.withColumn("table_use", sql_text.table_audit(F.col("sql")))
     return audited.groupBy("model", "table_use").agg(F.count("*").alias("n"))
 
 
 def _extracted(spark: SparkSession, sf: str, extract) -> DataFrame:
-    df = view(spark, sf, "fx_call_responses")
+    df = view(spark, sf, "fx_call_responses", wide=True)
     return call_rows(df.withColumn("calls", extract(F.col("content"))), ["sample_id"], "calls")
 
 
@@ -336,7 +336,7 @@ def _(spark, sf):
 
 
 def _parameters(spark: SparkSession, sf: str) -> DataFrame:
-    df = view(spark, sf, "fx_call_responses")
+    df = view(spark, sf, "fx_call_responses", wide=True)
     args = call_text.parse_labelled_parameters(F.col("content"))
     return df.select("sample_id", F.explode(args).alias("a")).select("sample_id", "a.*")
 
@@ -354,7 +354,7 @@ def _(spark, sf):
 
 
 def _labelled(spark: SparkSession, sf: str) -> DataFrame:
-    df = view(spark, sf, "fx_call_responses")
+    df = view(spark, sf, "fx_call_responses", wide=True)
     return df.select("sample_id", "model", call_text.extract_calls_labelled(F.col("content")).alias("predicted"))
 
 
@@ -372,7 +372,7 @@ def _(spark, sf):
 
 @query("x13_well_formed")
 def _(spark, sf):
-    df = view(spark, sf, "fx_call_lists").withColumn("calls", call_text.calls_from_json(F.col("predicted")))
+    df = view(spark, sf, "fx_call_lists", wide=True).withColumn("calls", call_text.calls_from_json(F.col("predicted")))
     return df.select("sample_id", F.posexplode("calls").alias("call_pos", "call")).select(
         "sample_id", "call_pos", call_text.well_formed(F.col("call")).alias("is_well_formed")
     )
@@ -384,7 +384,7 @@ def _(spark, sf):
 def _two_results(spark: SparkSession, sf: str, key) -> tuple[DataFrame, DataFrame]:
     out = []
     for name in ("fx_candidate_rows", "fx_expected_rows"):
-        df = view(spark, sf, name)
+        df = view(spark, sf, name, wide=True)
         out.append(df.select("sample_id", "place", "v1", "v2", "v3", key(df, ["v1", "v2", "v3"]).alias("row_key")))
     return out[0], out[1]
 
@@ -403,7 +403,7 @@ def _equality(spark: SparkSession, sf: str) -> DataFrame:
 @query("m1_execution")
 def _(spark, sf):
     register_facts({"budget_outlays": view(spark, sf, "fx_budget_outlays")})
-    answers = view(spark, sf, "fx_sql_responses").select(
+    answers = view(spark, sf, "fx_sql_responses", wide=True).select(
         "sample_id", "model", sql_text.extract_sql_block(F.col("content")).alias("sql")
     )
     status, _rows = run_statements(answers)
@@ -416,7 +416,7 @@ def _(spark, sf):
 @query("m1_statement_rows")
 def _(spark, sf):
     register_facts({"budget_outlays": view(spark, sf, "fx_budget_outlays")})
-    answers = view(spark, sf, "fx_sql_responses").select(sql_text.extract_sql_block(F.col("content")).alias("sql"))
+    answers = view(spark, sf, "fx_sql_responses", wide=True).select(sql_text.extract_sql_block(F.col("content")).alias("sql"))
     _status, rows = run_statements(answers)
     return rows.groupBy("sql_id").agg(F.count("*").alias("n_rows"), F.max("pos").alias("last_pos"))
 
@@ -457,7 +457,7 @@ def _(spark, sf):
 
 
 def _call_lists(spark: SparkSession, sf: str) -> DataFrame:
-    df = view(spark, sf, "fx_call_lists")
+    df = view(spark, sf, "fx_call_lists", wide=True)
     return df.select(
         "sample_id",
         "model",
@@ -561,7 +561,7 @@ def _(spark, sf):
 def _executed(spark: SparkSession, sf: str) -> DataFrame:
     """Answers about each event, put to the question of the same number."""
     samples = _call_samples(spark, sf)
-    answers = view(spark, sf, "fx_call_responses").withColumn(
+    answers = view(spark, sf, "fx_call_responses", wide=True).withColumn(
         "error", F.when(F.col("content") == "No function fits.", "timeout")
     ).withColumns({"prompt_tokens": F.lit(1).cast("bigint"), "completion_tokens": F.lit(1).cast("bigint")})
     return evaluations.evaluate_calls_executed(samples, answers, _coverage(spark, sf))

@@ -11,6 +11,7 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 
 from tallywright.session import configure
+from tallywright.sources.responses import spread
 
 BASE_TABLES = [
     "region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
@@ -173,18 +174,23 @@ def prelude(*names: str) -> str:
     return "WITH " + ",\n".join(f"{n} AS ({VIEWS[n].strip()})" for n in names)
 
 
-def register_tables(spark: SparkSession, sf_dir: str, sql: str) -> None:
+def register_tables(spark: SparkSession, sf_dir: str, sql: str, wide: bool = False) -> None:
     """Register the base tables that a statement names."""
     for name in BASE_TABLES:
         if re.search(rf"\b{name}\b", sql):
-            spark.read.parquet(f"{sf_dir}/{name}.parquet").createOrReplaceTempView(name)
+            df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+            (spread(df) if wide else df).createOrReplaceTempView(name)
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return configure(spark).read.parquet(f"{sf_dir}/{name}.parquet")
+def table(spark: SparkSession, sf_dir: str, name: str, wide: bool = False) -> DataFrame:
+    df = configure(spark).read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(df) if wide else df
 
 
-def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """An adapter view as a DataFrame over the Parquet files below ``sf_dir``."""
-    register_tables(configure(spark), sf_dir, VIEWS[name])
+def view(spark: SparkSession, sf_dir: str, name: str, wide: bool = False) -> DataFrame:
+    """An adapter view as a DataFrame over the Parquet files below ``sf_dir``.
+
+    ``wide`` spreads small inputs over all cores, for queries with much work per row.
+    """
+    register_tables(configure(spark), sf_dir, VIEWS[name], wide)
     return spark.sql(VIEWS[name])

@@ -31,3 +31,14 @@ def normalise_responses(df: DataFrame) -> DataFrame:
 def read_runs(spark: SparkSession, path: str, run_ids: list[str]) -> DataFrame:
     """Result rows of the named stored runs; the folder is partitioned by run."""
     return spark.read.parquet(path).where(F.col("run_id").isin(*run_ids))
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Spread a scan over all cores if it has fewer partitions than there are cores.
+
+    Text work is heavy per row, and a file with a single row group is one task. Large
+    inputs come in many partitions and are left as they are, without a shuffle. For plain
+    scans only: the number of partitions is read off the plan.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
