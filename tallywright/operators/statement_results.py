@@ -57,38 +57,53 @@ def statement_similarity(pairs: DataFrame, rows: DataFrame, expected: DataFrame)
     )
 
 
-def statement_equality(pairs: DataFrame, rows: DataFrame) -> DataFrame:
-    """Ordered equality per distinct (sql_id, reference_id) pair of statements that returned rows.
+def _result_classes(rows: DataFrame) -> DataFrame:
+    """``(sql_id, n, class_id)``: statements with the same ordered result share a class.
 
-    Equal when both returned the same number of rows and each reference row is found at
-    its place in the other result.
+    Results are grouped by row count and two order-sensitive checksums, and then each one
+    is compared row by row with the first of its group, so rows are read once per
+    statement and never once per pair of statements. A result that only shares the
+    checksums keeps a class of its own.
     """
-    sizes = rows.groupBy("sql_id").agg(F.count("*").alias("n"))
-    distinct = pairs.select("sql_id", "reference_id").distinct()
-    sized = (
-        distinct.join(sizes, "sql_id", "left")
-        .withColumnRenamed("n", "candidate_rows")
-        .join(sizes.withColumnsRenamed({"sql_id": "reference_id", "n": "reference_rows"}), "reference_id", "left")
-        .na.fill(0, ["candidate_rows", "reference_rows"])
+    prints = rows.groupBy("sql_id").agg(
+        F.count("*").alias("n"),
+        F.bit_xor(F.xxhash64("pos", "ordered_key")).alias("x1"),
+        F.bit_xor(F.xxhash64("ordered_key", F.lit(1), "pos")).alias("x2"),
     )
-    # Only pairs of equal size need their rows looked at; a statement equals itself.
-    same_size = sized.where(
-        (F.col("candidate_rows") == F.col("reference_rows")) & (F.col("sql_id") != F.col("reference_id"))
+    first = prints.groupBy("n", "x1", "x2").agg(F.min("sql_id").alias("class_id"))
+    grouped = prints.join(first, ["n", "x1", "x2"]).select("sql_id", "n", "class_id")
+    head = rows.select(
+        F.col("sql_id").alias("class_id"), "pos", F.col("ordered_key").alias("head_key")
     )
-    reference = rows.select(
-        F.col("sql_id").alias("reference_id"), "pos", F.col("ordered_key").alias("reference_key")
+    same = (
+        rows.join(grouped.where(F.col("sql_id") != F.col("class_id")), "sql_id")
+        .join(head, ["class_id", "pos"])
+        .groupBy("sql_id")
+        .agg(F.bool_and(F.col("ordered_key") == F.col("head_key")).alias("same"))
     )
-    found = (
-        same_size.join(reference, "reference_id")
-        .join(rows.select("sql_id", "pos", "ordered_key"), ["sql_id", "pos"], "left")
-        .groupBy("sql_id", "reference_id")
-        .agg(F.bool_and(F.col("reference_key").eqNullSafe(F.col("ordered_key"))).alias("rows_equal"))
+    keep = F.coalesce(F.col("same"), F.lit(True))
+    return grouped.join(same, "sql_id", "left").select(
+        "sql_id", "n", F.when(keep, F.col("class_id")).otherwise(F.col("sql_id")).alias("class_id")
     )
-    return sized.join(found, ["sql_id", "reference_id"], "left").select(
-        "sql_id",
-        "reference_id",
-        F.when(F.col("sql_id") == F.col("reference_id"), True)
-        .when(F.col("candidate_rows") != F.col("reference_rows"), False)
-        .otherwise(F.coalesce("rows_equal", F.lit(True)))
-        .alias("is_equal"),
+
+
+def statement_equality(pairs: DataFrame, rows: DataFrame) -> DataFrame:
+    """Ordered equality per distinct (sql_id, reference_id) pair of statements that ran.
+
+    Two results are equal if they are in the same class, or if both are empty.
+    """
+    classes = _result_classes(rows)
+    reference = classes.select(
+        F.col("sql_id").alias("reference_id"), F.col("class_id").alias("reference_class")
+    )
+    return (
+        pairs.select("sql_id", "reference_id")
+        .distinct()
+        .join(classes.select("sql_id", "class_id"), "sql_id", "left")
+        .join(reference, "reference_id", "left")
+        .select(
+            "sql_id",
+            "reference_id",
+            F.col("class_id").eqNullSafe(F.col("reference_class")).alias("is_equal"),
+        )
     )

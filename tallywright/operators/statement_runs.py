@@ -87,6 +87,8 @@ def _statuses(spark: SparkSession, todo: Iterator, folder: str, parallel: int, d
     with ThreadPoolExecutor(parallel) as pool:
         running = set()
         for row in todo:
+            if not row.sql:
+                continue
             running.add(pool.submit(_run_one, spark, row.sql_id, row.sql, folder, digits))
             if len(running) >= parallel:
                 done, running = wait(running, return_when=FIRST_COMPLETED)
@@ -105,9 +107,10 @@ def run_statements(
     """
     spark = statements.sparkSession
     folder = scratch_dir(spark, "statements")
+    # Blank statements are skipped in the loop: a filter here would be pushed below the
+    # projection and have every statement extracted and cleaned twice.
     distinct = (
         statements.select(clean_sql(F.col(sql)).alias("sql"))
-        .where(F.length("sql") > 0)
         .distinct()
         .select(F.sha2("sql", 256).alias("sql_id"), "sql")
     )

@@ -381,23 +381,27 @@ def _(spark, sf):
 # Result sets
 
 
-def _two_results(spark: SparkSession, sf: str, key) -> tuple[DataFrame, DataFrame]:
-    out = []
-    for name in ("fx_candidate_rows", "fx_expected_rows"):
-        df = view(spark, sf, name, wide=True)
-        out.append(df.select("sample_id", "place", "v1", "v2", "v3", key(df, ["v1", "v2", "v3"]).alias("row_key")))
-    return out[0], out[1]
+def _two_results(spark: SparkSession, sf: str) -> list[DataFrame]:
+    return [view(spark, sf, n) for n in ("fx_candidate_rows", "fx_expected_rows")]
+
+
+def _keyed(df: DataFrame, key) -> DataFrame:
+    return df.withColumn("row_key", key(df, ["v1", "v2", "v3"]))
 
 
 def _similarity(spark: SparkSession, sf: str) -> DataFrame:
-    candidate, expected = _two_results(spark, sf, rs.unordered_row_key)
+    candidate, expected = [_keyed(df, rs.unordered_row_key) for df in _two_results(spark, sf)]
     return rs.result_similarity(candidate, expected, ["sample_id"])
 
 
 def _equality(spark: SparkSession, sf: str) -> DataFrame:
-    both = _two_results(spark, sf, rs.ordered_row_key)
-    placed = [dense_positions(df, ["sample_id"], "place", ties=["v1", "v2", "v3"]) for df in both]
-    return rs.ordered_equality(placed[0], placed[1], ["sample_id"])
+    # Rows are numbered while they are narrow; keys are made afterwards.
+    placed = [
+        dense_positions(df, ["sample_id"], "place", ties=["v1", "v2", "v3"])
+        for df in _two_results(spark, sf)
+    ]
+    candidate, expected = [_keyed(df, rs.ordered_row_key) for df in placed]
+    return rs.ordered_equality(candidate, expected, ["sample_id"])
 
 
 @query("m1_execution")
