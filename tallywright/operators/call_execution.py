@@ -1,9 +1,9 @@
-"""Run predicted calls against the fact tables, all calls in one join.
+"""Run predicted calls against the fact tables, all calls together.
 
 A call asks for a key (series, industry or state) and a span of years. The facts are
-first reduced to one row per key with the years it has data for, so the join finds at
-most one row per call whatever the size of the fact tables. AQE broadcasts that side if
-its measured size allows, and otherwise splits hot keys of the call side.
+first reduced to one row per key with the years it has data for, and stored. How calls
+meet that table depends on its counted size: a short one is looked up within each row,
+without any shuffle; a longer one is joined, broadcast if its size on disk allows.
 """
 
 from __future__ import annotations
@@ -15,10 +15,14 @@ from pyspark.sql import functions as F
 
 from tallywright.functions.call_text import argument_or_default
 from tallywright.functions.text import once
+from tallywright.session import stored
 
 SERIES_FUNCTIONS = ["get_cpi_data", "get_employment_cost_index", "get_productivity_data"]
 ALL_INDUSTRIES = "ALL"
 
+# Up to this many keys, coverage is a map that every task holds and scans per request.
+LOCAL_KEYS = 500
+
 
 def fact_coverage(time_series: DataFrame, industry_gdp: DataFrame, regional: DataFrame) -> DataFrame:
     """``(domain, key, years)``: the years with data for each series, industry and state."""
@@ -30,7 +34,8 @@ def fact_coverage(time_series: DataFrame, industry_gdp: DataFrame, regional: Dat
     ]
     # distinct() first: at most one row per key and year reaches collect_list.
     years = reduce(lambda a, b: a.unionByName(b), parts).distinct()
-    return years.groupBy("domain", "key").agg(F.collect_list("year").alias("years"))
+    covered = years.groupBy("domain", "key").agg(F.collect_list("year").alias("years"))
+    return stored(covered, "coverage")
 
 
 def call_request(call: Column) -> Column:
@@ -70,14 +75,47 @@ def execution_success(requests: Column) -> Column:
     return F.when(F.size(requests) == 0, 0.0).otherwise(ran / F.size(requests))
 
 
-def result_accuracy(df: DataFrame, coverage: DataFrame, keys: list[str]) -> DataFrame:
+def result_accuracy(
+    df: DataFrame, coverage: DataFrame, keys: list[str], local_keys: int = LOCAL_KEYS
+) -> DataFrame:
     """Add ``result``: the share of a row's calls that find at least one fact row.
 
-    ``keys`` identify a row of ``df``, which carries ``requests``. Each row is spread into
-    its requests, looked up, and put together again by one aggregation on ``keys``. The
-    row itself travels with its first request only, so it is shuffled once and the calls
-    are extracted once. Rows that ask for nothing get a key of their own that matches no
-    fact, which keeps them evenly spread should the join have to shuffle.
+    ``df`` carries ``requests``, and ``keys`` identify its rows.
+    """
+    if coverage.count() <= local_keys:
+        return _look_up(df, coverage)
+    return _join_up(df, coverage, keys)
+
+
+def _share(found: Column, requests: Column) -> Column:
+    calls = F.size(requests)
+    return F.when(calls == 0, 0.0).otherwise(found / calls)
+
+
+def _has_data(years: Column, low: Column, high: Column) -> Column:
+    return F.coalesce(F.exists(years, lambda y: y.between(low, high)), F.lit(False))
+
+
+def _look_up(df: DataFrame, coverage: DataFrame) -> DataFrame:
+    """Look requests up in the whole coverage, a single small map: a projection."""
+    entry = F.struct(F.concat_ws("|", "domain", "key"), "years")
+    facts = coverage.agg(F.map_from_entries(F.collect_list(entry))).scalar()
+
+    def found(r: Column, m: Column) -> Column:
+        years = F.try_element_at(m, F.concat_ws("|", r["domain"], r["key"]))
+        return r["ok"] & _has_data(years, r["low"], r["high"])
+
+    hits = F.size(F.filter("requests", lambda r: found(r, F.col("_facts"))))
+    with_facts = df.withColumn("_facts", facts)
+    return with_facts.withColumn("result", _share(hits, F.col("requests"))).drop("_facts")
+
+
+def _join_up(df: DataFrame, coverage: DataFrame, keys: list[str]) -> DataFrame:
+    """Spread rows into requests, join them, and put rows together again on ``keys``.
+
+    A row travels with its first request only, so it is shuffled once. Rows that ask for
+    nothing get a key of their own that matches no fact, which keeps them evenly spread
+    should the join have to shuffle.
     """
     rest = [c for c in df.columns if c not in keys]
     spread = df.select(*keys, F.struct(*rest).alias("_row"), F.posexplode_outer("requests").alias("_pos", "_r"))
@@ -90,15 +128,12 @@ def result_accuracy(df: DataFrame, coverage: DataFrame, keys: list[str]) -> Data
         F.col("_r.low").alias("_low"),
         F.col("_r.high").alias("_high"),
     )
-    found = F.exists("years", lambda y: y.between(F.col("_low"), F.col("_high")))
     together = (
         asked.join(coverage, (F.col("_domain") == F.col("domain")) & (F.col("_key") == F.col("key")), "left")
         .groupBy(*keys)
         .agg(
             F.first("_row", ignorenulls=True).alias("_row"),
-            F.count_if(F.coalesce(found, F.lit(False))).alias("_found"),
+            F.count_if(_has_data(F.col("years"), F.col("_low"), F.col("_high"))).alias("_found"),
         )
     )
-    calls = F.size("_row.requests")
-    share = F.when(calls == 0, 0.0).otherwise(F.col("_found") / calls)
-    return together.select(*keys, "_row.*", share.alias("result"))
+    return together.select(*keys, "_row.*", _share(F.col("_found"), F.col("_row.requests")).alias("result"))

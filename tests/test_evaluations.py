@@ -5,8 +5,13 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from tallywright.functions.call_text import extract_calls_labelled
 from tallywright.operators import statement_runs
-from tallywright.operators.call_execution import fact_coverage
+from tallywright.operators.call_execution import (
+    fact_coverage,
+    result_accuracy,
+    with_requests,
+)
 from tallywright.plans import evaluations
 from tallywright.sources import question_sets, sinks
 from tallywright.sources.responses import read_responses
@@ -238,6 +243,23 @@ def test_executed_calls_and_reports(spark, facts, coverage, tmp_path):
     assert "- Total Samples: 3" in report and "### FUNCTION" in report and "Error Analysis" not in report
 
 
+def test_both_ways_to_meet_the_facts_agree(spark, coverage):
+    texts = [
+        "get_cpi_data(start_year=2015, end_year=2016) get_cpi_data(start_year=2017, end_year=2018)",
+        "get_gdp_by_industry(year=2016) get_gdp_by_industry(year=2016, industry=SMALL) get_gdp_by_industry(year=2016, industry=LARGE)",
+        "get_regional_income() get_regional_income(state=TX)",
+        "get_gdp_by_industry(year=soon)",
+        "nothing",
+    ]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    df = with_requests(df.withColumn("predicted", extract_calls_labelled(F.col("t"))))
+    want = {0: 0.5, 1: 2 / 3, 2: 0.5, 3: 0.0, 4: 0.0}
+    for limit in (500, 0):
+        got = result_accuracy(df, coverage, ["i"], local_keys=limit)
+        assert {r.i: r.result for r in got.collect()} == pytest.approx(want)
+        assert {r.i: r.t for r in got.collect()} == dict(enumerate(texts))
+
+
 def test_empty_results_report(spark):
     empty = spark.createDataFrame(
         [], "evaluation_type string, difficulty string, is_correct boolean, score double, execution_time double, error_message string"
