@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tallywright.functions.text import once, ordered_lookup, strip, strip_chars
+from tallywright.functions.text import SPACE, WORD, once, ordered_lookup, strip, strip_chars
 from tallywright.functions.values import (
     ARGS,
     CALLS,
@@ -39,21 +39,24 @@ REQUIRED_KEYS = {
 LABELLED_FUNCTIONS = list(FUNCTION_DEFAULTS)
 PLAIN_FUNCTIONS = list(REQUIRED_KEYS)
 
-# A call's parentheses never span lines, so "up to the first )" is [^)\n]*. The
-# look-behind starts a name only at its first letter: same matches, linear time.
-CALL = r"(?<!\w)(\w++)\((?:[^)\n]*+)\)"
-PLAIN_PATTERN = r"(?<!\w)(\w++)\s*+\(([^)\n]*+)\)"
+# All patterns take linear time on long texts. A call's parentheses never span lines, so a
+# call runs "up to the first )"; a call left open is matched too, to be passed over in one
+# step, and dropped afterwards. The look-behind starts a name only at its first letter.
+CALL = rf"(?<!{WORD}){WORD}++\([^)\n]*+\)?+"
+PLAIN_PATTERN = rf"(?<!{WORD}){WORD}++{SPACE}*+\([^)\n]*+\)?+"
 LABELLED_PATTERNS = [
-    r"(?i)Function:\s*(\w+)\s*\nParameters:\s*([^\n]+)",
-    r"(?i)Function:\s*(\w+)\s*Parameters:\s*([^\n]+)",
+    rf"(?iu)Function:{SPACE}*({WORD}+){SPACE}*\nParameters:{SPACE}*([^\n]+)",
+    rf"(?iu)Function:{SPACE}*({WORD}+){SPACE}*Parameters:{SPACE}*([^\n]+)",
     PLAIN_PATTERN,
-    r"(?i)call\s+(\w+)\s*\(([^)\n]*)\)",
-    r"(?i)use\s+(\w+)\s*\(([^)\n]*)\)",
+    rf"(?iu)call{SPACE}+({WORD}+){SPACE}*\(([^)\n]*)\)",
+    rf"(?iu)use{SPACE}+({WORD}+){SPACE}*\(([^)\n]*)\)",
 ]
-PARAMETER = r"(?<!\w)(\w++)\s*+=\s*([^,]+)"
-FLAT_CALL_JSON = r'\{[^{}]*"name"[^{}]*"arguments"[^{}]*\}'
-NESTED_CALL_JSON = r'\{[^{}]*"name"[^{}]*"arguments"[^{}]*(?:\{[^{}]*\}[^{}]*)?\}'
-SHORTEST_OBJECT = r"(?s)\{.*?\}"
+PARAMETER = rf"(?<!{WORD}){WORD}++{SPACE}*+={SPACE}*[^,]+"
+# Objects without inner braces, or with one level of them.
+FLAT_OBJECT = r"\{[^{}]*+\}"
+NESTED_OBJECT = r"\{[^{}]*+(?:\{[^{}]*+\}[^{}]*+)?\}"
+# From a brace to the first closing one; an object left open is matched once, and is no JSON.
+SHORTEST_OBJECT = r"\{[^}]*+(?:\}|\z)"
 
 JSON_ITEM = (
     "struct<name:string,function_name:string,arguments:variant,parameters:variant>"
@@ -73,7 +76,7 @@ def _before(text: Column, mark: str) -> Column:
 
 
 def _after(text: Column, mark: str) -> Column:
-    return F.substr(text, F.instr(text, mark) + F.lit(1))
+    return F.substr(text, F.instr(text, mark) + F.lit(len(mark)))
 
 
 def keep_last_of_key(args: Column) -> Column:
@@ -143,6 +146,12 @@ def parse_plain_arguments(params: Column, typed: bool) -> Column:
     return keep_last_of_key(arguments_from_text(_with_kind(pairs, kind_of)))
 
 
+def _closed(response: Column, pattern: str) -> Column:
+    """Matches of a call pattern, without calls left open."""
+    matches = F.regexp_extract_all(response, F.lit(pattern), F.lit(0))
+    return F.filter(matches, lambda m: m.endswith(")"))
+
+
 def _name_and_params(match: Column) -> Column:
     """Split ``name (params)`` at its parenthesis."""
     inner = _after(match, "(")
@@ -154,7 +163,7 @@ def _name_and_params(match: Column) -> Column:
 
 def calls_in_text(response: Column, typed: bool, names: list[str] | None = None) -> Column:
     """Every ``word(...)``, or only those whose word is one of ``names``."""
-    parts = F.transform(F.regexp_extract_all(response, F.lit(CALL), F.lit(0)), _name_and_params)
+    parts = F.transform(_closed(response, CALL), _name_and_params)
     if names is not None:
         parts = F.filter(parts, lambda p: p["name"].isin(*names))
     return F.transform(
@@ -189,11 +198,13 @@ def calls_from_json(text: Column) -> Column:
 def extract_calls_json_and_text(response: Column, nested: bool = False) -> Column:
     """JSON objects with name and arguments, followed by every ``word(...)`` with text values.
 
-    Objects with braces inside are skipped unless ``nested`` is set.
+    The name must come first. Objects with braces inside are skipped unless ``nested`` is set.
     """
-    pattern = NESTED_CALL_JSON if nested else FLAT_CALL_JSON
     objects = F.transform(
-        F.regexp_extract_all(response, F.lit(pattern), F.lit(0)),
+        F.filter(
+            F.regexp_extract_all(response, F.lit(NESTED_OBJECT if nested else FLAT_OBJECT), F.lit(0)),
+            lambda m: m.contains('"name"') & _after(m, '"name"').contains('"arguments"'),
+        ),
         lambda m: F.from_json(m, "struct<name:string,arguments:variant>"),
     )
     from_json = F.transform(
@@ -214,10 +225,7 @@ def is_one_json_value(text: Column) -> Column:
 def extract_calls_tiered(response: Column, nested: bool = False) -> Column:
     """Flat JSON objects; else the whole answer as JSON; else ``word(...)`` of known functions."""
     item = "struct<function_name:string,parameters:variant>"
-    if nested:
-        pattern = r'\{[^{}]*"function_name"[^{}]*(?:\{[^{}]*\}[^{}]*)?\}'
-    else:
-        pattern = SHORTEST_OBJECT
+    pattern = NESTED_OBJECT if nested else SHORTEST_OBJECT
 
     def to_calls(items: Column) -> Column:
         return F.transform(
@@ -282,8 +290,11 @@ def extract_calls_labelled(response: Column, dedupe: bool = False) -> Column:
                 F.regexp_extract(match, pattern, 2).alias("params"),
             )
 
-        parts = F.transform(F.regexp_extract_all(response, F.lit(pattern), F.lit(0)), split)
-        return F.filter(parts, lambda p: p["name"].isin(*LABELLED_FUNCTIONS))
+        if pattern == PLAIN_PATTERN:
+            matches = _closed(response, pattern)
+        else:
+            matches = F.regexp_extract_all(response, F.lit(pattern), F.lit(0))
+        return F.filter(F.transform(matches, split), lambda p: p["name"].isin(*LABELLED_FUNCTIONS))
 
     written = F.transform(
         F.concat(*[under(p) for p in LABELLED_PATTERNS]),

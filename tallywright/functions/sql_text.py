@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tallywright.functions.text import contains_any, lines, non_empty, once, strip
+from tallywright.functions.text import SPACE, contains_any, lines, non_empty, once, strip
 
 # Statement words of the two extraction rules, and the table-name audit.
 BASIC_KEYWORDS = ["SELECT", "INSERT", "UPDATE", "DELETE"]
@@ -13,8 +13,8 @@ BLOCK_KEYWORDS = ["SELECT", "INSERT", "UPDATE", "DELETE", "CREATE", "DROP", "ALT
 RIGHT_TABLE = "budget_outlays"
 WRONG_TABLES = ["government_spending", "budget_data"]
 
-SQL_FENCE = r"(?is)```sql\s*(.*?)\s*```"
-ANY_FENCE = r"(?s)```\s*(.*?)\s*```"
+SQL_FENCE = r"(?is)```sql(.*?)```"
+ANY_FENCE = r"(?s)```(.*?)```"
 # Line breaks are \n alone (d); the text before a statement on its line may be blank.
 LINE_START = r"(?dmi)^[^\S\n]*((?:%s)%s)"
 
@@ -28,7 +28,7 @@ def extract_sql_basic(response: Column) -> Column:
 
     An empty sql fence counts as "no statement" and gives NULL, without looking further.
     """
-    fenced = F.regexp_extract(response, ANY_FENCE, 1)
+    fenced = strip(F.regexp_extract(response, ANY_FENCE, 1))
     line = F.regexp_extract(response, _line_start(BASIC_KEYWORDS, r"[^\n]*"), 1)
     found = (
         F.when(response.rlike(SQL_FENCE), F.regexp_extract(response, SQL_FENCE, 1))
@@ -89,11 +89,11 @@ def extract_sql_block(
 
 def clean_sql(sql: Column) -> Column:
     """Drop fences and comments, fold whitespace; literals are not protected."""
-    out = F.regexp_replace(sql, r"(?i)```sql\s*", "")
-    out = F.regexp_replace(out, r"```\s*", "")
+    out = F.regexp_replace(sql, rf"(?i)```sql{SPACE}*", "")
+    out = F.regexp_replace(out, rf"```{SPACE}*", "")
     out = F.regexp_replace(out, r"--[^\n]*", "")
     out = F.regexp_replace(out, r"(?s)/\*.*?\*/", "")
-    return strip(F.regexp_replace(out, r"(?U)\s+", " "))
+    return strip(F.regexp_replace(out, rf"{SPACE}+", " "))
 
 
 def statement_kind(sql: Column) -> Column:

@@ -12,6 +12,10 @@ from pyspark.sql import functions as F
 # Everything Python's str.strip() removes; Spark's trim() removes spaces only.
 WHITESPACE = "".join(chr(c) for c in range(0x3001) if chr(c).isspace())
 
+# The same characters, and Python's word characters, for regexes; Java's own classes are ASCII.
+SPACE = r"[\s\x1c-\x1f\x85\p{Z}]"
+WORD = r"[\p{L}\p{N}_]"
+
 
 def strip(value: Column) -> Column:
     return F.btrim(value, F.lit(WHITESPACE))

@@ -98,14 +98,24 @@ def test_json_and_text_nested(spark):
     assert got == [("a", {"k": ("int", "1")}), ("b", {})]
 
 
-def test_long_words_take_linear_time(spark):
-    # A megabyte without a parenthesis: quadratic matching would take hours.
-    df = spark.createDataFrame([("x" * 1_000_000,)], "t string")
+def test_words_beyond_ascii(spark):
+    assert _calls(spark, "größe(weite\u00a0=\u00a01, b=é)", call_text.extract_calls_json_and_text) == [
+        ("größe", {"weite": ("str", "1"), "b": ("str", "é")})
+    ]
+    got = _calls(spark, f"Function:\u00a0{CPI}\u2003Parameters: größe=1", call_text.extract_calls_labelled)
+    assert got == [(CPI, {"größe": ("int", "1")})]
+
+
+@pytest.mark.parametrize("piece", ["x", "f(", "{", "{x ", '"name"', "a=", "a ", "call ", "Function: a ", "\n"])
+def test_long_texts_take_linear_time(spark, piece):
+    # A million characters of something that never completes: quadratic matching would take hours.
+    df = spark.createDataFrame([(piece * (1_000_000 // len(piece)),)], "t string")
     row = df.select(
         F.size(call_text.extract_calls_json_and_text(F.col("t"))).alias("a"),
-        F.size(call_text.parse_labelled_parameters(F.col("t"))).alias("b"),
+        F.size(call_text.extract_calls_tiered(F.col("t"))).alias("b"),
+        F.size(call_text.extract_calls_labelled(F.col("t"))).alias("c"),
     ).first()
-    assert (row.a, row.b) == (0, 0)
+    assert (row.a, row.b, row.c) == (0, 0, 0)
 
 
 @pytest.mark.parametrize(

@@ -82,3 +82,15 @@ def test_kind_and_audit(spark, sql, kind, use):
     df = spark.createDataFrame([(sql,)], "s string")
     row = df.select(sql_text.statement_kind(F.col("s")).alias("k"), sql_text.table_audit(F.col("s")).alias("u")).first()
     assert (row.k, row.u) == (kind, use)
+
+
+@pytest.mark.parametrize("piece", ["x", " ", "```", "SELECT ", "a\n", "SELECT\n"])
+def test_long_texts(spark, piece):
+    text = "```sql\n" + piece * (1_000_000 // len(piece)) + "\n```"
+    df = spark.createDataFrame([(text,)], "t string")
+    row = df.select(
+        F.length(sql_text.extract_sql_basic(F.col("t"))).alias("a"),
+        F.length(sql_text.extract_sql_block(F.col("t"))).alias("b"),
+        F.length(sql_text.clean_sql(F.col("t"))).alias("c"),
+    ).first()
+    assert row.c is not None
