@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tallywright.functions.call_text import FUNCTION_DEFAULTS, REQUIRED_KEYS
+from tallywright.functions.questions import classify_question, classify_question_extended
 from tallywright.functions.text import ordered_lookup
 from tallywright.sources.fact_tables import FACT_COLUMNS
 
@@ -108,3 +110,35 @@ def function_prompt(question: Column, functions: Column, context: Column) -> Col
 def catalogue_prompt(question: Column, catalogue: str) -> Column:
     system = SYSTEM_TEXT["catalogue_function"] + "\n\n" + catalogue
     return messages(F.lit(system), _question(question))
+
+
+def catalogue_text(names: list[str]) -> str:
+    """One line per function: required keys, and the defaults of the others."""
+    lines = []
+    for name in names:
+        required = REQUIRED_KEYS.get(name, [])
+        optional = [f"{k}={v}" for k, v in FUNCTION_DEFAULTS.get(name, {}).items() if k not in required]
+        lines.append(f"{name}({', '.join([*required, *optional])})")
+    return "\n".join(lines)
+
+
+def prompt_table(samples: DataFrame, evaluation: str) -> DataFrame:
+    """Samples with the messages of one evaluation, one row per sample, for a batch inference job."""
+    question = F.col("question")
+    context = F.col("context") if "context" in samples.columns else F.lit(None).cast("string")
+    if evaluation == "sql_basic":
+        prompt = sql_prompt(question, context)
+    elif evaluation == "sql":
+        prompt = schema_sql_prompt(question, schema_text(classify_question(question)))
+    elif evaluation == "sql_targeted":
+        schema = schema_text(classify_question_extended(question))
+        prompt = schema_sql_prompt(question, schema, "targeted_sql")
+    elif evaluation == "calls_matching":
+        prompt = function_prompt(question, F.col("available_functions"), context)
+    elif evaluation == "calls_catalogue":
+        prompt = catalogue_prompt(question, catalogue_text(list(REQUIRED_KEYS)))
+    elif evaluation == "calls_executed":
+        prompt = catalogue_prompt(question, catalogue_text(list(FUNCTION_DEFAULTS)))
+    else:
+        raise ValueError(f"no prompt for evaluation: {evaluation}")
+    return samples.select("sample_id", prompt.alias("messages"))

@@ -305,6 +305,9 @@ COMPARISONS = {
 }
 
 
+METRICS = ("spending", "growth", "proportion")
+
+
 def compare_categories(
     df: DataFrame,
     category1: str,
@@ -314,10 +317,17 @@ def compare_categories(
     value: str,
     time_period: tuple[int, int],
     comparison_type: str,
+    metric: str = "spending",
 ) -> DataFrame:
-    """Two categories per year: difference, relative difference, share of the year's total, or ratio."""
+    """Two categories per year: difference, relative difference, percentage or ratio.
+
+    The metric compared is the yearly total, its growth over the year before, or its share
+    of all categories. The percentage is that of the first value in the year's whole.
+    """
     if comparison_type not in COMPARISONS:
         raise ValueError(f"unknown comparison type: {comparison_type}")
+    if metric not in METRICS:
+        raise ValueError(f"unknown metric: {metric}")
     amount = F.col(value)
 
     def of(name: str) -> Column:
@@ -328,8 +338,19 @@ def compare_categories(
         .groupBy(F.col(year).alias("year"))
         .agg(of(category1).alias("value1"), of(category2).alias("value2"), money_sum(amount).alias("whole"))
     )
+    if metric == "growth":
+        # One row per year is left, so the window is tiny.
+        before = W.orderBy("year")
+        per_year = per_year.select(
+            "year", *[(F.try_divide(F.col(c), F.lag(c).over(before)) - 1).alias(c) for c in ("value1", "value2", "whole")]
+        )
+    elif metric == "proportion":
+        per_year = per_year.select(
+            "year", *[F.try_divide(F.col(c), F.col("whole")).alias(c) for c in ("value1", "value2", "whole")]
+        )
     result = COMPARISONS[comparison_type](F.col("value1"), F.col("value2"), F.col("whole"))
-    return per_year.select("year", "value1", "value2", F.round(result, DIGITS).alias("result"))
+    shown = [c if metric == "spending" else F.round(c, DIGITS).alias(c) for c in ("value1", "value2")]
+    return per_year.select("year", *shown, F.round(result, DIGITS).alias("result"))
 
 
 def seasonal_pattern(series: DataFrame) -> DataFrame:

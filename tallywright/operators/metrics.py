@@ -198,7 +198,17 @@ def token_usage(responses: DataFrame, *keys: str) -> DataFrame:
     )
 
 
-def component_means(scores: DataFrame, *keys: str, components: tuple[str, ...] = ("selection", "parameters", "execution", "result")) -> DataFrame:
+COMPONENTS = ("selection", "parameters", "execution", "result")
+
+
+def with_components(results: DataFrame) -> DataFrame:
+    """Component scores of stored results, read from their validation details."""
+    details = F.from_json("validation_details", ", ".join(f"{c} double" for c in COMPONENTS))
+    return results.withColumn("_d", details).select("*", *[f"_d.{c}" for c in COMPONENTS]).drop("_d")
+
+
+def component_means(scores: DataFrame, *keys: str, components: tuple[str, ...] = COMPONENTS) -> DataFrame:
+    """Mean of each component score, per run, model or whatever the keys are."""
     return scores.groupBy(*keys).agg(
         F.count("*").alias("total_samples"),
         *[_rounded(mean(c)).alias(f"mean_{c}") for c in components],

@@ -258,7 +258,9 @@ def _(spark, sf):
     kinds = {
         "sql": prompts.sql_prompt(q, c),
         "schema_sql": prompts.schema_sql_prompt(q, schema),
+        "targeted_sql": prompts.schema_sql_prompt(q, schema, "targeted_sql"),
         "function": prompts.function_prompt(q, tools, c),
+        "catalogue": prompts.catalogue_prompt(q, "f()"),
         "wrapped": prompts.messages(F.lit("s"), q, c),
     }
     one = [
@@ -854,6 +856,14 @@ def _(spark, sf):
     return reduce(lambda a, b: a.unionByName(b), parts)
 
 
+@query("d4_compare_growth")
+def _(spark, sf):
+    df = view(spark, sf, "fx_budget_outlays")
+    return economics.compare_categories(
+        df, "1-URGENT", "5-LOW", "function_name", "fiscal_year", "outlay_amount", (2014, 2020), "absolute", "growth"
+    )
+
+
 def _patterns(spark: SparkSession, sf: str, kind: str, horizon: str = "long_term", confidence: float = 0.95) -> DataFrame:
     df = view(spark, sf, "fx_time_series_data")
     return economics.identify_patterns(df, kind, ["BLS", "BEA", "OMB"], horizon, confidence)

@@ -8,6 +8,8 @@ with score 0.
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -17,7 +19,7 @@ from tallywright.functions.call_text import (
     extract_calls_labelled,
     extract_calls_tiered,
 )
-from tallywright.functions.questions import expected_calls
+from tallywright.functions.questions import DIFFICULTIES, expected_calls
 from tallywright.functions.sql_text import (
     extract_sql_basic,
     extract_sql_block,
@@ -30,12 +32,12 @@ from tallywright.operators.call_execution import (
     with_requests,
 )
 from tallywright.operators.metrics import (
+    EVALUATION_TYPES,
     all_metrics,
     detailed_breakdown,
     error_patterns,
     error_rates,
     metrics_by,
-    of_evaluation_type,
     overall_metrics,
 )
 from tallywright.operators.result_sets import database_verdict, sql_verdict
@@ -49,8 +51,11 @@ from tallywright.operators.statement_runs import (
     statement_id,
     with_execution,
 )
+from tallywright.session import stored
 from tallywright.sources.fact_tables import register_facts
+from tallywright.sources.question_sets import mixed_samples
 from tallywright.sources.responses import normalise_responses
+from tallywright.sources.sinks import save_results
 
 KEYS = ["run_id", "model", "sample_id"]
 NO_SQL = "No SQL found in response"
@@ -116,6 +121,11 @@ def evaluate_sql(
     return result_row(scored, F.col("is_correct"), F.col("score"), details)
 
 
+def evaluate_sql_targeted(samples: DataFrame, responses: DataFrame, facts: dict[str, DataFrame]) -> DataFrame:
+    """Same, where a semicolon on a statement's first line ends it."""
+    return evaluate_sql(samples, responses, facts, first_line_semicolon=True)
+
+
 def evaluate_sql_basic(samples: DataFrame, responses: DataFrame, facts: dict[str, DataFrame]) -> DataFrame:
     """Ordered equality with the result of the sample's reference statement."""
     register_facts(facts)
@@ -191,6 +201,7 @@ def evaluate_calls_matching(samples: DataFrame, responses: DataFrame, nested: bo
 # All scorers by name; any ``(samples, responses, ...) -> results`` may be added.
 EVALUATIONS: dict[str, Callable[..., DataFrame]] = {
     "sql": evaluate_sql,
+    "sql_targeted": evaluate_sql_targeted,
     "sql_basic": evaluate_sql_basic,
     "calls_executed": evaluate_calls_executed,
     "calls_catalogue": evaluate_calls_catalogue,
@@ -215,21 +226,63 @@ def analyze(results: DataFrame) -> dict[str, DataFrame]:
     }
 
 
+@dataclass(frozen=True)
+class RunOptions:
+    """What to evaluate and what to keep; counts of None take all samples, 0 takes none."""
+
+    evaluation_type: str = "mixed"
+    sql_samples: int | None = None
+    function_samples: int | None = None
+    difficulties: tuple[str, ...] = ()
+    order: str = "pos"
+    output_dir: str | None = None
+    prefix: str = "evaluation"
+
+    def __post_init__(self) -> None:
+        if self.evaluation_type not in EVALUATION_TYPES:
+            raise ValueError(f"unknown evaluation type: {self.evaluation_type}")
+        if any(n is not None and n < 0 for n in (self.sql_samples, self.function_samples)):
+            raise ValueError("sample counts must not be negative")
+        unknown = set(self.difficulties) - set(DIFFICULTIES)
+        if unknown:
+            raise ValueError(f"unknown difficulties: {sorted(unknown)}")
+
+
+def chosen_samples(samples: DataFrame, options: RunOptions) -> DataFrame:
+    """The samples a run covers; a full run takes every sample of the chosen difficulties."""
+    full = options.evaluation_type == "full"
+    counts = {"sql": options.sql_samples, "function": options.function_samples}
+    sides = []
+    for family in ("sql", "function"):
+        wanted = family in EVALUATION_TYPES[options.evaluation_type]
+        count = None if full else counts[family]
+        sides.append((samples.where(F.col("evaluation_type") == family), count if wanted else 0))
+    (sql, n_sql), (function, n_function) = sides
+    return mixed_samples(sql, function, n_sql, n_function, list(options.difficulties), options.order)
+
+
 def run_and_analyze(
     samples: DataFrame,
     responses: DataFrame,
     facts: dict[str, DataFrame],
     coverage: DataFrame,
-    evaluation_type: str = "mixed",
-) -> dict[str, DataFrame]:
-    """Evaluate the families an evaluation type covers, and aggregate."""
-    chosen = of_evaluation_type(samples, evaluation_type)
-    sql = chosen.where(F.col("evaluation_type") == "sql")
-    function = chosen.where(F.col("evaluation_type") == "function")
+    options: RunOptions | None = None,
+) -> dict[str, DataFrame | dict[str, str]]:
+    """Evaluate the chosen samples, aggregate, and store results where a folder is given.
+
+    Results are stored before they are aggregated, so each answer is scored once.
+    """
+    options = options or RunOptions()
+    families = EVALUATION_TYPES[options.evaluation_type]
+    chosen = chosen_samples(samples, options)
     parts = []
-    if evaluation_type != "function":
-        parts.append(evaluate_sql(sql, responses, facts))
-    if evaluation_type != "sql":
+    if "sql" in families:
+        parts.append(evaluate_sql(chosen.where(F.col("evaluation_type") == "sql"), responses, facts))
+    if "function" in families:
+        function = chosen.where(F.col("evaluation_type") == "function")
         parts.append(evaluate_calls_executed(function, responses, coverage))
-    results = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
-    return {"results": results, **analyze(results)}
+    results = stored(reduce(lambda a, b: a.unionByName(b), parts), "results")
+    out = {"results": results, **analyze(results)}
+    if options.output_dir:
+        out["saved_files"] = save_results(results, options.output_dir, options.prefix)
+    return out

@@ -359,6 +359,10 @@ SELECT sample_id, 'sql' AS kind, 'system' AS role, {_SYSTEM['sql']} AS content F
 UNION ALL SELECT sample_id, 'sql', 'user', 'Question: ' || question || chr(10) || chr(10) || 'Context: ' || coalesce(context, 'No additional context provided') FROM base
 UNION ALL SELECT sample_id, 'schema_sql', 'system', {_SYSTEM['schema_sql']} FROM base
 UNION ALL SELECT sample_id, 'schema_sql', 'user', 'Question: ' || question || chr(10) || chr(10) || 'Database Schema:' || chr(10) || schema_text FROM base
+UNION ALL SELECT sample_id, 'targeted_sql', 'system', {_SYSTEM['targeted_sql']} FROM base
+UNION ALL SELECT sample_id, 'targeted_sql', 'user', 'Question: ' || question || chr(10) || chr(10) || 'Database Schema:' || chr(10) || schema_text FROM base
+UNION ALL SELECT sample_id, 'catalogue', 'system', {_SYSTEM['catalogue_function']} || chr(10) || chr(10) || 'f()' FROM base
+UNION ALL SELECT sample_id, 'catalogue', 'user', 'Question: ' || question FROM base
 UNION ALL SELECT sample_id, 'function', 'system', {_SYSTEM['function']} FROM base
 UNION ALL SELECT sample_id, 'function', 'user', 'Question: ' || question || chr(10) || chr(10) || 'Available Functions:' || chr(10) || '- f: d' || chr(10) || '- g: No description'
   || chr(10) || chr(10) || 'Context: ' || coalesce(context, 'No additional context provided') FROM base
@@ -899,6 +903,14 @@ _add(
 (VALUES ('absolute'), ('relative'), ('percentage'), ('ratio')) AS t(c)""",
     "fx_budget_outlays",
 )
+_add(
+    "d4_compare_growth",
+    """SELECT year, round(a / lag(a) OVER w - 1, 6) AS value1, round(b / lag(b) OVER w - 1, 6) AS value2,
+  round(a / lag(a) OVER w - b / lag(b) OVER w, 6) AS result FROM y WINDOW w AS (ORDER BY year)""",
+    "fx_budget_outlays",
+    ctes=f"""y AS (SELECT fiscal_year AS year, {_money("CASE WHEN function_name = '1-URGENT' THEN outlay_amount END")} AS a,
+  {_money("CASE WHEN function_name = '5-LOW' THEN outlay_amount END")} AS b FROM fx_budget_outlays WHERE fiscal_year BETWEEN 2014 AND 2020 GROUP BY 1)""",
+)
 _add(
     "d5_seasonal",
     """SELECT series_id, period_value, round(avg(numeric_value) / any_value(m), 6) AS seasonal_index

@@ -5,8 +5,9 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from tallywright.functions import prompts
 from tallywright.functions.call_text import extract_calls_labelled
-from tallywright.operators import statement_runs
+from tallywright.operators import metrics, statement_runs
 from tallywright.operators.call_execution import (
     fact_coverage,
     result_accuracy,
@@ -222,7 +223,8 @@ def test_executed_calls_and_reports(spark, facts, coverage, tmp_path):
             ("s1", "m", "SELECT SUM(outlay_amount) FROM budget_outlays", 1.0, None),
         ],
     )
-    out = evaluations.run_and_analyze(samples, answers, facts, coverage)
+    options = evaluations.RunOptions(order="sample_id", output_dir=str(tmp_path / "out"))
+    out = evaluations.run_and_analyze(samples, answers, facts, coverage, options)
     got = {r.sample_id: r for r in out["results"].collect()}
     # The series id differs in case only: parameters match, but no fact has that key.
     assert (got["f1"].is_correct, got["f1"].score) == (True, 0.75)
@@ -231,10 +233,12 @@ def test_executed_calls_and_reports(spark, facts, coverage, tmp_path):
     assert got["s1"].is_correct is True
     assert out["overall_metrics"].first().total_samples == 3
     assert {r.evaluation_type: r.accuracy for r in out["metrics_by_type"].collect()} == {"sql": 1.0, "function": 0.5}
-    with pytest.raises(ValueError):
-        evaluations.run_and_analyze(samples, answers, facts, coverage, "other")
+    assert out["overall_metrics"].first().average_execution_time == 0.001
+    # Component scores can be read back from stored results.
+    parts = metrics.component_means(metrics.with_components(out["results"].where("evaluation_type = 'function'")), "model").first()
+    assert (parts.mean_selection, parts.mean_execution, parts.mean_result) == (0.5, 0.75, 0.25)
 
-    paths = sinks.save_results(out["results"], str(tmp_path / "out"))
+    paths = out["saved_files"]
     stored = spark.read.json(paths["json_path"])
     assert stored.count() == 3 and set(sinks.RESULT_FIELDS) <= set(stored.columns)
     header = spark.read.option("header", True).csv(paths["csv_path"])
@@ -243,6 +247,41 @@ def test_executed_calls_and_reports(spark, facts, coverage, tmp_path):
     assert "- Total Samples: 3" in report and "### FUNCTION" in report and "Error Analysis" not in report
 
 
+def test_run_options_choose_samples(spark):
+    df = spark.createDataFrame(
+        [(i, "sql" if i % 2 else "function", ["easy", "medium", "hard"][i % 3]) for i in range(12)],
+        "pos int, evaluation_type string, difficulty string",
+    )
+
+    def pick(**options):
+        return sorted(r.pos for r in evaluations.chosen_samples(df, evaluations.RunOptions(**options)).collect())
+
+    assert pick() == list(range(12))
+    assert pick(evaluation_type="sql", sql_samples=2) == [1, 3]
+    assert pick(evaluation_type="function", difficulties=("hard",)) == [2, 8]
+    assert pick(sql_samples=1, function_samples=0) == [1]
+    assert pick(evaluation_type="full", sql_samples=1) == list(range(12))
+    for bad in ({"evaluation_type": "other"}, {"sql_samples": -1}, {"difficulties": ("brutal",)}):
+        with pytest.raises(ValueError):
+            evaluations.RunOptions(**bad)
+
+
+def test_prompt_tables(spark):
+    samples = spark.createDataFrame(
+        [("a", "Which state grew?", None, [("f", None)])],
+        "sample_id string, question string, context string, available_functions array<struct<name string, description string>>",
+    )
+    for name in evaluations.EVALUATIONS:
+        system, user = prompts.prompt_table(samples, name).first().messages
+        assert (system.role, user.role) == ("system", "user") and "Which state grew?" in user.content
+        if name == "sql":
+            assert "TABLE: regional_data" in user.content
+        if name == "calls_matching":
+            assert "- f: No description" in user.content and prompts.NO_CONTEXT in user.content
+        if name == "calls_catalogue":
+            assert "get_regional_income(state, year, line_code=SA1-1)" in system.content
+
+
 def test_both_ways_to_meet_the_facts_agree(spark, coverage):
     texts = [
         "get_cpi_data(start_year=2015, end_year=2016) get_cpi_data(start_year=2017, end_year=2018)",
