@@ -897,6 +897,26 @@ def _(spark, sf):
 # Whole evaluations
 
 
+def _sql_inputs(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, dict[str, DataFrame]]:
+    samples = view(spark, sf, "fx_sql_samples").withColumn(
+        "expected_result", F.from_json("expected", "array<map<string,variant>>")
+    )
+    facts = {"budget_outlays": view(spark, sf, "fx_budget_outlays")}
+    return samples, view(spark, sf, "fx_sql_responses", wide=True), facts
+
+
+@query("sql_evaluation")
+def _(spark, sf):
+    results = evaluations.evaluate_sql(*_sql_inputs(spark, sf))
+    return results.select("sample_id", "model", "difficulty", "is_correct", _r("score").alias("score"))
+
+
+@query("sql_basic_evaluation")
+def _(spark, sf):
+    results = evaluations.evaluate_sql_basic(*_sql_inputs(spark, sf))
+    return results.select("sample_id", "model", "is_correct", "score")
+
+
 @query("function_evaluation")
 def _(spark, sf):
     """Answers to calls, calls to facts, scores to reports: the flagship query."""

@@ -23,6 +23,7 @@ from tallywright.functions.questions import DIFFICULTIES, expected_calls
 from tallywright.functions.sql_text import (
     extract_sql_basic,
     extract_sql_block,
+    statement_kind,
     table_audit,
 )
 from tallywright.operators import call_scores as scores
@@ -127,7 +128,11 @@ def evaluate_sql_targeted(samples: DataFrame, responses: DataFrame, facts: dict[
 
 
 def evaluate_sql_basic(samples: DataFrame, responses: DataFrame, facts: dict[str, DataFrame]) -> DataFrame:
-    """Ordered equality with the result of the sample's reference statement."""
+    """Ordered equality with the result of the sample's reference statement.
+
+    Only statements that start with SELECT yield rows to compare; any other that runs,
+    such as one starting with WITH, equals just another of its kind.
+    """
     register_facts(facts)
     answers = answered(samples, responses).withColumn("sql", extract_sql_basic(F.col("content")))
     both = answers.select("sql").union(samples.select(F.col("ground_truth_sql").alias("sql")))
@@ -142,12 +147,13 @@ def evaluate_sql_basic(samples: DataFrame, responses: DataFrame, facts: dict[str
     ran = ran.join(reference, "reference_id", "left")
     pairs = ran.where(F.col("executed") & F.col("reference_executed")).select("sql_id", "reference_id")
     ran = ran.join(statement_equality(pairs, rows), ["sql_id", "reference_id"], "left")
+    yields, reference_yields = [statement_kind(F.col(c)) == "rows" for c in ("sql", "ground_truth_sql")]
     ok = database_verdict(
         F.col("sql").isNotNull(),
         F.col("executed"),
         has_reference,
         F.col("reference_executed"),
-        F.col("is_equal"),
+        F.when(yields & reference_yields, F.col("is_equal")).otherwise(~yields & ~reference_yields),
     )
     details = F.struct(F.col("sql").alias("predicted_sql"), F.col("execution_message"))
     scored = ran.withColumn("ok", ok)

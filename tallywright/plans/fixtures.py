@@ -86,6 +86,14 @@ SELECT o_orderkey AS sample_id, 'm' || CAST(o_custkey % 4 AS STRING) AS model,
          WHEN 10 THEN 'Try: ```sql SELECT fiscal_year, function_name FROM budget_outlays WHERE record_id < 0``` or ```sql SELECT 2```'
          ELSE 'DELETE FROM budget_outlays;' END AS content,
        100 + o_custkey % 500 AS prompt_tokens, 10 + o_custkey % 90 AS completion_tokens
+FROM orders""",
+    # What each SQL question expects: rows as JSON, and a reference statement.
+    "fx_sql_samples": """
+SELECT o_orderkey AS sample_id, 'How much in ' || CAST(year(o_orderdate) + 19 AS STRING) || '?' AS question, 'sql' AS evaluation_type,
+       CASE WHEN o_orderstatus = 'F' THEN 'easy' WHEN o_orderstatus = 'O' THEN 'medium' ELSE 'hard' END AS difficulty,
+       CASE o_orderkey % 5 WHEN 0 THEN '[{"n": 1}]' WHEN 1 THEN '[]' WHEN 3 THEN '[{"year": 2014, "name": "x"}]' WHEN 4 THEN '[{"n": 1}, {"n": 2}]' END AS expected,
+       CASE o_orderkey % 5 WHEN 0 THEN 'SELECT 1' WHEN 1 THEN '' WHEN 2 THEN 'SELECT count(*) AS n' WHEN 3 THEN 'SELECT SUM(outlay_amount) FROM budget_outlays'
+         ELSE 'SELECT broken FROM nowhere' END AS ground_truth_sql
 FROM orders""",
     "fx_call_responses": """
 SELECT event_id AS sample_id, 'm' || CAST(user_id % 4 AS STRING) AS model,

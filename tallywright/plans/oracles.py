@@ -942,3 +942,24 @@ _add(
     "fx_time_series_data",
     ctes=_totals("fx_time_series_data", "source", "year", "numeric_value"),
 )
+
+# SQL evaluations: the outcome follows from the twelve answer forms and five kinds of question.
+_FORMS_OF = """forms AS (SELECT r.sample_id, r.model, s.difficulty, r.sample_id % 12 AS answer, r.sample_id % 5 AS kind
+  FROM fx_sql_responses r JOIN fx_sql_samples s USING (sample_id))"""
+_add(
+    "sql_evaluation",
+    """SELECT sample_id, model, difficulty, ran AND result >= 0.9 AS is_correct, round(CASE WHEN ran THEN 0.4 + 0.6 * result ELSE 0.0 END, 6) AS score FROM (
+SELECT *, answer IN (0, 1, 7, 8, 9, 10) AS ran, CASE WHEN kind IN (1, 2) THEN 1.0::DOUBLE WHEN kind = 0 AND answer = 7 THEN 1.0
+  WHEN kind = 4 AND answer = 7 THEN 2.0 / 3 ELSE 0.0 END AS result FROM forms)""",
+    "fx_sql_responses",
+    "fx_sql_samples",
+    ctes=_FORMS_OF,
+)
+_add(
+    "sql_basic_evaluation",
+    """SELECT sample_id, model, ok AS is_correct, CAST(ok AS DOUBLE) AS score FROM (SELECT *, answer IN (0, 1, 5, 7, 9, 10) AND
+  (kind = 1 OR (kind IN (0, 2) AND answer = 7) OR (kind = 3 AND answer = 1)) AS ok FROM forms)""",
+    "fx_sql_responses",
+    "fx_sql_samples",
+    ctes=_FORMS_OF,
+)
