@@ -36,9 +36,9 @@ DIALECT_CLASSES = ("PARSE_SYNTAX_ERROR", "UNRESOLVED_ROUTINE")
 INDEX_BITS = 33
 
 
-def statement_id(sql: Column) -> Column:
+def statement_id(sql: Column, cleaned: bool = False) -> Column:
     """Identity of a statement: the hash of its cleaned text."""
-    return F.sha2(clean_sql(sql), 256)
+    return F.sha2(sql if cleaned else clean_sql(sql), 256)
 
 
 def refusal(sql: str) -> str | None:
@@ -98,11 +98,16 @@ def _statuses(spark: SparkSession, todo: Iterator, folder: str, parallel: int, d
 
 
 def run_statements(
-    statements: DataFrame, sql: str = "sql", parallel: int = 4, digits: int | None = ROUND_DIGITS, batch: int = 1000
+    statements: DataFrame,
+    sql: str = "sql",
+    cleaned: bool = False,
+    parallel: int = 4,
+    digits: int | None = ROUND_DIGITS,
+    batch: int = 1000,
 ) -> tuple[DataFrame, DataFrame]:
     """Run each distinct statement once; give ``(status, rows)`` keyed by ``sql_id``.
 
-    ``rows`` holds ``row_key`` for the unordered and ``ordered_key`` with ``pos`` for the
+    Statements are cleaned first unless they already are. ``rows`` holds ``row_key`` for the unordered and ``ordered_key`` with ``pos`` for the
     ordered comparison. Attach statuses to answers through ``statement_id``.
     """
     spark = statements.sparkSession
@@ -110,7 +115,7 @@ def run_statements(
     # Blank statements are skipped in the loop: a filter here would be pushed below the
     # projection and have every statement extracted and cleaned twice.
     distinct = (
-        statements.select(clean_sql(F.col(sql)).alias("sql"))
+        statements.select((F.col(sql) if cleaned else clean_sql(F.col(sql))).alias("sql"))
         .distinct()
         .select(F.sha2("sql", 256).alias("sql_id"), "sql")
     )

@@ -21,6 +21,7 @@ from tallywright.functions.call_text import (
 )
 from tallywright.functions.questions import DIFFICULTIES, expected_calls
 from tallywright.functions.sql_text import (
+    clean_sql,
     extract_sql_basic,
     extract_sql_block,
     statement_kind,
@@ -100,11 +101,15 @@ def evaluate_sql(
     register_facts(facts)
     sql = extract_sql_block(F.col("content"), first_line_semicolon)
     answers = answered(samples, responses).withColumn("sql", sql)
-    status, rows = run_statements(answers)
+    # The distinct (sample, statement) pairs are stored: what follows works on them, and the
+    # answer texts are read again only for the result rows.
+    asked = stored(answers.select("sample_id", clean_sql(F.col("sql")).alias("sql")).distinct(), "asked")
+    status, rows = run_statements(asked, cleaned=True)
     ran = with_execution(answers, status)
     if "expected_result" in samples.columns:
         expects = F.coalesce(F.size("expected_result") > 0, F.lit(False))
-        pairs = ran.where("executed").where(expects).select("sql_id", "sample_id")
+        pairs = asked.select("sample_id", statement_id(F.col("sql"), cleaned=True).alias("sql_id"))
+        pairs = pairs.join(status.where("status = 'ok'"), "sql_id")
         similarity = statement_similarity(pairs, rows, expected_rows(samples))
         ran = ran.join(similarity, ["sql_id", "sample_id"], "left")
     else:
@@ -135,9 +140,16 @@ def evaluate_sql_basic(samples: DataFrame, responses: DataFrame, facts: dict[str
     """
     register_facts(facts)
     answers = answered(samples, responses).withColumn("sql", extract_sql_basic(F.col("content")))
-    both = answers.select("sql").union(samples.select(F.col("ground_truth_sql").alias("sql")))
-    status, rows = run_statements(both)
     has_reference = F.coalesce(F.length("ground_truth_sql") > 0, F.lit(False))
+    asked = stored(
+        answers.select(
+            clean_sql(F.col("sql")).alias("sql"),
+            F.when(has_reference, clean_sql(F.col("ground_truth_sql"))).alias("reference"),
+        ).distinct(),
+        "asked",
+    )
+    each = asked.select("sql").union(asked.select(F.col("reference").alias("sql")))
+    status, rows = run_statements(each, cleaned=True)
     ran = with_execution(answers, status).withColumn(
         "reference_id", F.when(has_reference, statement_id(F.col("ground_truth_sql")))
     )
@@ -145,7 +157,10 @@ def evaluate_sql_basic(samples: DataFrame, responses: DataFrame, facts: dict[str
         F.col("sql_id").alias("reference_id"), (F.col("status") == "ok").alias("reference_executed")
     )
     ran = ran.join(reference, "reference_id", "left")
-    pairs = ran.where(F.col("executed") & F.col("reference_executed")).select("sql_id", "reference_id")
+    pairs = asked.select(
+        statement_id(F.col("sql"), cleaned=True).alias("sql_id"),
+        statement_id(F.col("reference"), cleaned=True).alias("reference_id"),
+    ).na.drop()
     ran = ran.join(statement_equality(pairs, rows), ["sql_id", "reference_id"], "left")
     yields, reference_yields = [statement_kind(F.col(c)) == "rows" for c in ("sql", "ground_truth_sql")]
     ok = database_verdict(
