@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-BUCKET_WIDTH = 1 << 16
+BUCKET_WIDTH = 1 << 20
 
 
 def dense_positions(

@@ -14,8 +14,12 @@ from pyspark.sql import types as T
 
 from tallywright.functions.call_text import calls_from_items, no_calls
 from tallywright.functions.questions import normal_difficulty
+from tallywright.operators.positions import dense_positions
 from tallywright.session import configure
 
+# Spark's own bound for limiting groups ahead of a window (spark.sql.window.groupLimitThreshold).
+GROUP_LIMIT = 1000
+
 _CALL = "struct<name:string,function_name:string,arguments:variant,parameters:variant>"
 _TOOL = "struct<name:string,description:string>"
 # Every key under which a field may appear, in any of the three kinds of set.
@@ -137,13 +141,21 @@ def filter_difficulty(samples: DataFrame, difficulties: list[str] | None) -> Dat
 
 
 def first_samples(samples: DataFrame, n: int | None, order: str = "pos", per: str | None = None) -> DataFrame:
-    """The first ``n`` samples in file order, over all or per value of ``per``; None or 0 keeps all."""
+    """The first ``n`` samples in file order, over all or per value of ``per``; None or 0 keeps all.
+
+    Spark cuts groups down before the shuffle for a small ``n``. For a large one the rows
+    of a group are numbered range by range, so that no task sorts a whole group.
+    """
     if not n:
         return samples
     if per is None:
         return samples.orderBy(order).limit(n)
-    rank = F.row_number().over(W.partitionBy(per).orderBy(order))
-    return samples.withColumn("_rank", rank).where(F.col("_rank") <= n).drop("_rank")
+    if n <= GROUP_LIMIT:
+        rank = F.row_number().over(W.partitionBy(per).orderBy(order))
+        ranked = samples.withColumn("_rank", rank)
+    else:
+        ranked = dense_positions(samples, [per], order, name="_rank")
+    return ranked.where(F.col("_rank") <= n).drop("_rank")
 
 
 def mixed_samples(

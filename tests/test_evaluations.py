@@ -323,6 +323,10 @@ def test_selection_of_samples(spark):
     assert pick(question_sets.first_samples(question_sets.filter_difficulty(df, ["hard"]), 2)) == [1, 3]
     assert pick(question_sets.first_samples(df, 0)) == list(range(10))
     assert pick(question_sets.first_samples(df, 1, per="difficulty")) == [0, 1]
+    many = spark.range(4000).select(F.col("id").alias("pos"), (F.col("id") % 4 == 0).alias("kind"))
+    assert pick(question_sets.first_samples(many, 1500, per="kind")) == sorted(
+        [i for i in range(4000) if i % 4 == 0] + [i for i in range(4000) if i % 4][:1500]
+    )
     both = question_sets.mixed_samples(df, df.withColumn("x", F.lit(1)), 0, 3)
     assert pick(both) == [0, 1, 2] and "x" in both.columns
     assert question_sets.mixed_samples(df, df, 0, 0).count() == 0
