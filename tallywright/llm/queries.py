@@ -2,12 +2,29 @@
 
 from __future__ import annotations
 
-from tallywright.llm import quality_rules
+from pyspark.sql import functions as F
+
+from tallywright.llm import byte_network, quality_rules, toxicity
+from tallywright.llm.labelled import id_remainder
 from tallywright.llm.registry import ORACLES, QUERIES, query, spread, table
 
 __all__ = ["ORACLES", "QUERIES"]
 
 
+@query("op3_quality_classifier")
+def _(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    taught = table(spark, sf_dir, "labels").where(id_remainder(F.col("doc_id"), 4) != 2)
+    return byte_network.byte_quality(spread(docs), byte_network.train(docs, taught), 4, 2)
+
+
+@query("op4_toxicity")
+def _(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    taught = table(spark, sf_dir, "labels").where(id_remainder(F.col("doc_id"), 5) != 0)
+    return toxicity.toxicity(spread(docs), toxicity.train(docs, taught), 5, 0)
+
+
 @query("op9_quality_rules")
 def _(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
