@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tallywright.llm import byte_network, quality_rules, toxicity
+from tallywright.llm import byte_network, minhash, quality_rules, toxicity
 from tallywright.llm.labelled import id_remainder
 from tallywright.llm.registry import ORACLES, QUERIES, query, spread, table
 
@@ -25,6 +25,11 @@ def _(spark, sf_dir):
     return toxicity.toxicity(spread(docs), toxicity.train(docs, taught), 5, 0)
 
 
+@query("op5_minhash")
+def _(spark, sf_dir):
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"), 4, 80, spread)
+
+
 @query("op9_quality_rules")
 def _(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")

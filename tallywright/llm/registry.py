@@ -2,21 +2,49 @@
 
 from __future__ import annotations
 
+import shutil
+import tempfile
 from collections.abc import Callable
+from functools import cache, wraps
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
+import tallywright
+
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 
 
-def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
+@cache
+def _shipped(application: str) -> str:
+    """A zip of the package for the Python workers, made once per application."""
+    package = Path(tallywright.__file__).parent
+    return shutil.make_archive(f"{tempfile.mkdtemp()}/tallywright", "zip", package.parent, package.name)
+
+
+def ship(spark: SparkSession) -> None:
+    """Make the package importable in Python workers that do not have it installed."""
+    path = _shipped(spark.sparkContext.applicationId)
+    if not any(file.endswith("/tallywright.zip") for file in spark.sparkContext.listFiles):
+        spark.sparkContext.addPyFile(path)
+
+
+def query(name: str, sql: str | None = None, native: bool = False) -> Callable[[Query], Query]:
+    """Register a query; ``native`` ones run no Python on the executors."""
+
     def add(fn: Query) -> Query:
-        QUERIES[name] = fn
+        @wraps(fn)
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            if not native:
+                ship(spark)
+            return fn(spark, sf_dir)
+
+        QUERIES[name] = run
         if sql:
             ORACLES[name] = sql
-        return fn
+        return run
 
     return add
 
