@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tallywright.llm import byte_network, minhash, quality_rules, toxicity
+from tallywright.llm import bilinear_lm, byte_network, minhash, quality_rules, toxicity
 from tallywright.llm.labelled import id_remainder
 from tallywright.llm.registry import ORACLES, QUERIES, query, spread, table
 
@@ -30,6 +30,11 @@ def _(spark, sf_dir):
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), 4, 80, spread)
 
 
+@query("op6_lm_scoring")
+def _(spark, sf_dir):
+    return bilinear_lm.score_texts(spread(table(spark, sf_dir, "documents").select("doc_id", "text")), 7, 2)
+
+
 @query("op9_quality_rules")
 def _(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
