@@ -4,10 +4,20 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tallywright.llm import bilinear_lm, byte_network, minhash, quality_rules, toxicity
+from tallywright.llm import bilinear_lm, byte_network, minhash, packing, quality_rules, toxicity
 from tallywright.llm.labelled import id_remainder
 from tallywright.llm.registry import ORACLES, QUERIES, query, spread, table
 
+TOKENIZER = "word_bpe_49k.json"
+
+
+def tokenizer_path() -> str:
+    """Where this machine keeps the public tokenizers; the same on all executors."""
+    import public_tokenizers
+
+    return public_tokenizers.path(TOKENIZER)
+
+
 __all__ = ["ORACLES", "QUERIES"]
 
 
@@ -35,6 +45,11 @@ def _(spark, sf_dir):
     return bilinear_lm.score_texts(spread(table(spark, sf_dir, "documents").select("doc_id", "text")), 7, 2)
 
 
+@query("op7_packing")
+def _(spark, sf_dir):
+    return packing.pack(spread(table(spark, sf_dir, "documents").select("doc_id", "text")), tokenizer_path())
+
+
 @query("op9_quality_rules")
 def _(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
