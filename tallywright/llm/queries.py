@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tallywright.llm import bilinear_lm, byte_network, minhash, packing, quality_rules, toxicity
+from tallywright.llm import bilinear_lm, byte_network, domain_mixing, minhash, packing, quality_rules, shuffle_shards, toxicity
 from tallywright.llm.labelled import id_remainder
 from tallywright.llm.registry import ORACLES, QUERIES, query, spread, table
 
@@ -55,3 +55,18 @@ def _(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     rules = quality_rules.train(docs, table(spark, sf_dir, "labels"))
     return quality_rules.quality_rules(spread(docs), rules)
+
+
+@query("op8_sharding", native=True)
+def _(spark, sf_dir):
+    return shuffle_shards.shard_digest(table(spark, sf_dir, "documents"), 8)
+
+
+@query("op10_mixing", native=True)
+def _(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    labelled = docs.join(table(spark, sf_dir, "labels").select("doc_id").distinct(), "doc_id", "left_semi")
+    labelled = labelled.select("doc_id", F.col("lang").alias("domain"))
+    mixed, domains = domain_mixing.mix(docs.select("doc_id", "text"), labelled)
+    shares = [F.col("p")[k].alias(f"p_{d}") for k, d in enumerate(domains)]
+    return mixed.select("record.doc_id", "tokens", *shares, "rate")
