@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tallywright.llm import bilinear_lm, byte_network, chat_snapshots, domain_mixing, minhash, packing, quality_rules, shuffle_shards, toxicity
+from tallywright.llm import bilinear_lm, byte_network, chat_snapshots, domain_mixing, flat_graph, minhash, packing, quality_rules, shuffle_shards, toxicity
 from tallywright.llm.labelled import id_remainder
 from tallywright.llm.registry import ORACLES, QUERIES, query, spread, table
 
@@ -21,6 +21,11 @@ def tokenizer_path() -> str:
 __all__ = ["ORACLES", "QUERIES"]
 
 
+@query("op1_embedding_neardup")
+def _(spark, sf_dir):
+    return flat_graph.near_duplicate_vectors(table(spark, sf_dir, "embeddings"), 0.9, spread)
+
+
 @query("op2_chat_formatting", chat_snapshots.SQL, native=True)
 def _(spark, sf_dir):
     return chat_snapshots.format_chats(table(spark, sf_dir, "conversations"))
