@@ -41,8 +41,9 @@ MAX_SAMPLE = 1 << 16
 DEGREE = 24
 CANDIDATES = 64
 LONG_RANGE = 8
+KEPT_BACK = 2
 ALPHA = 1.2
-BEAM = 16
+BEAM = 24
 SLACK = 1e-4  # for single precision; links are verified afterwards
 
 MEMBERS = "node bigint, vector array<float>, weight bigint, cells array<int>"
@@ -207,7 +208,19 @@ def build(vectors: np.ndarray, seed: int) -> list[np.ndarray]:
     both = np.full((n, min(int(counts.max()), 4 * DEGREE)), -1, np.int64)
     fits = place < both.shape[1]
     both[tail[fits], place[fits]] = head[fits]
+    first = lists[:, :KEPT_BACK]
     lists = prune(similar, both)
+    # A node stays reachable from its nearest neighbours, whatever shades it there.
+    tail, head = first.ravel(), np.repeat(np.arange(n), first.shape[1])
+    tail, head = tail[tail >= 0], head[tail >= 0]
+    fresh = ~(lists[tail] == head[:, None]).any(axis=1)
+    tail, head = tail[fresh], head[fresh]
+    order = np.argsort(tail, kind="stable")
+    tail, head = tail[order], head[order]
+    counts = np.bincount(tail, minlength=n)
+    back = np.full((n, int(counts.max())), -1, np.int64)
+    back[tail, np.arange(len(tail)) - np.repeat(np.r_[0, np.cumsum(counts)[:-1]], counts)] = head
+    lists = np.concatenate([lists, back], axis=1)
     extra: list[tuple[int, int]] = []
     start = medoid(x)
     seen = reach(lists, start)
@@ -244,7 +257,21 @@ def united(members: DataFrame) -> DataFrame:
 # Search
 
 
-def range_search(x: np.ndarray, lists: np.ndarray, queries: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+class Lists(NamedTuple):
+    """Adjacency lists by place, one after another."""
+
+    offsets: np.ndarray
+    ends: np.ndarray
+
+    def neighbours(self, q: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Pairs of each ``q`` and the neighbours of its ``node``."""
+        counts = self.offsets[node + 1] - self.offsets[node]
+        before = np.repeat(np.r_[0, np.cumsum(counts)[:-1]], counts)
+        place = np.repeat(self.offsets[node], counts) + np.arange(len(before)) - before
+        return np.repeat(q, counts), self.ends[place]
+
+
+def range_search(x: np.ndarray, lists: Lists, queries: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
     """Pairs (query, node) with a cosine from ``threshold``, as far as the graph leads.
 
     A beam search from the medoid, two nodes of each query's beam at a time, then an expansion of all nodes in range.
@@ -278,10 +305,7 @@ def range_search(x: np.ndarray, lists: np.ndarray, queries: np.ndarray, threshol
         node = ids[q, k]
         expanded_q.append(q)
         expanded_n.append(node)
-        ends = lists[node]
-        eq, en = np.repeat(q, ends.shape[1]), ends.ravel()
-        ok = en >= 0
-        eq, en = eq[ok], en[ok]
+        eq, en = lists.neighbours(q, node)
         ok = ~seen[eq, en]
         key = np.unique(eq[ok] * n + en[ok])
         eq, en = key // n, key % n
@@ -311,10 +335,7 @@ def range_search(x: np.ndarray, lists: np.ndarray, queries: np.ndarray, threshol
     front = np.setdiff1d(found, was)
     while len(front):
         q, node = front // n, front % n
-        ends = lists[node]
-        eq, en = np.repeat(q, ends.shape[1]), ends.ravel()
-        ok = en >= 0
-        eq, en = eq[ok], en[ok]
+        eq, en = lists.neighbours(q, node)
         ok = ~seen[eq, en]
         key = np.unique(eq[ok] * n + en[ok])
         eq, en = key // n, key % n
@@ -358,9 +379,7 @@ def search_block(members: pa.Table, queries: pa.Table, cell: int, threshold: flo
     here = nodes[np.minimum(place, len(nodes) - 1)] == ends  # others live in other shards
     owner = np.repeat(np.arange(len(nodes)), counts)[here]
     place = place[here]
-    counts = np.bincount(owner, minlength=len(nodes))
-    lists = np.full((len(nodes), max(1, int(counts.max()))), -1, np.int64)
-    lists[owner, np.arange(len(owner)) - np.repeat(np.r_[0, np.cumsum(counts)[:-1]], counts)] = place
+    lists = Lists(np.r_[0, np.cumsum(np.bincount(owner, minlength=len(nodes)))], place)
     x = exact.astype(np.float32)
     asked = queries["asked_node"].to_numpy()
     wanted = normal(rows_of(queries["asked_vector"]))
