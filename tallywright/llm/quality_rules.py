@@ -65,11 +65,13 @@ def duplicate_lines(part: bw.Slice) -> np.ndarray:
     """Lines with a word that equal an earlier line of their text, per text."""
     data, offsets = part.data, part.offsets
     n = len(offsets) - 1
+    if len(data) == 0:
+        return np.zeros(n, np.int64)
     breaks = np.flatnonzero(data == 10)
     start = np.unique(np.r_[offsets[:-1], breaks + 1])
     start = start[start < len(data)]
     end = np.minimum(np.r_[start[1:], len(data)], len(data))
-    end = np.where((end > start) & (data[np.maximum(end - 1, 0)] == 10), end - 1, end)
+    end = np.where(data[end - 1] == 10, end - 1, end)
     solid = np.r_[0, np.cumsum(~bw.SPACE[data])]
     with_word = solid[end] > solid[start]
     start, end = start[with_word], end[with_word]
@@ -199,3 +201,15 @@ def quality_rules(docs: DataFrame, rules: Rules) -> DataFrame:
                 yield pa.RecordBatch.from_pydict({"doc_id": batch["doc_id"], **judge(batch["text"], shared.value)})
 
     return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("binary").alias("text")).mapInArrow(run, SCORES)
+
+
+def without_failed(docs: DataFrame, rules: Rules) -> DataFrame:
+    """The rows of ``docs``, all columns, that the rules keep."""
+    shared = docs.sparkSession.sparkContext.broadcast(rules)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                yield batch.filter(pa.array(judge(batch["text"].cast(pa.binary()), shared.value)["kept"]))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -149,6 +149,25 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_CLASS)
     return fit(*labelled_sample(docs, labels, "toxic", per_class, SAMPLE_MAX_BYTES))
 
 
+def scores(scorer: Scorer, curve: np.ndarray, texts: pa.Array) -> np.ndarray:
+    evidence = np.concatenate([scorer.evidence(part) for part in bw.slices(texts)])
+    return sigmoid(curve[0] * curve_input(evidence) + curve[-1])
+
+
+def without_toxic(docs: DataFrame, models: Models) -> DataFrame:
+    """The rows of ``docs``, all columns, whose ``text`` is not rejected."""
+    shared = docs.sparkSession.sparkContext.broadcast(models)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer = Scorer(shared.value)
+        for batch in batches:
+            if batch.num_rows:
+                texts = batch["text"].cast(pa.binary())
+                yield batch.filter(pa.array(scores(scorer, shared.value.curve, texts) < REJECT_FROM))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def toxicity(docs: DataFrame, models: Models, modulus: int = 5, remainder: int = 0) -> DataFrame:
     """Score and verdict per row of ``docs`` (``doc_id``, ``text``); ``held_out`` by the id's crc32."""
     shared = docs.sparkSession.sparkContext.broadcast(models)
@@ -159,8 +178,7 @@ def toxicity(docs: DataFrame, models: Models, modulus: int = 5, remainder: int =
         for batch in batches:
             if batch.num_rows == 0:
                 continue
-            evidence = np.concatenate([scorer.evidence(part) for part in bw.slices(batch["text"])])
-            score = sigmoid(models.curve[0] * curve_input(evidence) + models.curve[-1])
+            score = scores(scorer, models.curve, batch["text"])
             yield pa.RecordBatch.from_pydict(
                 {"doc_id": batch["doc_id"], "held_out": batch["held_out"], "score": score, "predicted": (score >= REJECT_FROM).astype(np.int32)}
             )
