@@ -1,17 +1,21 @@
 """Run distinct candidate statements over the registered fact tables.
 
-Every distinct statement is one Spark job; its rows go to a table in the shared scratch
-folder, so nothing is run twice and no result passes through the driver. The driver holds
-one statement text per running job and a short status per statement.
+A statement is an answer of a model and is not trusted: it is parsed first, and only a query over
+the registered tables with Spark's own functions is run. Statements that pass run in batches,
+each a union that is one job and one append to the shared scratch folder; a batch that fails
+is halved until the statement at fault is alone. No result passes through the driver, which
+holds the statement texts of the running batches and a short status per statement.
 """
 
 from __future__ import annotations
 
-import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from concurrent.futures import FIRST_COMPLETED, ThreadPoolExecutor, wait
+from functools import reduce
+from itertools import islice
 
-from pyspark.errors import AnalysisException, ParseException, PySparkException
+from py4j.java_gateway import JavaObject
+from pyspark.errors import AnalysisException, ParseException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,9 +31,23 @@ from tallywright.session import scratch_dir
 ROWS = "sql_id string, part bigint, idx bigint, row_key array<string>, ordered_key array<string>"
 STATUS = "sql_id string, status string, message string"
 
-# Only a single query is run. Functions that reach outside SQL are refused.
-QUERY_START = re.compile(r"^\(*\s*(select|with)\b", re.IGNORECASE)
-REFUSED = re.compile(r"\b(reflect|try_reflect|java_method)\s*\(", re.IGNORECASE)
+# Plan nodes of a query that only reads. Every other node is refused: commands, inserts, script
+# transformations and whatever later versions add.
+QUERY_NODES = {
+    "Aggregate", "CTERelationDef", "CTERelationRef", "Deduplicate", "Distinct", "Except", "Expand", "Filter", "Generate",
+    "GlobalLimit", "Intersect", "Join", "LateralJoin", "LocalLimit", "LocalRelation", "Offset", "OneRowRelation", "Pivot",
+    "Project", "ResolvedInlineTable", "Sort", "SubqueryAlias", "Unpivot", "Union", "UnresolvedHaving", "UnresolvedInlineTable",
+    "UnresolvedRelation", "UnresolvedSubqueryColumnAliases", "UnresolvedTableValuedFunction", "UnresolvedTVFAliases", "UnresolvedWith",
+    "Window", "WithWindowDefinition", "WithCTE",
+}
+TABLE_FUNCTIONS = {"range"}
+MISSING = "no such table:"  # whatever else the catalog holds under that name
+UNKNOWN = "unknown function"  # another dialect's, as a rule; a session's own functions are not run either
+# Functions of Spark's own that reach beyond the tables, or are for errors and files only.
+REFUSED_FUNCTIONS = {
+    "reflect", "java_method", "try_reflect", "raise_error", "assert_true", "input_file_name", "input_file_block_start",
+    "input_file_block_length", "from_avro", "to_avro", "from_protobuf", "to_protobuf", "session_user", "current_user", "user",
+}
 
 # Error classes that mean "not this SQL dialect" rather than "wrong query".
 DIALECT_CLASSES = ("PARSE_SYNTAX_ERROR", "UNRESOLVED_ROUTINE")
@@ -41,12 +59,93 @@ def statement_id(sql: Column, cleaned: bool = False) -> Column:
     return F.sha2(sql if cleaned else clean_sql(sql), 256)
 
 
-def refusal(sql: str) -> str | None:
-    if not QUERY_START.match(sql):
-        return "only SELECT and WITH statements are run"
-    if REFUSED.search(sql):
-        return "statement uses a refused function"
-    return None
+def _each(items: JavaObject) -> Iterator[JavaObject]:
+    at = items.iterator()
+    while at.hasNext():
+        yield at.next()
+
+
+def _name(node: JavaObject) -> str:
+    return node.getClass().getSimpleName()
+
+
+class StatementRules:
+    """What a statement may consist of, decided on its parsed plan.
+
+    Tables are the given names and the statement's own common table expressions; functions are
+    Spark's built-in ones but for ``REFUSED_FUNCTIONS``.
+    """
+
+    def __init__(self, spark: SparkSession, tables: Iterable[str] | None = None) -> None:
+        self.spark = spark
+        self.functions = {r[0].lower() for r in spark.sql("SHOW SYSTEM FUNCTIONS").collect()}
+        if tables is None:
+            tables = [t.name for t in spark.catalog.listTables() if t.isTemporary]
+        self.tables = {t.lower() for t in tables}
+
+    def refusal(self, sql: str) -> str | None:
+        """Why a statement is not run, or None. Raises the parser's error for what is no SQL."""
+        plan = self.spark._jsparkSession.sessionState().sqlParser().parsePlan(sql)
+        return self._plan(plan, self.tables)
+
+    def _plan(self, plan: JavaObject, tables: set[str]) -> str | None:
+        kind = _name(plan)
+        if kind not in QUERY_NODES:
+            return f"a statement may not contain {kind}"
+        if kind == "UnresolvedRelation":
+            parts = [str(x) for x in _each(plan.multipartIdentifier())]
+            if len(parts) != 1:
+                return f"table {'.'.join(parts)} is refused"
+            if parts[0].lower() not in tables:
+                return f"{MISSING} {parts[0]}"
+        if kind == "UnresolvedTableValuedFunction":
+            parts = [str(x).lower() for x in _each(plan.name())]
+            if len(parts) != 1 or parts[0] not in TABLE_FUNCTIONS:
+                return f"table function {'.'.join(parts)} is refused"
+        if kind == "UnresolvedWith":
+            # A name stands for the expressions after it, and for its own body when recursive.
+            inner = set(tables)
+            for pair in _each(plan.cteRelations()):
+                inner.add(str(pair.productElement(0)).lower())
+                why = self._plan(pair.productElement(1), inner)
+                if why:
+                    return why
+            return self._plan(plan.child(), inner)
+        for expression in _each(plan.expressions()):
+            why = self._expression(expression, tables)
+            if why:
+                return why
+        for child in _each(plan.children()):
+            why = self._plan(child, tables)
+            if why:
+                return why
+        return None
+
+    def _expression(self, node: JavaObject, tables: set[str]) -> str | None:
+        kind = _name(node)
+        if kind in ("UnresolvedFunction", "UnresolvedGenerator"):
+            found = node.nameParts() if kind == "UnresolvedFunction" else node.name().nameParts()
+            parts = [str(x).lower() for x in _each(found)]
+            if len(parts) != 1 or parts[0] in REFUSED_FUNCTIONS:
+                return f"function {'.'.join(parts)} is refused"
+            if parts[0] not in self.functions:
+                return f"{UNKNOWN} {parts[0]}"
+        if "Reflection" in kind or kind.startswith("Python"):
+            return f"{kind} is refused"
+        if _holds_plan(node):
+            why = self._plan(node.plan(), tables)
+            if why:
+                return why
+        for child in _each(node.children()):
+            why = self._expression(child, tables)
+            if why:
+                return why
+        return None
+
+
+def _holds_plan(node: JavaObject) -> bool:
+    """Whether an expression holds a query: a scalar, IN or EXISTS subquery."""
+    return any(m.getName() == "plan" and m.getParameterCount() == 0 for m in node.getClass().getMethods())
 
 
 def result_rows(df: DataFrame, digits: int | None = ROUND_DIGITS) -> DataFrame:
@@ -65,36 +164,65 @@ def result_rows(df: DataFrame, digits: int | None = ROUND_DIGITS) -> DataFrame:
     )
 
 
-def _run_one(spark: SparkSession, sql_id: str, sql: str, folder: str, digits: int | None) -> tuple[str, str, str | None]:
-    why = refusal(sql)
-    if why:
-        return sql_id, "refused", why
+Status = tuple[str, str, str | None]
+
+
+def _first_line(e: Exception) -> str:
+    java = getattr(e, "java_exception", None)
+    return str(java if java is not None else e).split("\n")[0]
+
+
+def _failure(sql_id: str, e: Exception) -> Status:
+    dialect = isinstance(e, ParseException)
+    if isinstance(e, AnalysisException):
+        dialect = dialect or (e.getCondition() or "").startswith(DIALECT_CLASSES)
+    return sql_id, "dialect_error" if dialect else "execution_error", _first_line(e)
+
+
+def _prepared(rules: StatementRules, sql_id: str, sql: str, digits: int | None) -> DataFrame | Status:
     try:
-        rows = result_rows(spark.sql(sql), digits)
-        rows.write.mode("overwrite").parquet(f"{folder}/rows/sql_id={sql_id}")
-        return sql_id, "ok", None
-    except ParseException as e:
-        return sql_id, "dialect_error", str(e).split("\n")[0]
-    except AnalysisException as e:
-        kind = "dialect_error" if (e.getCondition() or "").startswith(DIALECT_CLASSES) else "execution_error"
-        return sql_id, kind, str(e).split("\n")[0]
-    except PySparkException as e:
-        return sql_id, "execution_error", str(e).split("\n")[0]
-
-
-def _statuses(spark: SparkSession, todo: Iterator, folder: str, parallel: int, digits: int | None) -> Iterator:
-    """Keep ``parallel`` statements running; statements are fetched as slots free up."""
+        why = rules.refusal(sql)
+        if why:
+            known = {UNKNOWN: "dialect_error", MISSING: "execution_error"}
+            return sql_id, next((status for start, status in known.items() if why.startswith(start)), "refused"), why
+        return result_rows(rules.spark.sql(sql), digits).withColumn("sql_id", F.lit(sql_id))
+    except Exception as e:  # a statement may fail in any way; its failure is its status
+        return _failure(sql_id, e)
+
+
+def _write(some: list[tuple[str, DataFrame]], folder: str) -> list[Status]:
+    try:
+        reduce(DataFrame.unionByName, [df for _, df in some]).write.mode("append").parquet(f"{folder}/rows")
+        return [(sql_id, "ok", None) for sql_id, _ in some]
+    except Exception as e:
+        if len(some) == 1:
+            return [_failure(some[0][0], e)]
+        half = len(some) // 2
+        return _write(some[:half], folder) + _write(some[half:], folder)
+
+
+def _run_batch(rules: StatementRules, batch: list, folder: str, digits: int | None) -> list[Status]:
+    prepared = [(row.sql_id, _prepared(rules, row.sql_id, row.sql, digits)) for row in batch]
+    failed = [x for _, x in prepared if not isinstance(x, DataFrame)]
+    good = [(sql_id, x) for sql_id, x in prepared if isinstance(x, DataFrame)]
+    return failed + (_write(good, folder) if good else [])
+
+
+def _statuses(
+    rules: StatementRules, todo: Iterator, folder: str, parallel: int, digits: int | None, together: int
+) -> Iterator[Status]:
+    """Keep ``parallel`` batches running; statements are fetched as slots free up."""
+    todo = (row for row in todo if row.sql)
     with ThreadPoolExecutor(parallel) as pool:
         running = set()
-        for row in todo:
-            if not row.sql:
-                continue
-            running.add(pool.submit(_run_one, spark, row.sql_id, row.sql, folder, digits))
+        while batch := list(islice(todo, together)):
+            running.add(pool.submit(_run_batch, rules, batch, folder, digits))
             if len(running) >= parallel:
                 done, running = wait(running, return_when=FIRST_COMPLETED)
-                yield from (f.result() for f in done)
+                for f in done:
+                    yield from f.result()
         for f in running:
-            yield f.result()
+            yield from f.result()
 
 
 def run_statements(
@@ -104,9 +232,15 @@ def run_statements(
     parallel: int = 4,
     digits: int | None = ROUND_DIGITS,
     batch: int = 1000,
+    tables: Iterable[str] | None = None,
+    together: int = 8,
+    numbered: bool = True,
 ) -> tuple[DataFrame, DataFrame]:
     """Run each distinct statement once; give ``(status, rows)`` keyed by ``sql_id``.
 
+    Statements may read ``tables``, by default the session's temporary views, and run ``together`` in one job.
+    Without ``numbered`` the rows carry no ``pos``.
+
     Statements are cleaned first unless they already are. ``rows`` holds ``row_key`` for the unordered and ``ordered_key`` with ``pos`` for the
     ordered comparison. Attach statuses to answers through ``statement_id``.
     """
@@ -126,7 +260,8 @@ def run_statements(
         spark.createDataFrame(pending, STATUS).coalesce(1).write.mode("append").parquet(f"{folder}/status")
         pending.clear()
 
-    for status in _statuses(spark, distinct.toLocalIterator(), folder, parallel, digits):
+    rules = StatementRules(spark, tables)
+    for status in _statuses(rules, distinct.toLocalIterator(), folder, parallel, digits, together):
         any_rows = any_rows or status[1] == "ok"
         pending.append(status)
         if len(pending) >= batch:
@@ -137,16 +272,18 @@ def run_statements(
         rows = spark.read.schema(ROWS).parquet(f"{folder}/rows")
     else:
         rows = spark.createDataFrame([], ROWS)
+    if not numbered:
+        return status, rows.drop("part", "idx")
     return status, partition_positions(rows, ["sql_id"], "part", "idx").drop("part", "idx")
 
 
-def with_execution(answers: DataFrame, status: DataFrame, sql: str = "sql") -> DataFrame:
+def with_execution(answers: DataFrame, status: DataFrame, sql: str = "sql", cleaned: bool = False) -> DataFrame:
     """Add ``sql_id``, ``executed`` and ``execution_message`` to answers.
 
     The status table has one row per distinct statement; a popular statement repeats on
     the answer side only.
     """
-    keyed = answers.withColumn("sql_id", statement_id(F.col(sql)))
+    keyed = answers.withColumn("sql_id", statement_id(F.col(sql), cleaned))
     joined = keyed.join(status, "sql_id", "left")
     return (
         joined.withColumn("executed", F.coalesce(F.col("status") == "ok", F.lit(False)))

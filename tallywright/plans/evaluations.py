@@ -104,7 +104,7 @@ def evaluate_sql(
     # The distinct (sample, statement) pairs are stored: what follows works on them, and the
     # answer texts are read again only for the result rows.
     asked = stored(answers.select("sample_id", clean_sql(F.col("sql")).alias("sql")).distinct(), "asked")
-    status, rows = run_statements(asked, cleaned=True)
+    status, rows = run_statements(asked, cleaned=True, tables=facts, numbered=False)
     ran = with_execution(answers, status)
     if "expected_result" in samples.columns:
         expects = F.coalesce(F.size("expected_result") > 0, F.lit(False))
@@ -135,6 +135,7 @@ def evaluate_sql_targeted(samples: DataFrame, responses: DataFrame, facts: dict[
 def evaluate_sql_basic(samples: DataFrame, responses: DataFrame, facts: dict[str, DataFrame]) -> DataFrame:
     """Ordered equality with the result of the sample's reference statement.
 
+    Statements run as extracted: cleaning would change blanks and dashes inside literals.
     Only statements that start with SELECT yield rows to compare; any other that runs,
     such as one starting with WITH, equals just another of its kind.
     """
@@ -143,15 +144,15 @@ def evaluate_sql_basic(samples: DataFrame, responses: DataFrame, facts: dict[str
     has_reference = F.coalesce(F.length("ground_truth_sql") > 0, F.lit(False))
     asked = stored(
         answers.select(
-            clean_sql(F.col("sql")).alias("sql"),
-            F.when(has_reference, clean_sql(F.col("ground_truth_sql"))).alias("reference"),
+            "sql",
+            F.when(has_reference, F.col("ground_truth_sql")).alias("reference"),
         ).distinct(),
         "asked",
     )
     each = asked.select("sql").union(asked.select(F.col("reference").alias("sql")))
-    status, rows = run_statements(each, cleaned=True)
-    ran = with_execution(answers, status).withColumn(
-        "reference_id", F.when(has_reference, statement_id(F.col("ground_truth_sql")))
+    status, rows = run_statements(each, cleaned=True, tables=facts)
+    ran = with_execution(answers, status, cleaned=True).withColumn(
+        "reference_id", F.when(has_reference, statement_id(F.col("ground_truth_sql"), cleaned=True))
     )
     reference = status.select(
         F.col("sql_id").alias("reference_id"), (F.col("status") == "ok").alias("reference_executed")

@@ -17,11 +17,15 @@ def read_responses(spark: SparkSession, path: str, fmt: str = "parquet") -> Data
 
 
 def normalise_responses(df: DataFrame) -> DataFrame:
-    """Fill the total token count, and blank the text of answers that failed."""
+    """Fill the total token count, and blank the text of answers that failed.
+
+    An empty error text, as CSV and JSON exports hold it, is no error.
+    """
     if "total_tokens" not in df.columns:
         df = df.withColumn("total_tokens", F.lit(None).cast("bigint"))
     if "error" not in df.columns:
         df = df.withColumn("error", F.lit(None).cast("string"))
+    df = df.withColumn("error", F.when(F.trim("error") != "", F.col("error")))
     return df.withColumn(
         "total_tokens",
         F.coalesce("total_tokens", F.col("prompt_tokens") + F.col("completion_tokens")),

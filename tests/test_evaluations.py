@@ -146,6 +146,13 @@ def test_statements_keep_row_order(spark, facts):
     [
         ("SELECT reflect('java.lang.Math', 'abs', 1)", "refused"),
         ("INSERT INTO t VALUES (1)", "refused"),
+        ("SELECT `reflect`('java.lang.Math', 'abs', -1)", "refused"),
+        ("SELECT 1 AS x WHERE EXISTS (SELECT java_method('java.lang.Math', 'abs', -1))", "refused"),
+        ("SELECT TRANSFORM(1) USING 'cat' AS (a)", "refused"),
+        ("SELECT * FROM text.`/etc/hostname`", "refused"),
+        ("SELECT (SELECT max(value) FROM csv.`/etc/hostname`)", "refused"),
+        ("WITH q AS (SELECT * FROM other_table) SELECT * FROM q", "execution_error"),
+        ("SELECT (SELECT explode(array(1, 2)))", "execution_error"),
         ("SELECT (1", "dialect_error"),
         ("SELECT strftime('%Y', 'now')", "dialect_error"),
         ("SELECT * FROM no_such_table", "execution_error"),
@@ -330,3 +337,42 @@ def test_selection_of_samples(spark):
     both = question_sets.mixed_samples(df, df.withColumn("x", F.lit(1)), 0, 3)
     assert pick(both) == [0, 1, 2] and "x" in both.columns
     assert question_sets.mixed_samples(df, df, 0, 0).count() == 0
+
+
+def test_statements_write_nothing(spark):
+    """A statement that hides an insert is refused, and the others of its batch still run."""
+    spark.sql("CREATE TABLE IF NOT EXISTS judged (x INT) USING parquet")
+    spark.range(3).createOrReplaceTempView("numbers")
+    statements = [
+        ("WITH t AS (SELECT 7 AS x) INSERT INTO judged SELECT x FROM t",),
+        ("SELECT count(*) AS n FROM numbers",),
+        ("SELECT (SELECT id FROM numbers) AS x",),  # more than one row: fails while it runs
+        ("SELECT max(id) AS m FROM numbers",),
+        ("WITH q AS (SELECT 1 AS x), r AS (SELECT x + 4 AS y FROM q) SELECT r.y FROM r JOIN q ON y = x + 4",),
+    ]
+    status, rows = statement_runs.run_statements(spark.createDataFrame(statements, "sql string"), tables=["numbers"])
+    got = {r.sql_id: r.status for r in status.collect()}
+    ids = [r[0] for r in spark.createDataFrame(statements, "sql string").select(statement_runs.statement_id(F.col("sql"))).collect()]
+    assert [got[i] for i in ids] == ["refused", "ok", "execution_error", "ok", "ok"]
+    assert spark.table("judged").count() == 0
+    assert {r.sql_id: list(r.row_key) for r in rows.collect()} == {ids[1]: ["3"], ids[3]: ["2"], ids[4]: ["5"]}
+    spark.sql("DROP TABLE judged")
+
+
+def test_basic_verdict_judges_the_raw_statement(spark):
+    """Blanks and dashes inside literals count."""
+    facts = {"budget_outlays": spark.createDataFrame([("a  b", 1), ("a b", 2), ("x--y", 3)], "function_name string, v int")}
+    samples = [
+        ("s1", "q", "sql", "easy", "SELECT v FROM budget_outlays WHERE function_name = 'a b'"),
+        ("s2", "q", "sql", "easy", "SELECT v FROM budget_outlays WHERE function_name = 'x--y'"),
+    ]
+    samples = spark.createDataFrame(samples, "sample_id string, question string, evaluation_type string, difficulty string, ground_truth_sql string")
+    answers = [
+        ("r1", "m", "s1", "SELECT v FROM budget_outlays WHERE function_name = 'a  b'", ""),
+        ("r2", "m", "s1", "SELECT v FROM budget_outlays WHERE function_name = 'a b'", None),
+        ("r1", "m", "s2", "SELECT v FROM budget_outlays WHERE function_name = 'x--y'", ""),
+    ]
+    answers = spark.createDataFrame(answers, "run_id string, model string, sample_id string, content string, error string")
+    answers = answers.withColumn("prompt_tokens", F.lit(1)).withColumn("completion_tokens", F.lit(1))
+    got = evaluations.evaluate_sql_basic(samples, answers, facts).collect()
+    assert {(r.run_id, r.sample_id): r.is_correct for r in got} == {("r1", "s1"): False, ("r2", "s1"): True, ("r1", "s2"): True}
