@@ -1,9 +1,8 @@
 """Run predicted calls against the fact tables, all calls together.
 
 A call asks for a key (series, industry or state) and a span of years. The facts are
-first reduced to one row per key with the years it has data for, and stored. How calls
-meet that table depends on its counted size: a short one is looked up within each row,
-without any shuffle; a longer one is joined, broadcast if its size on disk allows.
+first reduced to one row per key with the years it has data for, and stored. Requests are
+joined with that table, broadcast if its size on disk allows, and put together again per answer.
 """
 
 from __future__ import annotations
@@ -20,9 +19,6 @@ from tallywright.session import stored
 SERIES_FUNCTIONS = ["get_cpi_data", "get_employment_cost_index", "get_productivity_data"]
 ALL_INDUSTRIES = "ALL"
 
-# Up to this many keys, coverage is a map that every task holds and scans per request.
-LOCAL_KEYS = 500
-
 
 def fact_coverage(time_series: DataFrame, industry_gdp: DataFrame, regional: DataFrame) -> DataFrame:
     """``(domain, key, years)``: the years with data for each series, industry and state."""
@@ -75,18 +71,6 @@ def execution_success(requests: Column) -> Column:
     return F.when(F.size(requests) == 0, 0.0).otherwise(ran / F.size(requests))
 
 
-def result_accuracy(
-    df: DataFrame, coverage: DataFrame, keys: list[str], local_keys: int = LOCAL_KEYS
-) -> DataFrame:
-    """Add ``result``: the share of a row's calls that find at least one fact row.
-
-    ``df`` carries ``requests``, and ``keys`` identify its rows.
-    """
-    if coverage.count() <= local_keys:
-        return _look_up(df, coverage)
-    return _join_up(df, coverage, keys)
-
-
 def _share(found: Column, requests: Column) -> Column:
     calls = F.size(requests)
     return F.when(calls == 0, 0.0).otherwise(found / calls)
@@ -96,44 +80,39 @@ def _has_data(years: Column, low: Column, high: Column) -> Column:
     return F.coalesce(F.exists(years, lambda y: y.between(low, high)), F.lit(False))
 
 
-def _look_up(df: DataFrame, coverage: DataFrame) -> DataFrame:
-    """Look requests up in the whole coverage, a single small map: a projection."""
-    entry = F.struct(F.concat_ws("|", "domain", "key"), "years")
-    facts = coverage.agg(F.map_from_entries(F.collect_list(entry))).scalar()
-
-    def found(r: Column, m: Column) -> Column:
-        years = F.try_element_at(m, F.concat_ws("|", r["domain"], r["key"]))
-        return r["ok"] & _has_data(years, r["low"], r["high"])
+def _answer_id(df: DataFrame) -> Column:
+    """Identity of a row by its content; maps and variants are left out of it."""
+    plain = [F.col(f"`{c}`") for c, kind in df.dtypes if "map<" not in kind and "variant" not in kind]
+    return F.struct(F.xxhash64(*plain).alias("x"), F.xxhash64(F.lit(1), *plain).alias("y"))
 
-    hits = F.size(F.filter("requests", lambda r: found(r, F.col("_facts"))))
-    with_facts = df.withColumn("_facts", facts)
-    return with_facts.withColumn("result", _share(hits, F.col("requests"))).drop("_facts")
 
+def result_accuracy(df: DataFrame, coverage: DataFrame) -> DataFrame:
+    """Add ``result``: the share of a row's calls that find at least one fact row.
 
-def _join_up(df: DataFrame, coverage: DataFrame, keys: list[str]) -> DataFrame:
-    """Spread rows into requests, join them, and put rows together again on ``keys``.
-
-    A row travels with its first request only, so it is shuffled once. Rows that ask for
-    nothing get a key of their own that matches no fact, which keeps them evenly spread
-    should the join have to shuffle.
+    ``df`` carries ``requests``. A row is known by its content, and rows with equal content are
+    counted and put back, so neither keys nor repeated answers need be unique. A row travels with its first
+    request only, so it is shuffled once. Requests that cannot be run get a key of their own that
+    matches no fact, which keeps them evenly spread should the join have to shuffle.
     """
-    rest = [c for c in df.columns if c not in keys]
-    spread = df.select(*keys, F.struct(*rest).alias("_row"), F.posexplode_outer("requests").alias("_pos", "_r"))
-    alone = F.concat(F.lit("none:"), F.xxhash64(*keys).cast("string"))
+    first = F.coalesce("_pos", F.lit(0)) == 0
+    spread = df.select(_answer_id(df).alias("_id"), F.struct(*[f"`{c}`" for c in df.columns]).alias("_row"), F.posexplode_outer("requests").alias("_pos", "_r"))
     asked = spread.select(
-        *keys,
-        F.when(F.coalesce("_pos", F.lit(0)) == 0, F.col("_row")).alias("_row"),
+        "_id",
+        F.when(first, F.col("_row")).alias("_row"),
+        first.alias("_first"),
         F.when(F.col("_r.ok"), F.col("_r.domain")).otherwise("none").alias("_domain"),
-        F.when(F.col("_r.ok"), F.col("_r.key")).otherwise(alone).alias("_key"),
+        F.when(F.col("_r.ok"), F.col("_r.key")).otherwise(F.concat(F.lit("none:"), F.col("_id.x").cast("string"))).alias("_key"),
         F.col("_r.low").alias("_low"),
         F.col("_r.high").alias("_high"),
     )
     together = (
         asked.join(coverage, (F.col("_domain") == F.col("domain")) & (F.col("_key") == F.col("key")), "left")
-        .groupBy(*keys)
+        .groupBy("_id")
         .agg(
             F.first("_row", ignorenulls=True).alias("_row"),
+            F.count_if("_first").alias("_copies"),
             F.count_if(_has_data(F.col("years"), F.col("_low"), F.col("_high"))).alias("_found"),
         )
     )
-    return together.select(*keys, "_row.*", _share(F.col("_found"), F.col("_row.requests")).alias("result"))
+    share = _share(F.col("_found") / F.col("_copies"), F.col("_row.requests")).alias("result")
+    return together.select("_row.*", share, F.explode(F.sequence(F.lit(1), F.col("_copies"))).alias("_copy")).drop("_copy")

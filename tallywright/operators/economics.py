@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tallywright.functions.call_text import FUNCTION_DEFAULTS
 from tallywright.operators.call_execution import ALL_INDUSTRIES
+from tallywright.session import stored
 
 DIGITS = 6
 FIRST_YEAR = 2014
@@ -115,7 +116,7 @@ def top_functions(budget: DataFrame, from_year: int, n: int) -> DataFrame:
         budget.where(F.col("fiscal_year") >= from_year)
         .groupBy("function_name")
         .agg(money_sum(F.col("outlay_amount")).alias("total_outlays"))
-        .orderBy(F.desc("total_outlays"))
+        .orderBy(F.desc("total_outlays"), "function_name")
         .limit(n)
     )
 
@@ -371,13 +372,14 @@ def seasonal_pattern(series: DataFrame) -> DataFrame:
 def anomalies(series: DataFrame, confidence_threshold: float = 0.95) -> DataFrame:
     """Rows further from their series' mean than the threshold's normal quantile allows.
 
-    Mean and deviation are aggregated and joined back; a window would put a whole series
-    into one task.
+    Mean and deviation are aggregated and stored, so that their true size is known before the join
+    is planned and the rows themselves stay in place; a window would put a whole series into one task.
     """
     limit = NormalDist().inv_cdf(0.5 + confidence_threshold / 2)
     stats = series.groupBy("series_id").agg(
         F.avg("numeric_value").alias("_mean"), F.stddev_samp("numeric_value").alias("_sd")
     )
+    stats = stored(stats, "series_stats")
     z = F.try_divide(F.col("numeric_value") - F.col("_mean"), F.col("_sd"))
     return (
         series.join(stats, "series_id")

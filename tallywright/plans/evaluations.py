@@ -199,7 +199,7 @@ def evaluate_calls_executed(samples: DataFrame, responses: DataFrame, coverage:
             "execution": execution_success(F.col("requests")),
         }
     )
-    full = result_accuracy(parts, coverage, KEYS)
+    full = result_accuracy(parts, coverage)
     verdict = scores.mean_verdict(*[F.col(c) for c in ("selection", "parameters", "execution", "result")])
     scored = full.withColumns(verdict)
     return result_row(scored, F.col("is_correct"), F.col("score"), _component_details())

@@ -8,18 +8,13 @@ from __future__ import annotations
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tallywright.functions.call_text import calls_from_items, no_calls
 from tallywright.functions.questions import normal_difficulty
-from tallywright.operators.positions import dense_positions
 from tallywright.session import configure
 
-# Spark's own bound for limiting groups ahead of a window (spark.sql.window.groupLimitThreshold).
-GROUP_LIMIT = 1000
-
 _CALL = "struct<name:string,function_name:string,arguments:variant,parameters:variant>"
 _TOOL = "struct<name:string,description:string>"
 # Every key under which a field may appear, in any of the three kinds of set.
@@ -38,10 +33,19 @@ DOCUMENT = (
 
 
 def read_documents(spark: SparkSession, path: str, one_per_line: bool = False) -> DataFrame:
-    """Question documents as a column ``doc``; many files are read in parallel."""
+    """Question documents as a column ``doc``; many files are read in parallel.
+
+    ``document`` names each one where there are several, so that made ids differ and file order is known; it
+    is null for a single file with one document.
+    """
     schema = T.StructType.fromDDL(f"doc {DOCUMENT}")["doc"].dataType
     raw = configure(spark).read.schema(schema).json(path, multiLine=not one_per_line)
-    return raw.select(F.struct(*schema.fieldNames()).alias("doc"))
+    file = F.col("_metadata.file_name")
+    if one_per_line:
+        name = F.format_string("%s:%012d", file, F.monotonically_increasing_id())
+    else:
+        name = F.lit(None).cast("string") if len(raw.inputFiles()) == 1 else file
+    return raw.select(name.alias("document"), F.struct(*schema.fieldNames()).alias("doc"))
 
 
 def parse_documents(df: DataFrame, text: str) -> DataFrame:
@@ -64,6 +68,14 @@ def _calls(items: Column) -> Column:
     return F.coalesce(calls_from_items(items), no_calls())
 
 
+def _made_id(df: DataFrame, prefix: str) -> Column:
+    """An id from the place in the list, with the document's name where there are several."""
+    here = F.col("pos").cast("string")
+    if "document" in df.columns:
+        here = F.concat_ws("_", "document", here)
+    return F.concat(F.lit(prefix), here)
+
+
 def _samples(df: DataFrame, sample_id: Column, kind: str, question: Column, **fields: Column) -> DataFrame:
     item = F.col("item")
     keep = [c for c in df.columns if c not in ("doc", "item")]
@@ -84,7 +96,7 @@ def sql_samples(documents: DataFrame) -> DataFrame:
     df = _items(documents, F.coalesce(doc["questions"], doc["ground_truth_data"]))
     return _samples(
         df,
-        F.coalesce(item["question_id"], F.concat(F.lit("sql_"), F.col("pos"))),
+        F.coalesce(item["question_id"], _made_id(df, "sql_")),
         "sql",
         F.coalesce(item["question_text"], item["question"], F.lit("")),
         ground_truth_sql=F.coalesce(
@@ -102,7 +114,7 @@ def function_samples(documents: DataFrame) -> DataFrame:
     df = _items(documents, F.coalesce(doc["questions"], doc["ground_truth_data"]))
     return _samples(
         df,
-        F.coalesce(item["question_id"], F.concat(F.lit("func_"), F.col("pos"))),
+        F.coalesce(item["question_id"], _made_id(df, "func_")),
         "function",
         F.coalesce(item["question_text"], item["question"], F.lit("")),
         expected_calls=_calls(
@@ -124,7 +136,7 @@ def catalogue_samples(documents: DataFrame) -> DataFrame:
     df = _items(documents, doc["questions"])
     return _samples(
         df,
-        F.concat(F.lit("fcl_"), F.coalesce(item["question_id"], F.col("pos").cast("string"))),
+        F.concat(F.lit("fcl_"), F.coalesce(item["question_id"], _made_id(df, ""))),
         "function",
         F.coalesce(item["question"], F.lit("")),
         expected_calls=_calls(item["expected_functions"]),
@@ -143,19 +155,18 @@ def filter_difficulty(samples: DataFrame, difficulties: list[str] | None) -> Dat
 def first_samples(samples: DataFrame, n: int | None, order: str = "pos", per: str | None = None) -> DataFrame:
     """The first ``n`` samples in file order, over all or per value of ``per``; None or 0 keeps all.
 
-    Spark cuts groups down before the shuffle for a small ``n``. For a large one the rows
-    of a group are numbered range by range, so that no task sorts a whole group.
+    Where samples come from several files, the file goes before ``order``. The values of ``per``, a
+    short list such as families or difficulties, are each cut by a sort and a limit, which
+    no one task has to do for a whole group.
     """
     if not n:
         return samples
+    by = [c for c in ("document",) if c in samples.columns and c != order] + [order]
     if per is None:
-        return samples.orderBy(order).limit(n)
-    if n <= GROUP_LIMIT:
-        rank = F.row_number().over(W.partitionBy(per).orderBy(order))
-        ranked = samples.withColumn("_rank", rank)
-    else:
-        ranked = dense_positions(samples, [per], order, name="_rank")
-    return ranked.where(F.col("_rank") <= n).drop("_rank")
+        return samples.orderBy(*by).limit(n)
+    values = [r[0] for r in samples.select(per).distinct().collect()]
+    parts = [samples.where(F.col(per).eqNullSafe(F.lit(v))).orderBy(*by).limit(n) for v in values]
+    return reduce(DataFrame.unionByName, parts) if parts else samples
 
 
 def mixed_samples(

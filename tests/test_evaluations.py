@@ -289,7 +289,8 @@ def test_prompt_tables(spark):
             assert "get_regional_income(state, year, line_code=SA1-1)" in system.content
 
 
-def test_both_ways_to_meet_the_facts_agree(spark, coverage):
+def test_calls_meet_the_facts(spark, coverage):
+    """Repeated answers stay rows of their own, whatever they share."""
     texts = [
         "get_cpi_data(start_year=2015, end_year=2016) get_cpi_data(start_year=2017, end_year=2018)",
         "get_gdp_by_industry(year=2016) get_gdp_by_industry(year=2016, industry=SMALL) get_gdp_by_industry(year=2016, industry=LARGE)",
@@ -297,13 +298,13 @@ def test_both_ways_to_meet_the_facts_agree(spark, coverage):
         "get_gdp_by_industry(year=soon)",
         "nothing",
     ]
-    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    rows = [*enumerate(texts), (0, texts[1]), (1, texts[1]), (4, texts[4])]
+    df = spark.createDataFrame(rows, "i int, t string")
     df = with_requests(df.withColumn("predicted", extract_calls_labelled(F.col("t"))))
-    want = {0: 0.5, 1: 2 / 3, 2: 0.5, 3: 0.0, 4: 0.0}
-    for limit in (500, 0):
-        got = result_accuracy(df, coverage, ["i"], local_keys=limit)
-        assert {r.i: r.result for r in got.collect()} == pytest.approx(want)
-        assert {r.i: r.t for r in got.collect()} == dict(enumerate(texts))
+    want = [0.5, 2 / 3, 0.5, 0.0, 0.0]
+    got = result_accuracy(df, coverage)
+    assert got.columns == [*df.columns, "result"]
+    assert sorted((r.i, r.t, round(r.result, 9)) for r in got.collect()) == sorted((i, t, round(want[texts.index(t)], 9)) for i, t in rows)
 
 
 def test_empty_results_report(spark):
@@ -376,3 +377,31 @@ def test_basic_verdict_judges_the_raw_statement(spark):
     answers = answers.withColumn("prompt_tokens", F.lit(1)).withColumn("completion_tokens", F.lit(1))
     got = evaluations.evaluate_sql_basic(samples, answers, facts).collect()
     assert {(r.run_id, r.sample_id): r.is_correct for r in got} == {("r1", "s1"): False, ("r2", "s1"): True, ("r1", "s2"): True}
+
+
+def test_first_samples_of_any_kind(spark):
+    """Null groups, text order and large counts all take one path."""
+    rows = [("a", f"{i:05d}") for i in range(1500)] + [(None, "x"), (None, "y"), ("b", None), ("b", "z")]
+    df = spark.createDataFrame(rows, "kind string, pos string")
+    for n, want in ((1, 3), (2, 6), (1000, 1004), (1001, 1005), (2000, 1504)):
+        assert question_sets.first_samples(df, n, per="kind").count() == want
+
+
+def test_ids_over_several_documents(spark, tmp_path):
+    """Made ids differ between files and lines; the first samples follow files, then places."""
+    one = {"questions": [{"question": "q1"}, {"question": "q2"}]}
+    for name in ("a", "b"):
+        (tmp_path / f"{name}.json").write_text(json.dumps(one))
+    docs = question_sets.read_documents(spark, str(tmp_path))
+    for samples in (question_sets.sql_samples, question_sets.function_samples, question_sets.catalogue_samples):
+        ids = [r.sample_id for r in samples(docs).collect()]
+        assert len(ids) == len(set(ids)) == 4
+    placed = question_sets._items(docs, docs["doc"]["questions"])
+    assert [(r.document, r.pos) for r in question_sets.first_samples(placed, 3).collect()] == [("a.json", 0), ("a.json", 1), ("b.json", 0)]
+    single = question_sets.read_documents(spark, str(tmp_path / "a.json"))
+    assert [r.sample_id for r in question_sets.sql_samples(single).collect()] == ["sql_0", "sql_1"]
+    (tmp_path / "lines").mkdir()
+    (tmp_path / "lines" / "l.json").write_text("\n".join([json.dumps(one)] * 3))
+    lines = question_sets.read_documents(spark, str(tmp_path / "lines"), one_per_line=True)
+    ids = [r.sample_id for r in question_sets.sql_samples(lines).collect()]
+    assert len(ids) == len(set(ids)) == 6
