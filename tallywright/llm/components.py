@@ -9,6 +9,7 @@ after a number of rounds that grows with the logarithm of the longest chain.
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -46,3 +47,21 @@ def components(edges: DataFrame, left: str = "a", right: str = "b") -> DataFrame
     return current.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("component")).unionByName(
         current.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     )
+
+
+def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Edges (larger, least) to the least id of each component of the links (a, b) of one task."""
+    ids, place = np.unique(np.r_[a, b], return_inverse=True)
+    x, y = place[: len(a)], place[len(a) :]
+    label = np.arange(len(ids))
+    while True:
+        low = np.minimum(label[x], label[y])
+        new = label.copy()
+        np.minimum.at(new, x, low)
+        np.minimum.at(new, y, low)
+        new = new[new]
+        if (new == label).all():
+            break
+        label = new
+    moved = label != np.arange(len(ids))
+    return ids[moved], ids[label[moved]]

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallywright.llm.components import components
+from tallywright.llm.components import components, forest
 from tallywright.session import stored
 
 THRESHOLD = 0.9
@@ -346,24 +346,6 @@ def range_search(x: np.ndarray, lists: Lists, queries: np.ndarray, threshold: fl
     return found // n, found % n
 
 
-def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Edges to the least id of each component of the links (a, b)."""
-    ids, place = np.unique(np.r_[a, b], return_inverse=True)
-    x, y = place[: len(a)], place[len(a) :]
-    label = np.arange(len(ids))
-    while True:
-        low = np.minimum(label[x], label[y])
-        new = label.copy()
-        np.minimum.at(new, x, low)
-        np.minimum.at(new, y, low)
-        new = new[new]
-        if (new == label).all():
-            break
-        label = new
-    moved = label != np.arange(len(ids))
-    return ids[moved], ids[label[moved]]
-
-
 def search_block(members: pa.Table, queries: pa.Table, cell: int, threshold: float) -> pa.Table:
     """Counts and a spanning forest of the links of a block's queries to its nodes."""
     nodes = members["node"].to_numpy()

@@ -6,9 +6,10 @@ minima: bands of ``ROWS`` of them name the buckets in which candidates meet, and
 estimate the similarity. Candidates that the estimate does not rule out are compared on their
 full sets, and confirmed links are closed to components.
 
-No bucket is expanded into all its pairs. Its members are first compared with its least
-member; only members that are then still in different components are compared further: in
-small buckets pair by pair, in large ones after splitting them by a second band.
+No bucket is expanded into all its pairs. Its members are first compared with its pivot, the member
+that meets most others in all its buckets and so is likely the original of its copies. Buckets of one
+pivot form a group; what is left are a group's documents outside its largest component, which
+are compared with all of the group, in blocks, inside tasks that return a spanning forest of the links.
 
 At a similarity of 0.8 a pair shares no bucket with probability 3e-6. Defined cases: texts
 without words, and null texts, have empty sets, link with nothing and are kept. Rows that share an id are one
@@ -25,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallywright.llm import byte_words as bw
-from tallywright.llm.components import components
+from tallywright.llm.components import components, forest
 from tallywright.session import stored
 
 BITS = 4
@@ -33,9 +34,9 @@ ROWS = 5
 BANDS = 32
 HASHES = ROWS * BANDS
 FIELDS_PER_LONG = 64 // BITS
-SLACK = 6.0  # standard errors by which an estimate may fall short
-SMALL_BUCKET = 64
-MAX_SPLITS = 4
+SLACK = 5.0  # standard errors by which an estimate may fall short
+ROW_BLOCK, COLUMN_BLOCK = 256, 1024
+SHINGLE_BLOCK = 4096
 SIGNATURES = "doc_id bigint, n_shingles bigint, set_a bigint, set_b bigint, bands array<bigint>, packed array<bigint>"
 
 
@@ -183,11 +184,8 @@ def similar(left: pa.Array, right: pa.Array, size: int, percent: int) -> np.ndar
     return (union > 0) & (100 * common >= percent * union)
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
-    """Links among candidate pairs: each text travels once per pair it is in."""
-    texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("binary").alias("text"))
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    texts = stored(texts.join(wanted, "doc_id", "left_semi"), "candidate_texts")
+def confirmed(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
+    """Links among candidate pairs (a, b), on the full sets of ``texts`` (``doc_id``, binary ``text``)."""
     both = pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
     both = both.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
 
@@ -202,15 +200,110 @@ def confirmed(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> Dat
     return both.select("a", "b", "text_a", "text_b").mapInArrow(run, "a bigint, b bigint").distinct()
 
 
-def _shared(members: DataFrame) -> DataFrame:
-    """Members (bucket, doc_id) of buckets that hold two documents or more, with its least one."""
-    buckets = members.groupBy("bucket").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most"), F.count(F.lit(1)).alias("n"))
-    return stored(members.join(buckets.where("least < most").select("bucket", "least", "n"), "bucket"), "buckets")
+def estimates(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Estimated similarity of every left with every right signature."""
+    ones = np.uint64(sum(1 << (BITS * k) for k in range(FIELDS_PER_LONG)))
+    unequal = np.zeros((len(left), len(right)), np.int64)
+    for k in range(left.shape[1]):
+        z = left[:, k, None] ^ right[None, :, k]
+        z |= z >> np.uint64(1)
+        z |= z >> np.uint64(2)
+        unequal += np.bitwise_count(z & ones)
+    return ((1 - unequal / HASHES) - 2.0**-BITS) / (1 - 2.0**-BITS)
 
 
-def _labelled(members: DataFrame, found: DataFrame) -> DataFrame:
-    labels = found.select(F.col("node").alias("doc_id"), "component")
-    return members.join(labels, "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
+def common_shingles(left: pa.Array, right: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """How many shingles every left text shares with every right one, and all set sizes.
+
+    A product of incidence matrices over the shingles that both sides hold, some at a time.
+    """
+    sides = []
+    for texts in (left, right):
+        parts = list(_sets(texts, size))
+        sides.append([np.concatenate([p[k] for p in parts]) for k in range(2)])
+    sizes = [np.bincount(rows, minlength=len(texts)) for (_, rows), texts in zip(sides, (left, right), strict=True)]
+    both = np.intersect1d(sides[0][0], sides[1][0])
+    common = np.zeros((len(left), len(right)), np.float32)
+    for keys in sides:
+        keys[0:2] = [k[np.isin(keys[0], both)] for k in keys]
+    for at in range(0, len(both), SHINGLE_BLOCK):
+        some = both[at : at + SHINGLE_BLOCK]
+        held = []
+        for (keys, rows), n in zip(sides, (len(left), len(right)), strict=True):
+            inside = (keys >= some[0]) & (keys <= some[-1])
+            matrix = np.zeros((n, len(some)), np.float32)
+            matrix[rows[inside], np.searchsorted(some, keys[inside])] = 1
+            held.append(matrix)
+        common += held[0] @ held[1].T
+    return np.rint(common).astype(np.int64), *sizes
+
+
+def compare_blocks(left: pa.Table, right: pa.Table, size: int, percent: int) -> pa.Table:
+    """A spanning forest of the links between the documents of two blocks of a group."""
+    none = pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
+    if left.num_rows == 0 or right.num_rows == 0:
+        return none
+    a, b = left["doc_id"].to_numpy(), right["other_id"].to_numpy()
+    packed = [np.array(t.to_pylist(), np.int64).view(np.uint64) for t in (left["packed"], right["other_packed"])]
+    apart = left["component"].to_numpy()[:, None] != right["other_component"].to_numpy()[None, :]
+    likely = apart & (estimates(*packed) >= least_estimate(percent))
+    rows, columns = np.flatnonzero(likely.any(axis=1)), np.flatnonzero(likely.any(axis=0))
+    if len(rows) == 0:
+        return none
+    texts = [t.combine_chunks().take(pa.array(k)) for t, k in ((left["text"], rows), (right["other_text"], columns))]
+    common, n_a, n_b = common_shingles(*texts, size)
+    union = n_a[:, None] + n_b[None, :] - common
+    i, j = np.nonzero(likely[np.ix_(rows, columns)] & (100 * common >= percent * union))
+    low, high = forest(a[rows[i]], b[columns[j]]) if len(i) else (a[:0], b[:0])
+    return pa.table({"a": low, "b": high})
+
+
+def _rest_links(groups: DataFrame, reps: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
+    """Links of the documents outside their group's largest component.
+
+    ``groups`` holds ``pivot``, ``doc_id`` and ``component`` of groups with several components.
+    """
+    parts = groups.groupBy("pivot", "component").agg(F.count(F.lit(1)).alias("n"))
+    chief = F.max(F.struct("n", "component")).alias("chief")
+    whole = parts.groupBy("pivot").agg(chief, F.sum("n").alias("all"))
+    whole = whole.select("pivot", F.col("chief.component").alias("main"), (F.col("all") - F.col("chief.n")).alias("rest"), "all")
+    sides = groups.join(whole, "pivot").withColumn("row_blocks", F.ceil(F.col("rest") / ROW_BLOCK))
+    sides = sides.withColumn("column_blocks", F.ceil(F.col("all") / COLUMN_BLOCK))
+
+    def spot(blocks: str) -> Column:
+        return F.pmod(F.xxhash64("doc_id"), F.col(blocks).cast("bigint"))
+
+    def every(blocks: str) -> Column:
+        return F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(blocks).cast("bigint") - 1))
+
+    known = reps.select("doc_id", "packed").dropDuplicates(["doc_id"]).join(texts, "doc_id")
+    rest = sides.where("component <> main").select("pivot", "doc_id", "component", spot("row_blocks").alias("row_block"), every("column_blocks").alias("column_block"))
+    others = sides.select("pivot", "doc_id", "component", spot("column_blocks").alias("column_block"), every("row_blocks").alias("row_block"))
+    by = ["pivot", "row_block", "column_block"]
+    left = rest.join(known, "doc_id").select(*by, "doc_id", "component", "packed", "text").groupBy(*by)
+    # Names of its own: both sides stem from one table.
+    right = others.join(known, "doc_id").select(
+        *[F.col(c).alias(f"other_{c}") for c in by],
+        F.col("doc_id").alias("other_id"),
+        *[F.col(c).alias(f"other_{c}") for c in ("component", "packed", "text")],
+    )
+    right = right.groupBy(*[f"other_{c}" for c in by])
+
+    def run(one: pa.Table, other: pa.Table) -> pa.Table:
+        return compare_blocks(one, other, size, percent)
+
+    return left.cogroup(right).applyInArrow(run, "a bigint, b bigint")
+
+
+def _pivots(members: DataFrame) -> DataFrame:
+    """``(pivot, doc_id)``: the groups of documents that meet the pivot of a bucket in that bucket."""
+    buckets = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    members = stored(members.join(buckets, "bucket"), "buckets")
+    popularity = members.groupBy("doc_id").agg(F.sum("n").alias("popularity"))
+    known = stored(members.join(popularity, "doc_id"), "members")
+    chief = F.max(F.struct("popularity", (-F.col("doc_id")).alias("lowest"))).alias("chief")
+    chiefs = known.groupBy("bucket").agg(chief).select("bucket", (-F.col("chief.lowest")).alias("pivot"))
+    return known.join(chiefs, "bucket").where("doc_id <> pivot").select("pivot", "doc_id").distinct()
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, spread: Callable[[DataFrame], DataFrame] = lambda df: df) -> DataFrame:
@@ -225,29 +318,19 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, spread: C
     classes = filled.groupBy(*same_set).agg(F.min("doc_id").alias("rep"))
     chosen = classes.select(F.col("rep").alias("doc_id"), *same_set)
     reps = stored(filled.join(chosen, ["doc_id", *same_set], "left_semi").dropDuplicates(["doc_id", *same_set]), "classes")
-    members = reps.select("doc_id", F.explode("bands").alias("bucket")).distinct()
-    links = tested = None
-    for split in range(MAX_SPLITS + 1):
-        members = _shared(members)
-        pairs = members.where("doc_id <> least").select(F.col("least").alias("a"), F.col("doc_id").alias("b")).distinct()
-        links, tested = _link(pairs, links, tested, reps, docs, size, percent)
-        found = stored(components(links), "components")
-        # Buckets whose members are not yet in one component.
-        labelled = _labelled(members, found)
-        spans = labelled.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high"))
-        open_members = stored(labelled.join(spans.where("low < high").select("bucket"), "bucket", "left_semi"), "open_buckets")
-        direct = open_members if split == MAX_SPLITS else open_members.where(F.col("n") <= SMALL_BUCKET)
-        left = direct.select("bucket", F.col("doc_id").alias("a"), F.col("component").alias("component_a"))
-        right = direct.select("bucket", F.col("doc_id").alias("b"), F.col("component").alias("component_b"))
-        pairs = left.join(right, "bucket").where("a < b AND component_a <> component_b").select("a", "b").distinct()
-        links, tested = _link(pairs, links, tested, reps, docs, size, percent)
-        large = open_members.where(F.col("n") > SMALL_BUCKET)
-        if split == MAX_SPLITS or large.isEmpty():
-            break
-        bands = reps.select("doc_id", F.explode("bands").alias("band"))
-        members = large.select("bucket", "doc_id").join(bands, "doc_id").where("band <> bucket")
-        members = members.select(F.xxhash64("bucket", "band").alias("bucket"), "doc_id").distinct()
+    groups = stored(_pivots(reps.select("doc_id", F.explode("bands").alias("bucket")).distinct()), "groups")
+    wanted = groups.select(F.explode(F.array("pivot", "doc_id")).alias("doc_id")).distinct()
+    texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("binary").alias("text"))
+    texts = stored(texts.join(wanted, "doc_id", "left_semi"), "candidate_texts")
+    pairs = groups.select(F.col("pivot").alias("a"), F.col("doc_id").alias("b"))
+    links = stored(confirmed(_promising(pairs, reps, percent).distinct(), texts, size, percent), "links")
     found = stored(components(links), "components")
+    labels = found.select(F.col("node").alias("doc_id"), "component")
+    labelled = groups.join(labels, "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
+    spans = labelled.groupBy("pivot").agg(F.min("component").alias("low"), F.max("component").alias("high"))
+    unsettled = stored(labelled.join(spans.where("low < high").select("pivot"), "pivot", "left_semi"), "unsettled")
+    more = stored(_rest_links(unsettled, reps, texts, size, percent), "more_links")
+    found = stored(components(links.unionByName(more)), "components")
     by_set = classes.join(found, F.col("rep") == F.col("node"), "left").select(*same_set, F.coalesce("component", "rep").alias("of_set"))
     keyed = rows.select("doc_id", *same_set).join(by_set, same_set, "left")
     own = F.col("doc_id")
@@ -256,11 +339,12 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, spread: C
     return keyed.select(own, "n_shingles", component.alias("component_id"), (own.isNull() | (own == component)).alias("kept"))
 
 
-def _link(pairs, links, tested, reps, docs, size, percent):
-    """Test new candidate pairs; all links and all tested pairs so far."""
-    if tested is not None:
-        pairs = pairs.join(tested, ["a", "b"], "left_anti")
-    pairs = stored(pairs, "candidates")
-    promising = stored(_promising(pairs, reps, percent).distinct(), "promising")
-    new = stored(confirmed(promising, docs, size, percent), "links")
-    return (new, pairs) if links is None else (links.unionByName(new), tested.unionByName(pairs))
+def one_of_each(docs: DataFrame, size: int = 5, percent: int = 80, spread: Callable[[DataFrame], DataFrame] = lambda df: df) -> DataFrame:
+    """The rows of ``docs``, all columns, that stay when one document of each class is kept.
+
+    Of rows that share a kept id one stays; rows with a null id all stay.
+    """
+    found = near_duplicates(docs, size, percent, spread)
+    stay = found.where("kept AND doc_id IS NOT NULL").select(F.col("doc_id").alias("stay_id")).distinct()
+    named = docs.join(stay, F.col("doc_id") == F.col("stay_id"), "left_semi").dropDuplicates(["doc_id"])
+    return named.unionByName(docs.where(F.col("doc_id").isNull()))
