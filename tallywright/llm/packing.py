@@ -29,41 +29,71 @@ CAPACITY = 2048
 UNIT = 4
 CELL = 4096
 END_ID = 1
-CACHE_ENTRIES = 300_000
+CACHE_ENTRIES = 700_000
+MARKS = (b".", b",", b"!", b"?", b";", b":", b"|")
 PIECES = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint"
 
 
 class ChunkTokenizer:
     """Token ids of whole texts, from the ids of their chunks between ASCII white space.
 
-    The tokenizer drops white space and no token spans it, so a text's ids are those of its
-    chunks in order. Chunks met before are looked up.
+    The tokenizer drops white space, folds case and no token spans white space, so a text's ids are
+    those of its chunks in order, whatever their ASCII case. Chunks met before are looked up; new
+    words of letters alone are encoded together, as each ends with a token that closes a word.
     """
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        vocabulary = self.tokenizer.get_vocab()
+        self.closes = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.closes[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
         self.known: dict[bytes, bytes] = {}
 
-    def encode(self, texts: list[bytes]) -> Iterator[bytes]:
+    def encode(self, texts: list[bytes]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit numbers, the closing id last."""
         end = END_ID.to_bytes(4, "little")
-        for text in texts:
-            chunks = text.split()
-            try:
-                yield b"".join(map(self.known.__getitem__, chunks)) + end
-            except KeyError:
-                self._learn(chunks)
-                yield b"".join(map(self.known.__getitem__, chunks)) + end
-
-    def _learn(self, chunks: list[bytes]) -> None:
-        if len(self.known) > CACHE_ENTRIES:
-            self.known.clear()
-        new = list({c for c in chunks if c not in self.known})
-        found = self.tokenizer.encode_batch_fast([c.decode("utf-8", "replace") for c in new], add_special_tokens=False)
-        for chunk, encoding in zip(new, found, strict=True):
-            self.known[chunk] = np.array(encoding.ids, "<u4").tobytes()
+        # A text that may hold a special token keeps its case.
+        chunked = [(text if b"<|" in text else text.lower()).split() for text in texts]
+        met = set().union(*chunked)
+        new = met - self.known.keys()
+        if len(self.known) + len(new) > CACHE_ENTRIES:
+            self.known = {c: self.known[c] for c in met - new}
+        self._learn(new)
+        look_up = self.known.__getitem__
+        return [b"".join(map(look_up, chunks)) + end for chunks in chunked]
+
+    def _learn(self, new: set[bytes]) -> None:
+        # A letter and a mark after it are never in one token.
+        marked = [c for c in new if c[-1:] in MARKS and c[-2:-1].isalpha()]
+        new.difference_update(marked)
+        stems = {c[:-1] for c in marked}
+        stems.update(MARKS)
+        new |= stems - self.known.keys()
+        words = [c for c in new if c.isalpha()]
+        others = []
+        for c in new.difference(words):
+            (words if c.decode("utf-8", "replace").isalpha() else others).append(c)
+        for at in range(0, len(words), 1024):
+            self._learn_words(words[at : at + 1024])
+        self._learn_each(others)
+        known = self.known
+        known.update([(c, known[c[:-1]] + known[c[-1:]]) for c in marked])
+
+    def _learn_words(self, some: list[bytes]) -> None:
+        ids = np.array(self.tokenizer.encode(b" ".join(some).decode("utf-8", "replace"), add_special_tokens=False).ids, "<u4")
+        ends = ((np.flatnonzero(self.closes[ids]) + 1) * 4).tolist()
+        if len(ends) != len(some):
+            self._learn_each(some)
+            return
+        flat = ids.tobytes()
+        self.known.update(zip(some, [flat[a:b] for a, b in zip([0, *ends], ends, strict=False)], strict=True))
+
+    def _learn_each(self, some: list[bytes]) -> None:
+        found = self.tokenizer.encode_batch_fast([c.decode("utf-8", "replace") for c in some], add_special_tokens=False)
+        for c, encoding in zip(some, found, strict=True):
+            self.known[c] = np.array(encoding.ids, "<u4").tobytes()
 
 
 def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY) -> DataFrame:
@@ -74,7 +104,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY) -> Da
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
-                ids = list(tokenizer.encode([t or b"" for t in part["text"].to_pylist()]))
+                ids = tokenizer.encode([t or b"" for t in part["text"].to_pylist()])
                 rows = [
                     (i, start, stop - start, zlib.crc32(memoryview(x)[4 * start : 4 * stop]), len(x) // 4)
                     for i, x in enumerate(ids)
@@ -121,24 +151,52 @@ def _best_column(prices: np.ndarray, lengths: np.ndarray, room: int) -> tuple[fl
     return best[room], column[lengths]
 
 
-def generate_columns(demand: np.ndarray, room: int, gap: float = 2e-4, most: int = 4000) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def best_fit(pieces: list[int], room: int) -> list[list[int]]:
+    """Pieces, longest first, each into the fullest sequence that has room."""
+    spaces: list[list[list[int]]] = [[] for _ in range(room + 1)]
+    for length in sorted(pieces, reverse=True):
+        space = next((s for s in range(length, room + 1) if spaces[s]), None)
+        sequence = spaces[space].pop() if space is not None else []
+        space = room if space is None else space
+        spaces[space - length].append([*sequence, length])
+    return sorted(s for some in spaces for s in some)
+
+
+def _first_columns(lengths: np.ndarray, need: np.ndarray, room: int, most: int = 5000) -> np.ndarray:
+    """Patterns of a best-fit packing of the histogram, scaled down to about ``most`` pieces."""
+    some = np.ceil(need * min(1.0, most / need.sum())).astype(np.int64)
+    packed = {tuple(s) for s in best_fit(np.repeat(lengths, some).tolist(), room)}
+    columns = np.zeros((len(packed), room + 1))
+    for row, sequence in zip(columns, sorted(packed), strict=True):
+        np.add.at(row, list(sequence), 1)
+    return columns[:, lengths]
+
+
+def generate_columns(demand: np.ndarray, room: int, gap: float = 2e-4, most: int = 6000) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Solve the linear program by column generation: lengths, columns and their amounts.
 
-    ``demand[l]`` pieces have length ``l``. Ends at the optimum, or when the amount of sequences is
-    within ``gap`` of the bound that the total length gives.
+    ``demand[l]`` pieces have length ``l``. A column comes from those met so far while one of them
+    pays, else from the knapsack. Ends at the optimum, or when the amount of sequences is within
+    ``gap`` of the bound that the total length gives.
     """
     lengths = np.flatnonzero(demand[: room + 1])
     need = demand[lengths].astype(float)
     basis = np.diag((room // lengths).astype(float))
     inverse = np.diag(1.0 / np.diag(basis))
     amounts = inverse @ need
+    pool = _first_columns(lengths, need, room)
     bound = (lengths * need).sum() / room
     for step in range(most):
         if amounts.sum() <= bound * (1 + gap):
             break
-        value, column = _best_column(inverse.sum(axis=0), lengths, room)
-        if value <= 1 + 1e-9:
-            break
+        prices = inverse.sum(axis=0)
+        values = pool @ prices
+        column = pool[values.argmax()]
+        if values.max() <= 1 + 1e-7:
+            value, column = _best_column(prices, lengths, room)
+            if value <= 1 + 1e-7:
+                break
+            pool = np.concatenate([pool, column[None]])
         direction = inverse @ column
         positive = direction > 1e-9
         ratios = np.full(len(need), np.inf)
@@ -169,15 +227,8 @@ def plan_patterns(demand: np.ndarray, room: int) -> list[Pattern]:
         if count > 0:
             left -= count * column
             out.append(Pattern(tuple(np.repeat(lengths, column)[::-1].tolist()), count))
-    # What rounding left: longest first, each into the fullest sequence that has room.
-    spaces: list[list[list[int]]] = [[] for _ in range(room + 1)]
-    for length in np.repeat(lengths, left)[::-1].tolist():
-        space = next((s for s in range(length, room + 1) if spaces[s]), None)
-        sequence = spaces[space].pop() if space is not None else []
-        space = room if space is None else space
-        spaces[space - length].append([*sequence, length])
-    rest = sorted(tuple(s) for some in spaces for s in some)
-    out += [Pattern(s, 1) for s in rest]
+    # What rounding left.
+    out += [Pattern(tuple(s), 1) for s in best_fit(np.repeat(lengths, left).tolist(), room)]
     return out
 
 
