@@ -190,7 +190,7 @@ def _(spark, sf):
     path = scratch_dir(spark, "report")
     sinks.write_report(view(spark, sf, "fx_eval_results"), path)
     lines = spark.read.text(path)
-    return lines.where(~F.col("value").startswith("Generated:") & (F.col("value") != "")).select(
+    return lines.where(~F.col("value").startswith("Written ") & (F.col("value") != "")).select(
         F.col("value").alias("line")
     )
 

@@ -189,12 +189,9 @@ _LEVEL = """CASE WHEN grouping(evaluation_type) = 1 AND grouping(difficulty) = 1
 
 _add(
     "s12_report",
-    """SELECT '# Evaluation Report' AS line
-UNION ALL SELECT unnest(['## Overall Performance', '## Performance by Evaluation Type', '## Performance by Difficulty', '## Error Analysis', '- Error Rates by Type:'])
-UNION ALL SELECT unnest(['- Total Samples: ' || n, '- Correct Samples: ' || c, printf('- Overall Accuracy: %.2f%%', 100.0 * acc), printf('- Average Score: %.3f', s),
-  printf('- Average Execution Time: %.2fs', t), printf('- Error Rate: %.2f%%', 100.0 * er), '- Total Errors: ' || e]) FROM m WHERE k = 'all'
-UNION ALL SELECT unnest(['### ' || upper(k), '- Samples: ' || n, printf('- Accuracy: %.2f%%', 100.0 * acc), printf('- Average Score: %.3f', s)]) FROM m WHERE k <> 'all'
-UNION ALL SELECT printf('  - %s: %.2f%%', k, 100.0 * er) FROM m WHERE k IN ('sql', 'function')""",
+    """SELECT '# Evaluation' AS line
+UNION ALL SELECT unnest(['| group | n | right | share right | mean score | mean seconds | share failed |', '|---|---|---|---|---|---|---|'])
+UNION ALL SELECT printf('| %s | %d | %d | %.4f | %.4f | %.3f | %.4f |', k, n, c, acc, s, t, er) FROM m""",
     "fx_eval_results",
     ctes="""stacked AS (SELECT 'all' AS k, * FROM fx_eval_results UNION ALL SELECT evaluation_type, * FROM fx_eval_results UNION ALL SELECT difficulty, * FROM fx_eval_results),
 m AS (SELECT k, COUNT(*) AS n, COUNT(CASE WHEN is_correct THEN 1 END) AS c, round(COUNT(CASE WHEN is_correct THEN 1 END) / COUNT(*), 6) AS acc, round(avg(CAST(score AS DECIMAL(18,9))), 6) AS s,

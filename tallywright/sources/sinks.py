@@ -7,7 +7,7 @@ import datetime as dt
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallywright.operators.metrics import all_metrics, error_rates
+from tallywright.operators.metrics import all_metrics
 
 # The fields of a stored result, in order; the CSV leaves the details out.
 RESULT_FIELDS = [
@@ -43,55 +43,34 @@ def write_results_csv(results: DataFrame, path: str) -> None:
     _stored(results, CSV_FIELDS, keys).write.mode("overwrite").option("header", True).csv(path)
 
 
-def _section(title: str, rows: list, key: str) -> list[str]:
-    out = [f"## {title}"]
-    for r in sorted(rows, key=lambda r: r[key]):
-        out += [
-            f"### {r[key].upper()}",
-            f"- Samples: {r.total_samples}",
-            f"- Accuracy: {r.accuracy:.2%}",
-            f"- Average Score: {r.average_score:.3f}",
-            "",
-        ]
-    return out
-
-
-def render_report(results: DataFrame, title: str = "Evaluation Report") -> str:
-    """Markdown report. Only aggregate rows, at most a dozen, reach the driver."""
-    rows = all_metrics(results).collect()
-    level = {name: [r for r in rows if r.level == name] for name in ("overall", "type", "difficulty")}
-    total = level["overall"][0] if level["overall"] else None
-    shown = total.asDict() if total is not None else {}
-    get = lambda k: shown.get(k) or 0
-    lines = [
-        f"# {title}",
-        f"Generated: {dt.datetime.now():%Y-%m-%d %H:%M:%S}",
-        "",
-        "## Overall Performance",
-        f"- Total Samples: {get('total_samples')}",
-        f"- Correct Samples: {get('correct_samples')}",
-        f"- Overall Accuracy: {get('accuracy'):.2%}",
-        f"- Average Score: {get('average_score'):.3f}",
-        f"- Average Execution Time: {get('average_execution_time'):.2f}s",
-        f"- Error Rate: {get('error_rate'):.2%}",
-        "",
-        *_section("Performance by Evaluation Type", level["type"], "evaluation_type"),
-        *_section("Performance by Difficulty", level["difficulty"], "difficulty"),
-    ]
-    rates = sorted(error_rates(results).collect(), key=lambda r: r.evaluation_type)
-    errors = sum(r.total_errors for r in rates)
-    if errors:
-        lines += [
-            "## Error Analysis",
-            f"- Total Errors: {errors}",
-            "- Error Rates by Type:",
-            *[f"  - {r.evaluation_type}: {r.error_rate:.2%}" for r in rates],
-            "",
-        ]
+REPORT_COLUMNS = {
+    "n": lambda r: f"{r.total_samples}",
+    "right": lambda r: f"{r.correct_samples}",
+    "share right": lambda r: f"{r.accuracy:.4f}",
+    "mean score": lambda r: f"{r.average_score or 0:.4f}",
+    "mean seconds": lambda r: f"{r.average_execution_time or 0:.3f}",
+    "share failed": lambda r: f"{r.error_rate:.4f}",
+}
+
+
+def render_report(results: DataFrame, title: str = "Evaluation") -> str:
+    """One Markdown table: a line for all results, then one per type and per difficulty.
+
+    Only aggregate rows, at most a dozen, reach the driver.
+    """
+    rows = all_metrics(results).where(F.col("level").isin("overall", "type", "difficulty")).collect()
+    place = {"overall": 0, "type": 1, "difficulty": 2}
+    name = {"overall": lambda r: "all", "type": lambda r: r.evaluation_type, "difficulty": lambda r: r.difficulty}
+    named = sorted((place[r.level], str(name[r.level](r)), r) for r in rows if r.total_samples)
+    head = ["group", *REPORT_COLUMNS]
+    lines = [f"# {title}", "", f"Written {dt.datetime.now():%Y-%m-%d %H:%M}", ""]
+    lines += ["| " + " | ".join(head) + " |", "|" + "---|" * len(head)]
+    for _, group, r in named:
+        lines.append("| " + " | ".join([group, *[show(r) for show in REPORT_COLUMNS.values()]]) + " |")
     return "\n".join(lines)
 
 
-def write_report(results: DataFrame, path: str, title: str = "Evaluation Report") -> str:
+def write_report(results: DataFrame, path: str, title: str = "Evaluation") -> str:
     """Write the report as one text file in ``path``, through Spark so any file system works."""
     text = render_report(results, title)
     spark = results.sparkSession

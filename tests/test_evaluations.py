@@ -251,7 +251,7 @@ def test_executed_calls_and_reports(spark, facts, coverage, tmp_path):
     header = spark.read.option("header", True).csv(paths["csv_path"])
     assert [c for c in header.columns if c in sinks.CSV_FIELDS] == sinks.CSV_FIELDS
     report = "\n".join(r.value for r in spark.read.text(paths["report_path"]).collect())
-    assert "- Total Samples: 3" in report and "### FUNCTION" in report and "Error Analysis" not in report
+    assert "| all | 3 |" in report and "| function |" in report
 
 
 def test_run_options_choose_samples(spark):
@@ -312,7 +312,7 @@ def test_empty_results_report(spark):
         [], "evaluation_type string, difficulty string, is_correct boolean, score double, execution_time double, error_message string"
     )
     assert evaluations.overall_metrics(empty).count() == 0
-    assert "- Total Samples: 0" in sinks.render_report(empty)
+    assert sinks.render_report(empty).count("\n|") == 2
 
 
 def test_responses_source(spark, tmp_path):
