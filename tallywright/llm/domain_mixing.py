@@ -1,8 +1,9 @@
 """Mixing to target weights by soft domain membership, with DataFrame functions only.
 
-A table of labelled documents teaches a naive Bayes classifier over character counts, which
-gives every document posteriors over the domains. Nonnegative rates per document are then fitted
-by projected gradient steps, so that the expected tokens of each domain,
+A bounded sample of a table of labelled documents teaches a classifier: each domain's ``TYPICAL`` words are those
+whose document frequency is furthest above that of every other domain, and a naive Bayes rule over
+how many of a text's words are typical of which domain gives posteriors. Nonnegative rates per document
+are then fitted by projected gradient steps, so that the expected tokens of each domain,
 ``sum(rate * tokens * posterior)``, meet the targets. A step moves each document's rate by its
 posteriors' share of the domains' misses and cuts it at 0; the steps so far are a bounded list
 that every row replays, so an iteration is one aggregate over the stored posteriors and nothing per
@@ -10,79 +11,111 @@ document is kept between iterations.
 
 Defined cases: null and empty texts have one token (their end) and the prior as posterior. A domain that is
 targeted but never labelled gets no posterior, and its target is shared out among the others.
-Null labels are ignored. Without any label all documents have rate 1 and no posteriors.
-Null ids and repeated rows are documents like any other; an empty table gives no row.
+Null labels are ignored; of contradicting labels the smallest counts. Without any label all documents have
+rate 1 and no posteriors. Null ids and repeated rows are documents like any other; an empty table gives no row.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tallywright.functions.text import once
 from tallywright.session import stored
 
-# Characters counted by the classifier. Fixed values.
-CHARACTERS = "abcdefghijklmnopqrstuvwxyzäöüßéèêçàñíóáú"
-EFFECTIVE = 60.0  # characters of evidence a text carries at most
+SAMPLE = 4000  # labelled documents that teach the classifier
+TYPICAL = 40  # words per domain
+EFFECTIVE = 30.0  # typical words of evidence a text carries at most
 STEPS = 24
 TOLERANCE = 1e-4
 
 
-def token_count(text: Column) -> Column:
-    """Words of the text and one end: starts of runs of characters that are not white space."""
-    plain = F.translate(F.coalesce(text, F.lit("")), "\t\n\x0b\x0c\r", "     ")
-    words = F.size(F.filter(F.split(plain, " "), lambda w: w != ""))
-    return words.cast("bigint") + 1
+def words(text: Column) -> Column:
+    """Runs of characters other than ASCII white space."""
+    return F.filter(F.split(F.coalesce(text, F.lit("")), "[\\x20\\x09-\\x0D]+"), lambda w: w != "")
 
 
-def character_counts(text: Column) -> Column:
-    """How often each of ``CHARACTERS`` occurs, as an array."""
-    lower = F.lower(F.coalesce(text, F.lit("")))
-    bare = F.char_length(lower)
-    counts = [bare - F.char_length(F.translate(lower, c, "")) for c in CHARACTERS]
-    return F.array(*counts)
-
-
-def classifier(docs: DataFrame, labelled: DataFrame, key: str, text: str, domain: str) -> tuple[list[str], list[list[float]], list[float]]:
-    """Domains, log-likelihoods per character and log priors; a bounded table of sums."""
+def _taught(docs: DataFrame, labelled: DataFrame, key: str, text: str, domain: str, sample: int) -> DataFrame:
     known = labelled.where(F.col(key).isNotNull() & F.col(domain).isNotNull())
-    known = known.groupBy(F.col(key).alias("__key")).agg(F.min(F.col(domain).cast("string")).alias("__domain"))
-    taught = docs.select(F.col(key).alias("__key"), F.col(text).alias("__text")).join(known, "__key")
-    counts = character_counts(F.col("__text"))
+    known = known.groupBy(F.col(key).alias("k")).agg(F.min(F.col(domain).cast("string")).alias("domain"))
+    known = known.orderBy(F.xxhash64(F.lit(5), "k"), "k").limit(sample)  # bounded by the parameter
+    found = docs.select(F.col(key).alias("k"), F.col(text).alias("text")).join(F.broadcast(known), "k")
+    return stored(found.select("domain", words(F.col("text")).alias("words")), "taught")
+
+
+def typical_words(taught: DataFrame, domains: Sequence[str], sizes: Sequence[int]) -> list[list[str]]:
+    """Each domain's words of the highest lead in document frequency."""
+    met = taught.select("domain", F.explode(F.array_distinct("words")).alias("word"))
+    shares = [F.count_if(F.col("domain") == d) / F.lit(float(n)) for d, n in zip(domains, sizes, strict=True)]
+    counts = stored(met.groupBy("word").agg(*[s.alias(f"s{k}") for k, s in enumerate(shares)]), "word_shares")
+    out = []
+    for k in range(len(domains)):
+        others = [F.col(f"s{j}") for j in range(len(domains)) if j != k]
+        lead = F.col(f"s{k}") - (F.greatest(*others) if len(others) > 1 else others[0] if others else F.lit(0.0))
+        rows = counts.select("word", lead.alias("lead")).where("lead > 0").orderBy(F.desc("lead"), "word").limit(TYPICAL).collect()
+        out.append([r[0] for r in rows])
+    return out
+
+
+def hits(found: Column, typical: Sequence[Sequence[str]]) -> list[Column]:
+    """How many of the words are typical of each domain."""
+
+    def count(some: Sequence[str]) -> Column:
+        return F.size(F.filter(found, lambda w: w.isin(*some))) if some else F.lit(0)
+
+    return [count(some) for some in typical]
+
+
+def classifier(docs: DataFrame, labelled: DataFrame, key: str, text: str, domain: str, sample: int = SAMPLE):
+    """Domains, their typical words, log shares of hits in each domain's texts, and log priors."""
+    taught = _taught(docs, labelled, key, text, domain, sample)
+    rows = taught.groupBy("domain").agg(F.count(F.lit(1)).alias("n")).orderBy("domain").collect()
+    domains, sizes = [r[0] for r in rows], [r[1] for r in rows]
+    if not domains:
+        return [], [], [], []
+    typical = typical_words(taught, domains, sizes)
+    n = len(domains)
+    counted = taught.select("domain", F.size("words").alias("all"), *[h.alias(f"h{k}") for k, h in enumerate(hits(F.col("words"), typical))])
     # Shares per text, so that long texts do not decide alone.
-    total = F.aggregate("__counts", F.lit(0), lambda s, v: s + v)
-    shares = taught.select("__domain", counts.alias("__counts")).withColumn("__total", F.greatest(total, F.lit(1)))
-    sums = [F.sum(F.col("__counts")[i] / F.col("__total")) for i in range(len(CHARACTERS))]
-    rows = shares.groupBy("__domain").agg(F.count(F.lit(1)).alias("n"), F.array(*sums).alias("sums")).orderBy("__domain").collect()
-    domains = [r["__domain"] for r in rows]
+    shares = [F.sum(F.col(f"h{k}") / F.greatest("all", F.lit(1))).alias(f"h{k}") for k in range(n)]
     logs, priors = [], []
-    everything = sum(r["n"] for r in rows)
-    for r in rows:
-        smooth = [s + 0.5 for s in r["sums"]]
+    for row in counted.groupBy("domain").agg(F.count(F.lit(1)).alias("n"), *shares).orderBy("domain").collect():
+        smooth = [row[f"h{k}"] + 0.5 for k in range(n)]
         logs.append([math.log(s / sum(smooth)) for s in smooth])
-        priors.append(math.log(r["n"] / everything))
-    return domains, logs, priors
+        priors.append(math.log(row["n"] / sum(sizes)))
+    return domains, typical, logs, priors
+
+
+def membership(text: Column, typical: Sequence[Sequence[str]], logs: Sequence[Sequence[float]], priors: Sequence[float]) -> Column:
+    """Struct of the text's ``tokens`` (words and one end) and its posteriors ``p``."""
+    n = len(priors)
+
+    def scored(found: Column) -> Column:
+        return F.struct(F.size(found).alias("all"), F.array(*hits(found, typical)).alias("h"))
+
+    def posteriors(s: Column) -> Column:
+        # Words that are typical of nothing say nothing: without a hit the prior stands.
+        known = reduce(lambda a, b: a + b, [F.get(s["h"], F.lit(k)) for k in range(n)])
+        weight = F.least(known.cast("double"), F.lit(EFFECTIVE)) / F.greatest(known, F.lit(1))
+        scores = []
+        for row, prior in zip(logs, priors, strict=True):
+            evidence = [F.get(s["h"], F.lit(k)) * F.lit(row[k]) for k in range(n)]
+            scores.append(F.lit(prior) + weight * reduce(lambda a, b: a + b, evidence))
+        return F.struct((s["all"].cast("bigint") + 1).alias("tokens"), once(F.array(*scores), softmax).alias("p"))
 
+    return once(once(words(text), scored), posteriors)
 
-def posteriors(counts: str, logs: Sequence[Sequence[float]], priors: Sequence[float]) -> Column:
-    """Posterior of every domain; evidence counts as ``EFFECTIVE`` characters at most."""
-    total = F.aggregate(counts, F.lit(0), lambda s, v: s + v)
-    weight = F.least(total.cast("double"), F.lit(EFFECTIVE)) / F.greatest(total, F.lit(1))
-    scores = []
-    for row, prior in zip(logs, priors, strict=True):
-        evidence = sum((F.col(counts)[i] * F.lit(x) for i, x in enumerate(row)), F.lit(0.0))
-        scores.append(F.lit(prior) + weight * evidence)
-    return F.array(*scores)
 
+def softmax(scores: Column) -> Column:
+    def shares(powers: Column) -> Column:
+        total = F.aggregate(powers, F.lit(0.0), lambda s, v: s + v)
+        return F.transform(powers, lambda v: v / total)
 
-def softmax(scores: str, n: int) -> Column:
-    top = F.array_max(scores)
-    powers = [F.exp(F.col(scores)[i] - top) for i in range(n)]
-    total = sum(powers[1:], powers[0])
-    return F.array(*[p / total for p in powers])
+    return once(F.transform(scores, lambda v: F.exp(v - F.array_max(scores))), shares)
 
 
 def rate(steps: Sequence[Sequence[float]], n: int) -> Column:
@@ -93,7 +126,7 @@ def rate(steps: Sequence[Sequence[float]], n: int) -> Column:
     listed = F.array(*[F.array(*[F.lit(float(x)) for x in step]) for step in steps])
 
     def move(r: Column, step: Column) -> Column:
-        pull = sum((F.get("p", F.lit(k)) * F.get(step, F.lit(k)) for k in range(1, n)), F.get("p", F.lit(0)) * F.get(step, F.lit(0)))
+        pull = reduce(lambda a, b: a + b, [F.get("p", F.lit(k)) * F.get(step, F.lit(k)) for k in range(n)])
         return F.greatest(r - pull, F.lit(0.0))
 
     return F.aggregate(listed, value, move)
@@ -128,22 +161,20 @@ def mix(
     domain: str = "domain",
     temper: float = 0.5,
 ) -> tuple[DataFrame, list[str]]:
-    """Rates of all rows of ``docs``; the columns of ``docs`` with ``tokens``, ``p`` and ``rate``.
+    """Rates of all rows of ``docs``: ``record`` (its columns), ``tokens``, ``p`` and ``rate``.
 
     ``labelled`` holds ``key`` and ``domain``. ``weights`` are the targets by domain, normalised over
     the domains that have labels; without them the expected shares raised to ``temper``. The targets'
     total is the tokens of ``docs``. Also gives the domains in the order of ``p``.
     """
-    domains, logs, priors = classifier(docs, labelled, key, text, domain)
-    names = [c for c in docs.columns]
+    domains, typical, logs, priors = classifier(docs, labelled, key, text, domain)
     n = len(domains)
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("record"))
-    rows = rows.withColumn("tokens", token_count(F.col(f"record.{text}")))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("record"))
     if n == 0:
-        return rows.withColumn("p", F.array().cast("array<double>")).withColumn("rate", F.lit(1.0)), domains
-    rows = rows.withColumn("counts", character_counts(F.col(f"record.{text}")))
-    rows = rows.withColumn("scores", posteriors("counts", logs, priors)).withColumn("p", softmax("scores", n))
-    rows = stored(rows.select("record", "tokens", "p"), "posteriors")
+        tokens = (F.size(words(F.col(f"record.{text}"))).cast("bigint") + 1).alias("tokens")
+        return rows.select("record", tokens, F.array().cast("array<double>").alias("p"), F.lit(1.0).alias("rate")), domains
+    found = rows.select("record", membership(F.col(f"record.{text}"), typical, logs, priors).alias("m"))
+    rows = stored(found.select("record", "m.tokens", "m.p"), "posteriors")
     have = rows.agg(F.sum("tokens"), *[F.sum(F.col("tokens") * F.col("p")[k]) for k in range(n)]).first()
     total = float(have[0] or 0)
     if weights is None:
