@@ -22,6 +22,10 @@ SYSTEM_TEXT = {
     "schema_sql": f"Answer the question with one SQL query over the tables listed. {YEAR_RULE} Return the query only.",
     "targeted_sql": "Answer the question with one SQL query over the tables listed. Return the query only.",
     "function": 'Choose the functions that answer the question. Return JSON: {"name": ..., "arguments": {...}}. ' + YEAR_RULE,
+    "labelled_function": (
+        "Choose functions from the catalogue. Write every call as two lines, the first with the function, the second with "
+        "its arguments, and nothing else:\nFunction: name\nParameters: key=value, key=value\n" + YEAR_RULE
+    ),
     "catalogue_function": 'Choose functions from the catalogue. Return JSON: {"function_name": ..., "parameters": {...}}.',
 }
 
@@ -107,8 +111,9 @@ def function_prompt(question: Column, functions: Column, context: Column) -> Col
     return messages(F.lit(SYSTEM_TEXT["function"]), user)
 
 
-def catalogue_prompt(question: Column, catalogue: str) -> Column:
-    system = SYSTEM_TEXT["catalogue_function"] + "\n\n" + catalogue
+def catalogue_prompt(question: Column, catalogue: str, kind: str = "catalogue_function") -> Column:
+    """Prompt with a catalogue; ``kind`` names the form that the scorer's extraction reads."""
+    system = SYSTEM_TEXT[kind] + "\n\n" + catalogue
     return messages(F.lit(system), _question(question))
 
 
@@ -138,7 +143,7 @@ def prompt_table(samples: DataFrame, evaluation: str) -> DataFrame:
     elif evaluation == "calls_catalogue":
         prompt = catalogue_prompt(question, catalogue_text(list(REQUIRED_KEYS)))
     elif evaluation == "calls_executed":
-        prompt = catalogue_prompt(question, catalogue_text(list(FUNCTION_DEFAULTS)))
+        prompt = catalogue_prompt(question, catalogue_text(list(FUNCTION_DEFAULTS)), "labelled_function")
     else:
         raise ValueError(f"no prompt for evaluation: {evaluation}")
     return samples.select("sample_id", prompt.alias("messages"))

@@ -10,6 +10,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
+from inspect import signature
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -74,6 +75,29 @@ def answered(samples: DataFrame, responses: DataFrame) -> DataFrame:
     return answers.select(*kept).join(samples, "sample_id")
 
 
+def unknown_answers(samples: DataFrame, responses: DataFrame) -> DataFrame:
+    """Recorded answers to samples that are not in the set, which no evaluation counts."""
+    return normalise_responses(responses).join(samples.select("sample_id").distinct(), "sample_id", "left_anti")
+
+
+def unanswered(samples: DataFrame, responses: DataFrame) -> DataFrame:
+    """``(run_id, model, sample_id)`` of samples without an answer in a run of the responses.
+
+    One row per missing answer: a run's present answers are counted first, and only runs that
+    lack some are set against the samples.
+    """
+    wanted = samples.select("sample_id").distinct()
+    have = responses.select("run_id", "model", "sample_id").distinct().join(wanted, "sample_id", "left_semi")
+    runs = responses.groupBy("run_id", "model").agg(F.count(F.lit(1)).alias("n")).drop("n")
+    counts = runs.join(have.groupBy("run_id", "model").agg(F.count(F.lit(1)).alias("n")), ["run_id", "model"], "left")
+    short = [r for r in counts.where(F.coalesce("n", F.lit(0)) < wanted.count()).collect()]  # runs, not answers
+    every = F.array(*[F.struct(F.lit(r.run_id).alias("run_id"), F.lit(r.model).alias("model")) for r in short])
+    if not short:
+        return have.limit(0)
+    missing = wanted.select("sample_id", F.explode(every).alias("run")).select("run.run_id", "run.model", "sample_id")
+    return missing.join(have, ["run_id", "model", "sample_id"], "left_anti")
+
+
 def result_row(df: DataFrame, is_correct: Column, score: Column, details: Column, error: Column | None = None) -> DataFrame:
     """Bring scored answers into the form of stored results; failed answers score 0."""
     failed = F.col("error").isNotNull()
@@ -257,6 +281,8 @@ class RunOptions:
     function_samples: int | None = None
     difficulties: tuple[str, ...] = ()
     order: str = "pos"
+    sql_scorer: str = "sql"
+    function_scorer: str = "calls_executed"
     output_dir: str | None = None
     prefix: str = "evaluation"
 
@@ -265,6 +291,9 @@ class RunOptions:
             raise ValueError(f"unknown evaluation type: {self.evaluation_type}")
         if any(n is not None and n < 0 for n in (self.sql_samples, self.function_samples)):
             raise ValueError("sample counts must not be negative")
+        for name in (self.sql_scorer, self.function_scorer):
+            if name not in EVALUATIONS:
+                raise ValueError(f"unknown scorer: {name}")
         unknown = set(self.difficulties) - set(DIFFICULTIES)
         if unknown:
             raise ValueError(f"unknown difficulties: {sorted(unknown)}")
@@ -298,11 +327,12 @@ def run_and_analyze(
     families = EVALUATION_TYPES[options.evaluation_type]
     chosen = chosen_samples(samples, options)
     parts = []
-    if "sql" in families:
-        parts.append(evaluate_sql(chosen.where(F.col("evaluation_type") == "sql"), responses, facts))
-    if "function" in families:
-        function = chosen.where(F.col("evaluation_type") == "function")
-        parts.append(evaluate_calls_executed(function, responses, coverage))
+    for family, scorer in (("sql", options.sql_scorer), ("function", options.function_scorer)):
+        if family in families:
+            evaluate = EVALUATIONS[scorer]
+            given = {"facts": facts, "coverage": coverage}
+            asked = {k: v for k, v in given.items() if k in signature(evaluate).parameters}
+            parts.append(evaluate(chosen.where(F.col("evaluation_type") == family), responses, **asked))
     results = stored(reduce(lambda a, b: a.unionByName(b), parts), "results")
     out = {"results": results, **analyze(results)}
     if options.output_dir:

@@ -405,3 +405,24 @@ def test_ids_over_several_documents(spark, tmp_path):
     lines = question_sets.read_documents(spark, str(tmp_path / "lines"), one_per_line=True)
     ids = [r.sample_id for r in question_sets.sql_samples(lines).collect()]
     assert len(ids) == len(set(ids)) == 6
+
+
+def test_prompt_asks_for_the_form_that_is_read(spark):
+    """An answer in the form that the executed-calls prompt shows is extracted as it stands."""
+    form = prompts.SYSTEM_TEXT["labelled_function"].split("\n")
+    assert form[1:3] == ["Function: name", "Parameters: key=value, key=value"]
+    answer = "Function: get_cpi_data\nParameters: start_year=2015, end_year=2016"
+    read = spark.createDataFrame([(answer,)], "t string").select(extract_calls_labelled(F.col("t"), True).alias("c"))
+    (call,) = read.first().c
+    assert call.name == "get_cpi_data"
+    assert {a.key: a.sval for a in call.args} == {"start_year": "2015", "end_year": "2016"}
+
+
+def test_missing_and_unknown_answers(spark):
+    samples = spark.createDataFrame([("a",), ("b",)], "sample_id string")
+    rows = [("r1", "m", "a"), ("r1", "m", "b"), ("r2", "m", "a"), ("r3", "m", "zz")]
+    answers = spark.createDataFrame([(*r, "x", 1, 1, None) for r in rows], "run_id string, model string, sample_id string, content string, prompt_tokens int, completion_tokens int, error string")
+    got = evaluations.unanswered(samples, answers).collect()
+    assert sorted((r.run_id, r.sample_id) for r in got) == [("r2", "b"), ("r3", "a"), ("r3", "b")]
+    assert evaluations.unanswered(samples, answers.where("run_id = 'r1'")).count() == 0
+    assert [r.sample_id for r in evaluations.unknown_answers(samples, answers).collect()] == ["zz"]
