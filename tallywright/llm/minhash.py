@@ -321,7 +321,8 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, spread: C
     groups = stored(_pivots(reps.select("doc_id", F.explode("bands").alias("bucket")).distinct()), "groups")
     wanted = groups.select(F.explode(F.array("pivot", "doc_id")).alias("doc_id")).distinct()
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("binary").alias("text"))
-    texts = stored(texts.join(wanted, "doc_id", "left_semi"), "candidate_texts")
+    # The same plan at every size: texts meet the ids in a shuffle even where those would fit a broadcast.
+    texts = stored(texts.join(wanted.hint("merge"), "doc_id", "left_semi"), "candidate_texts")
     pairs = groups.select(F.col("pivot").alias("a"), F.col("doc_id").alias("b"))
     links = stored(confirmed(_promising(pairs, reps, percent).distinct(), texts, size, percent), "links")
     found = stored(components(links), "components")
