@@ -29,7 +29,7 @@ CAPACITY = 2048
 UNIT = 4
 CELL = 4096
 END_ID = 1
-CACHE_ENTRIES = 700_000
+CACHE_ENTRIES = 500_000
 MARKS = (b".", b",", b"!", b"?", b";", b":", b"|")
 PIECES = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint"
 

@@ -24,8 +24,17 @@ def _shipped(application: str) -> str:
     return shutil.make_archive(f"{tempfile.mkdtemp()}/tallywright", "zip", package.parent, package.name)
 
 
+BATCH_SETTING, BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 1000
+
+
 def ship(spark: SparkSession) -> None:
-    """Make the package importable in Python workers that do not have it installed."""
+    """Make the package importable in Python workers that do not have it installed.
+
+    Arrow batches of whole texts are kept to ``BATCH_ROWS`` rows: the default of 10,000 long texts is
+    more than a task's memory on either side of the pipe.
+    """
+    if not 0 < int(spark.conf.get(BATCH_SETTING)) <= BATCH_ROWS:
+        spark.conf.set(BATCH_SETTING, str(BATCH_ROWS))
     path = _shipped(spark.sparkContext.applicationId)
     if not any(file.endswith("/tallywright.zip") for file in spark.sparkContext.listFiles):
         spark.sparkContext.addPyFile(path)
