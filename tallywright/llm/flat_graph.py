@@ -1,16 +1,17 @@
-"""Near-duplicate vectors by range search over a robust-pruned flat graph.
+"""Near-duplicate vectors by comparing overlapping shards that are visited by range.
 
 Vectors are clustered around centroids fitted on a bounded sample, and each belongs to the shards of
-its ``COPIES`` nearest centroids, so shards overlap. In each shard a graph is built whose lists are
-robustly pruned: a neighbour is kept unless a nearer kept one is much nearer to it. A vector's lists from its shards
-are united into one. Every vector is then a query in the shards of its ``PROBES`` nearest centroids: a greedy
-search from the shard's medoid, which goes on through every vector found within range until none is new.
-Links are verified in double precision. A shard over ``BLOCK`` vectors is split into blocks that are all
+its ``COPIES`` nearest centroids, so shards overlap. Every vector is then a query in the shards of its
+``PROBES`` nearest centroids and of every other centroid whose angle allows a link to a vector within ``CORE`` of it. So
+all links of a dense group are met, however many shards it is spread over; only links between vectors far from all
+centroids rely on the fixed number of probes. A shard's vectors are compared whole with its queries, and links near the
+threshold are decided in double precision. A shard over ``BLOCK`` vectors is split into blocks that are all
 searched, and its queries into chunks, so that a task's share is bounded.
 
 Equal vectors are one node with a weight, and each block reports only counts and a spanning forest of its links,
 so a large group of copies or near copies is not expanded into pairs. A pair that meets in
 several shards is counted in one of them. ``audit_recall`` compares with brute force on a sample of queries.
+``build`` and ``range_search`` are a robust-pruned graph of one shard and its search; the operator does not need them.
 
 Defined cases: vectors that are null, empty, zero or hold null or non-finite components link with nothing and are
 kept. Vectors of different length never link. A null id is no component's least id: its component is
@@ -35,6 +36,8 @@ BLOCK = 4096
 CHUNK = 16384
 COPIES = 2
 PROBES = 4
+CORE = 0.8  # links to vectors at least this near their centroid are all met
+QUERIES = 512
 MAX_CELLS = 4096
 SAMPLE_PER_CELL = 256
 MAX_SAMPLE = 1 << 16
@@ -85,8 +88,16 @@ def fit_centroids(sample: np.ndarray, cells: int, rounds: int = 8, seed: int = 9
     return centroids.astype(np.float32)
 
 
-def assigned(nodes: DataFrame, centroids: np.ndarray) -> DataFrame:
-    """``nodes`` (``node, vector, weight``) with their nearest cells, nearest first."""
+def reach_cosine(threshold: float) -> float:
+    """The least cosine to a centroid at which a link may end at a vector within ``CORE`` of that centroid."""
+    return float(np.cos(min(np.pi, np.arccos(min(1.0, threshold)) + np.arccos(CORE))))
+
+
+def assigned(nodes: DataFrame, centroids: np.ndarray, least: float) -> DataFrame:
+    """``nodes`` (``node, vector, weight``) with the cells to visit, nearest first.
+
+    These are the ``PROBES`` nearest and all others from a cosine of ``least``, however many.
+    """
     shared = nodes.sparkSession.sparkContext.broadcast(centroids)  # at most MAX_CELLS vectors
     width = min(PROBES, len(centroids))
 
@@ -96,8 +107,10 @@ def assigned(nodes: DataFrame, centroids: np.ndarray) -> DataFrame:
             for at in range(0, batch.num_rows, 2048):
                 part = batch.slice(at, 2048)
                 near = normal(rows_of(part["vector"])).astype(np.float32) @ centroids.T
-                cells = np.argsort(-near, axis=1, kind="stable")[:, :width].astype(np.int32)
-                lists = pa.ListArray.from_arrays(pa.array(np.arange(0, cells.size + 1, width, dtype=np.int32)), pa.array(cells.ravel()))
+                counts = np.maximum(width, (near >= least - SLACK).sum(axis=1))
+                order = np.argsort(-near, axis=1, kind="stable")[:, : counts.max(initial=width)].astype(np.int32)
+                cells = order[np.arange(order.shape[1]) < counts[:, None]]
+                lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(counts)].astype(np.int32)), pa.array(cells))
                 yield part.append_column("cells", lists)
 
     return nodes.select("node", "vector", "weight").mapInArrow(run, MEMBERS)
@@ -111,15 +124,14 @@ class Layout(NamedTuple):
 
 
 def _layout(rows: DataFrame, cells: int) -> Layout:
-    def sizes(width: int) -> list[int]:
-        cell = F.explode(F.slice("cells", 1, width)).alias("cell")
-        found = rows.select(cell).groupBy("cell").count().collect()  # at most MAX_CELLS rows
+    def sizes(lists: Column) -> list[int]:
+        found = rows.select(F.explode(lists).alias("cell")).groupBy("cell").count().collect()  # at most MAX_CELLS rows
         out = [0] * cells
         for row in found:
             out[row[0]] = row[1]
         return out
 
-    return Layout([max(1, -(-n // BLOCK)) for n in sizes(COPIES)], [max(1, -(-n // CHUNK)) for n in sizes(PROBES)])
+    return Layout([max(1, -(-n // BLOCK)) for n in sizes(F.slice("cells", 1, COPIES))], [max(1, -(-n // CHUNK)) for n in sizes(F.col("cells"))])
 
 
 def _pick(numbers: list[int], at: Column) -> Column:
@@ -237,23 +249,6 @@ def build(vectors: np.ndarray, seed: int) -> list[np.ndarray]:
     return result
 
 
-def united(members: DataFrame) -> DataFrame:
-    """``(node, neighbours)``: the lists of a node's shards in one."""
-
-    def run(table: pa.Table) -> pa.Table:
-        nodes = table["node"].to_numpy()
-        order = np.argsort(nodes)
-        nodes = nodes[order]
-        lists = build(rows_of(table["vector"])[order], len(nodes))
-        bounds = np.r_[0, np.cumsum([len(x) for x in lists])].astype(np.int32)
-        flat = nodes[np.concatenate(lists)] if bounds[-1] else np.zeros(0, np.int64)
-        return pa.table({"node": nodes, "neighbours": pa.ListArray.from_arrays(pa.array(bounds), pa.array(flat))})
-
-    lists = members.select("cell", "block", "node", "vector").groupBy("cell", "block").applyInArrow(run, "node bigint, neighbours array<bigint>")
-    # COPIES lists a node at most.
-    return lists.groupBy("node").agg(F.array_distinct(F.flatten(F.collect_list("neighbours"))).alias("neighbours"))
-
-
 # Search
 
 
@@ -346,46 +341,69 @@ def range_search(x: np.ndarray, lists: Lists, queries: np.ndarray, threshold: fl
     return found // n, found % n
 
 
-def search_block(members: pa.Table, queries: pa.Table, cell: int, threshold: float) -> pa.Table:
-    """Counts and a spanning forest of the links of a block's queries to its nodes."""
+def visited(cells: pa.Array, total: int) -> np.ndarray:
+    """Which cells each row's list names, as a matrix."""
+    if isinstance(cells, pa.ChunkedArray):
+        cells = cells.combine_chunks()
+    out = np.zeros((len(cells), total), bool)
+    out[np.repeat(np.arange(len(cells)), np.diff(cells.offsets.to_numpy())), cells.flatten().to_numpy()] = True
+    return out
+
+
+def first_cells(cells: pa.Array, width: int) -> np.ndarray:
+    """The first cells of each row's list, which is never shorter."""
+    if isinstance(cells, pa.ChunkedArray):
+        cells = cells.combine_chunks()
+    return cells.flatten().to_numpy()[cells.offsets.to_numpy()[:-1, None] - cells.offsets[0].as_py() + np.arange(width)]
+
+
+def spanning(hit: np.ndarray, asked: np.ndarray, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Edges to the least id of each component of a matrix of links, without its list of pairs."""
+    top = np.iinfo(np.int64).max
+    low = nodes
+    while True:
+        best = np.minimum(asked, np.where(hit, low, top).min(axis=1))
+        new = np.minimum(low, np.where(hit, best[:, None], top).min(axis=0))
+        if (new == low).all():
+            break
+        low = new
+    ids, least = np.r_[asked, nodes], np.r_[best, low]
+    return ids[ids != least], least[ids != least]
+
+
+def search_block(members: pa.Table, queries: pa.Table, cell: int, cells: int, threshold: float) -> pa.Table:
+    """Counts and a spanning forest of the links of a block's queries to its nodes, compared whole."""
     nodes = members["node"].to_numpy()
-    order = np.argsort(nodes)
-    nodes = nodes[order]
-    exact = normal(rows_of(members["vector"])[order])
-    weight = members["weight"].to_numpy()[order]
-    home = rows_of(members["cells"])[order, 0]
-    neighbours = members["neighbours"].combine_chunks().take(pa.array(order))
-    ends = neighbours.flatten().to_numpy()
-    counts = np.diff(neighbours.offsets.to_numpy())
-    place = np.searchsorted(nodes, ends)
-    here = nodes[np.minimum(place, len(nodes) - 1)] == ends  # others live in other shards
-    owner = np.repeat(np.arange(len(nodes)), counts)[here]
-    place = place[here]
-    lists = Lists(np.r_[0, np.cumsum(np.bincount(owner, minlength=len(nodes)))], place)
+    exact = normal(rows_of(members["vector"]))
+    weight = members["weight"].to_numpy().astype(np.float64)
+    width = min(COPIES, cells)
+    home = first_cells(members["cells"], width)[:, 0]
     x = exact.astype(np.float32)
     asked = queries["asked_node"].to_numpy()
     wanted = normal(rows_of(queries["asked_vector"]))
-    probes = rows_of(queries["asked_cells"])
-    links = np.zeros(len(asked), np.int64)
+    probes = visited(queries["asked_cells"], cells)
+    links = np.zeros(len(asked))
     edges: list[tuple[np.ndarray, np.ndarray]] = []
-    for at in range(0, len(asked), 256):
-        q, k = range_search(x, lists, wanted[at : at + 256].astype(np.float32), threshold - SLACK)
-        q += at
-        mine = asked[q] != nodes[k]
+    for at in range(0, len(asked), QUERIES):
+        near = wanted[at : at + QUERIES].astype(np.float32) @ x.T
+        hit = near >= threshold + SLACK
+        q, k = np.nonzero((near >= threshold - SLACK) & ~hit)
+        hit[q, k] = np.einsum("ij,ij->i", wanted[at + q], exact[k]) >= threshold
+        hit &= asked[at : at + QUERIES, None] != nodes
+        rows, columns = np.flatnonzero(hit.any(axis=1)), np.flatnonzero(hit.any(axis=0))
+        if not len(rows):
+            continue
+        hit, q = hit[np.ix_(rows, columns)], rows + at
+        edges.append(spanning(hit, asked[q], nodes[columns]))
         # In a node's second shard only if the query does not visit its first.
-        mine &= (home[k] == cell) | ~(probes[q] == home[k][:, None]).any(axis=1)
-        q, k = q[mine], k[mine]
-        verified = np.einsum("ij,ij->i", wanted[q], exact[k]) >= threshold
-        q, k = q[verified], k[verified]
-        np.add.at(links, q, weight[k])
-        if len(q):
-            edges.append(forest(asked[q], nodes[k]))
+        mine = hit & ((home[columns] == cell) | ~probes[np.ix_(q, home[columns])])
+        links[q] += mine @ weight[columns]
     a, b = (np.concatenate(x) for x in zip(*edges, strict=True)) if edges else (np.zeros(0, np.int64), np.zeros(0, np.int64))
     if len(edges) > 1:
         a, b = forest(a, b)
     some = links > 0
     none = np.zeros(int(some.sum()), np.int64)
-    return pa.table({"a": np.r_[a, asked[some]], "b": np.r_[b, none], "n": np.r_[np.zeros(len(a), np.int64), links[some]]})
+    return pa.table({"a": np.r_[a, asked[some]], "b": np.r_[b, none], "n": np.r_[np.zeros(len(a), np.int64), links[some].astype(np.int64)]})
 
 
 def links_of(nodes: DataFrame, threshold: float) -> DataFrame:
@@ -398,11 +416,9 @@ def links_of(nodes: DataFrame, threshold: float) -> DataFrame:
     if sample.num_rows == 0:
         sample = nodes.orderBy("node").limit(1).select("vector").toArrow()
     centroids = fit_centroids(rows_of(sample["vector"]), cells)
-    rows = stored(assigned(nodes, centroids), "assigned")
+    rows = stored(assigned(nodes, centroids, reach_cosine(threshold)), "assigned")
     layout = _layout(rows, len(centroids))
-    members = _members(rows, layout)
-    lists = stored(united(members), "graph")
-    held = members.join(lists, "node").select("*", F.explode(F.sequence(F.lit(0), _pick(layout.chunks, F.col("cell")) - 1)).alias("chunk"))
+    held = _members(rows, layout).select("*", F.explode(F.sequence(F.lit(0), _pick(layout.chunks, F.col("cell")) - 1)).alias("chunk"))
     asked = rows.select("*", F.explode("cells").alias("cell"))
     chunk = F.pmod(F.xxhash64("cell", "node"), _pick(layout.chunks, F.col("cell")).cast("bigint")).cast("int")
     asked = asked.withColumn("chunk", chunk).select("*", F.explode(F.sequence(F.lit(0), _pick(layout.blocks, F.col("cell")) - 1)).alias("block"))
@@ -410,10 +426,10 @@ def links_of(nodes: DataFrame, threshold: float) -> DataFrame:
     def run(key: tuple[pa.Scalar, ...], left: pa.Table, right: pa.Table) -> pa.Table:
         if left.num_rows == 0 or right.num_rows == 0:
             return pa.table({name: pa.array([], pa.int64()) for name in "abn"})
-        return search_block(left, right, key[0].as_py(), threshold)
+        return search_block(left, right, key[0].as_py(), len(centroids), threshold)
 
     by = ["cell", "block", "chunk"]
-    left = held.select(*by, "node", "vector", "weight", "cells", "neighbours").groupBy(*by)
+    left = held.select(*by, "node", "vector", "weight", "cells").groupBy(*by)
     # Names of its own: both sides stem from one table.
     right = asked.select(*[F.col(c).alias(f"asked_{c}") for c in [*by, "node", "vector", "cells"]]).groupBy(*[f"asked_{c}" for c in by])
     return left.cogroup(right).applyInArrow(run, "a bigint, b bigint, n bigint")

@@ -354,6 +354,19 @@ def test_vectors(spark):
     assert flat_graph.audit_recall(df, result.dropDuplicates(["vec_id"]), sample=50) >= 0.9
 
 
+def test_links_of_a_dense_group_over_many_cells(spark, monkeypatch):
+    monkeypatch.setattr(flat_graph, "BLOCK", 64)
+    rng = np.random.default_rng(11)
+    x = np.concatenate([rng.normal(size=(1600, 64)), rng.normal(size=64) + rng.normal(size=(800, 64)) * 0.15]).astype(np.float32)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id bigint, embedding array<float>")
+    unit = flat_graph.normal(x)
+    near = unit @ unit.T >= 0.9
+    got = {r.vec_id: r for r in flat_graph.near_duplicate_vectors(df).collect()}
+    assert near[1600:, 1600:].all()
+    assert [got[i].n_links for i in range(2400)] == (near.sum(axis=1) - 1).tolist()
+    assert {got[i].component_id for i in range(1600, 2400)} == {1600}
+
+
 def test_graph_recall_in_dense_groups():
     rng = np.random.default_rng(5)
     x = np.concatenate([rng.normal(size=(1500, 32)), rng.normal(size=32) + rng.normal(size=(300, 32)) * 0.1]).astype(np.float32)
