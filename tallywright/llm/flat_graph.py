@@ -10,7 +10,7 @@ searched, and its queries into chunks, so that a task's share is bounded.
 
 Equal vectors are one node with a weight, and each block reports only counts and a spanning forest of its links,
 so a large group of copies or near copies is not expanded into pairs. A pair that meets in
-several shards is counted in one of them. ``audit_recall`` compares with brute force on a sample of queries.
+several shards is counted in one of them, and for both its ends even if only one of them visits the other's shards. ``audit_recall`` compares with brute force on a sample of queries.
 ``build`` and ``range_search`` are a robust-pruned graph of one shard and its search; the operator does not need them.
 
 Defined cases: vectors that are null, empty, zero or hold null or non-finite components link with nothing and are
@@ -378,11 +378,14 @@ def search_block(members: pa.Table, queries: pa.Table, cell: int, cells: int, th
     weight = members["weight"].to_numpy().astype(np.float64)
     width = min(COPIES, cells)
     home = first_cells(members["cells"], width)[:, 0]
+    back = visited(members["cells"], cells)
     x = exact.astype(np.float32)
     asked = queries["asked_node"].to_numpy()
     wanted = normal(rows_of(queries["asked_vector"]))
     probes = visited(queries["asked_cells"], cells)
-    links = np.zeros(len(asked))
+    shards = first_cells(queries["asked_cells"], width)
+    asked_weight = queries["asked_weight"].to_numpy().astype(np.float64)
+    links, mirrored = np.zeros(len(asked)), np.zeros(len(nodes))
     edges: list[tuple[np.ndarray, np.ndarray]] = []
     for at in range(0, len(asked), QUERIES):
         near = wanted[at : at + QUERIES].astype(np.float32) @ x.T
@@ -398,12 +401,17 @@ def search_block(members: pa.Table, queries: pa.Table, cell: int, cells: int, th
         # In a node's second shard only if the query does not visit its first.
         mine = hit & ((home[columns] == cell) | ~probes[np.ix_(q, home[columns])])
         links[q] += mine @ weight[columns]
+        # For the other end too, unless it meets this one as a query itself.
+        met = np.zeros((len(columns), len(q)), bool)
+        for k in range(width):
+            met |= back[np.ix_(columns, shards[q, k])]
+        mirrored[columns] += asked_weight[q] @ (mine & ~met.T)
     a, b = (np.concatenate(x) for x in zip(*edges, strict=True)) if edges else (np.zeros(0, np.int64), np.zeros(0, np.int64))
     if len(edges) > 1:
         a, b = forest(a, b)
-    some = links > 0
-    none = np.zeros(int(some.sum()), np.int64)
-    return pa.table({"a": np.r_[a, asked[some]], "b": np.r_[b, none], "n": np.r_[np.zeros(len(a), np.int64), links[some].astype(np.int64)]})
+    ends, counts = np.r_[asked, nodes], np.r_[links, mirrored].astype(np.int64)
+    ends, counts = ends[counts > 0], counts[counts > 0]
+    return pa.table({"a": np.r_[a, ends], "b": np.r_[b, np.zeros_like(ends)], "n": np.r_[np.zeros(len(a), np.int64), counts]})
 
 
 def links_of(nodes: DataFrame, threshold: float) -> DataFrame:
@@ -431,7 +439,7 @@ def links_of(nodes: DataFrame, threshold: float) -> DataFrame:
     by = ["cell", "block", "chunk"]
     left = held.select(*by, "node", "vector", "weight", "cells").groupBy(*by)
     # Names of its own: both sides stem from one table.
-    right = asked.select(*[F.col(c).alias(f"asked_{c}") for c in [*by, "node", "vector", "cells"]]).groupBy(*[f"asked_{c}" for c in by])
+    right = asked.select(*[F.col(c).alias(f"asked_{c}") for c in [*by, "node", "vector", "weight", "cells"]]).groupBy(*[f"asked_{c}" for c in by])
     return left.cogroup(right).applyInArrow(run, "a bigint, b bigint, n bigint")
 
 

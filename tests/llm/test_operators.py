@@ -367,6 +367,23 @@ def test_links_of_a_dense_group_over_many_cells(spark, monkeypatch):
     assert {got[i].component_id for i in range(1600, 2400)} == {1600}
 
 
+def test_links_count_at_both_ends(spark, monkeypatch):
+    monkeypatch.setattr(flat_graph, "BLOCK", 32)
+    rng = np.random.default_rng(12)
+    base = flat_graph.normal(rng.normal(size=(1200, 32)))
+    side = rng.normal(size=(1200, 32))
+    side = flat_graph.normal(side - (side * base).sum(axis=1, keepdims=True) * base)
+    x = np.concatenate([base, 0.905 * base + np.sqrt(1 - 0.905**2) * side]).astype(np.float32)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id bigint, embedding array<float>")
+    unit = flat_graph.normal(x)
+    near = unit @ unit.T >= 0.9
+    got = {r.vec_id: r for r in flat_graph.near_duplicate_vectors(df).collect()}
+    assert (near.sum(axis=1) == 2).all() and all(near[i, i + 1200] for i in range(1200))
+    assert all(got[i].n_links == got[i + 1200].n_links for i in range(1200))
+    assert all((got[i].n_links == 1) == (got[i + 1200].component_id == i) for i in range(1200))
+    assert sum(got[i].n_links for i in range(1200)) >= 0.95 * 1200
+
+
 def test_graph_recall_in_dense_groups():
     rng = np.random.default_rng(5)
     x = np.concatenate([rng.normal(size=(1500, 32)), rng.normal(size=32) + rng.normal(size=(300, 32)) * 0.1]).astype(np.float32)
