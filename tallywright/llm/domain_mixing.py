@@ -3,11 +3,10 @@
 A bounded sample of a table of labelled documents teaches a classifier: each domain's ``TYPICAL`` words are those
 whose document frequency is furthest above that of every other domain, and a naive Bayes rule over
 how many of a text's words are typical of which domain gives posteriors. Nonnegative rates per document
-are then fitted by projected gradient steps, so that the expected tokens of each domain,
-``sum(rate * tokens * posterior)``, meet the targets. A step moves each document's rate by its
-posteriors' share of the domains' misses and cuts it at 0; the steps so far are a bounded list
-that every row replays, so an iteration is one aggregate over the stored posteriors and nothing per
-document is kept between iterations.
+are then fitted, so that the expected tokens of each domain, ``sum(rate * tokens * posterior)``, meet the targets:
+of all such rates the nearest to 1, which are ``max(0, 1 - posteriors . multipliers)`` with one multiplier a domain. The
+multipliers come from damped Newton steps; a step is one aggregate over the stored posteriors and nothing per
+document is kept between steps. Targets that no rates meet are an error that names the misses.
 
 Defined cases: null and empty texts have one token (their end) and the prior as posterior. A domain that is
 targeted but never labelled gets no posterior, and its target is shared out among the others.
@@ -21,6 +20,7 @@ import math
 from collections.abc import Sequence
 from functools import reduce
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -30,7 +30,7 @@ from tallywright.session import stored
 SAMPLE = 4000  # labelled documents that teach the classifier
 TYPICAL = 40  # words per domain
 EFFECTIVE = 30.0  # typical words of evidence a text carries at most
-STEPS = 24
+STEPS = 48
 TOLERANCE = 1e-4
 
 
@@ -118,38 +118,46 @@ def softmax(scores: Column) -> Column:
     return once(F.transform(scores, lambda v: F.exp(v - F.array_max(scores))), shares)
 
 
-def rate(steps: Sequence[Sequence[float]], n: int) -> Column:
-    """The rate after these steps: replayed from 1, cut at 0 after each."""
-    value = F.lit(1.0)
-    if not steps:
-        return value
-    listed = F.array(*[F.array(*[F.lit(float(x)) for x in step]) for step in steps])
+def rate(pull: Sequence[float]) -> Column:
+    """The rate under these multipliers of the domains: 1 less their mean by the row's posteriors, cut at 0."""
+    terms = [F.get("p", F.lit(k)) * F.lit(float(x)) for k, x in enumerate(pull)]
+    return F.greatest(F.lit(1.0) - reduce(lambda a, b: a + b, terms, F.lit(0.0)), F.lit(0.0))
 
-    def move(r: Column, step: Column) -> Column:
-        pull = reduce(lambda a, b: a + b, [F.get("p", F.lit(k)) * F.get(step, F.lit(k)) for k in range(n)])
-        return F.greatest(r - pull, F.lit(0.0))
 
-    return F.aggregate(listed, value, move)
+def fit_rates(rows: DataFrame, targets: Sequence[float], steps: int = STEPS) -> list[float]:
+    """Multipliers whose rates meet the targets for ``rows`` (``tokens``, ``p``): one aggregate a step.
 
-
-def fit_rates(rows: DataFrame, targets: Sequence[float], steps: int = STEPS) -> list[list[float]]:
-    """Gradient steps for ``rows`` (``tokens``, ``p``): one aggregate of domain sums each.
-
-    A domain's miss is scaled by its own curvature, the sum of ``tokens * p * p`` over documents.
+    Rates that meet the targets and are nearest to 1 by tokens are the minimum of a convex function of a multiplier a domain.
+    A Newton step divides the misses by the sums of ``tokens * p_k * p_j``, so soft posteriors are no obstacle, and is
+    halved while the function grows. Raises ``ValueError`` with the remaining misses if no rates meet the targets.
     """
-    n = len(targets)
-    taken: list[list[float]] = []
+    n, wanted = len(targets), np.array(targets, float)
+    at, move = np.zeros(n), np.zeros(n)
+    low, best = np.inf, np.full(n, np.inf)
     for _ in range(steps):
-        r = rate(taken, n)
-        held = rows.select("tokens", "p", r.alias("r"))
+        trial = at + move
+        held = rows.select("tokens", "p", rate(trial).alias("r"))
         sums = [F.sum(F.col("r") * F.col("tokens") * F.col("p")[k]) for k in range(n)]
-        curves = [F.sum(F.when(F.col("r") > 0, F.col("tokens") * F.col("p")[k] * F.col("p")[k])) for k in range(n)]
-        got = held.agg(*[s.alias(f"s{k}") for k, s in enumerate(sums)], *[c.alias(f"c{k}") for k, c in enumerate(curves)]).first()
-        misses = [(got[k] or 0.0) - targets[k] for k in range(n)]
-        if sum(abs(m) for m in misses) <= TOLERANCE * sum(targets):
-            break
-        taken.append([misses[k] / got[n + k] if got[n + k] else 0.0 for k in range(n)])
-    return taken
+        pairs = [(j, k) for j in range(n) for k in range(j + 1)]
+        curves = [F.sum(F.when(F.col("r") > 0, F.col("tokens") * F.col("p")[j] * F.col("p")[k])) for j, k in pairs]
+        columns = [F.sum(F.col("tokens") * F.col("r") * F.col("r")), *sums, *curves]
+        got = [x or 0.0 for x in held.agg(*[c.alias(f"c{i}") for i, c in enumerate(columns)]).first()]
+        misses = np.array(got[1 : n + 1]) - wanted
+        if np.abs(misses).sum() < np.abs(best).sum():
+            best = misses
+        if np.abs(misses).sum() <= TOLERANCE * wanted.sum():
+            return [float(x) for x in trial]
+        value = got[0] / 2 + float(trial @ wanted)
+        if value > low + 1e-12 * abs(low):
+            move = move / 2
+            continue
+        curve = np.zeros((n, n))
+        for (j, k), x in zip(pairs, got[n + 1 :], strict=True):
+            curve[j, k] = curve[k, j] = x
+        at, low = trial, value
+        move = np.linalg.solve(curve + np.eye(n) * (1e-9 * wanted.sum() / n), misses)
+    shares = ", ".join(f"{m / wanted.sum():+.2%}" for m in best)
+    raise ValueError(f"no rates found that meet the targets: after {steps} steps the domains' tokens miss them by {shares} of all")
 
 
 def mix(
@@ -184,8 +192,7 @@ def mix(
     if sum(wanted) == 0:
         wanted = [1.0] * n
     targets = [total * w / sum(wanted) for w in wanted]
-    steps = fit_rates(rows, targets)
-    return rows.withColumn("rate", rate(steps, n)), domains
+    return rows.withColumn("rate", rate(fit_rates(rows, targets))), domains
 
 
 def draw(mixed: DataFrame, key: str = "doc_id", seed: int = 77) -> DataFrame:

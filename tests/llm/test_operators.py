@@ -290,6 +290,34 @@ def test_mixing_meets_targets(spark):
     assert domains == ["a", "z"] and np.allclose(got, [1 / 3, 2 / 3], atol=1e-3)
 
 
+def soft_rows(spark, unsure):
+    """Posteriors of which a share, ``unsure``, is the prior."""
+    rng = np.random.default_rng(13)
+    own = rng.choice(4, 4000, p=[0.55, 0.25, 0.15, 0.05])
+    p = np.full((4000, 4), 0.01)
+    p[np.arange(4000), own] = 0.97
+    p[rng.random(4000) < unsure] = np.bincount(own, minlength=4) / 4000
+    tokens = rng.integers(20, 300, 4000)
+    return spark.createDataFrame([(int(n), x.tolist()) for n, x in zip(tokens, p)], "tokens bigint, p array<double>"), tokens, p
+
+
+@pytest.mark.parametrize("unsure", [0.0, 0.7, 0.9])
+def test_soft_posteriors_meet_targets(spark, unsure):
+    rows, tokens, p = soft_rows(spark, unsure)
+    wanted = np.sqrt(tokens @ p)
+    wanted *= tokens.sum() / wanted.sum()
+    fitted = domain_mixing.fit_rates(rows, wanted.tolist())
+    got = rows.select("p", "tokens", domain_mixing.rate(fitted).alias("r")).collect()
+    sums = sum(r.r * r.tokens * np.array(r.p) for r in got)
+    assert min(r.r for r in got) >= 0 and np.abs(sums - wanted).sum() <= 1e-3 * wanted.sum()
+
+
+def test_targets_out_of_reach_are_an_error(spark):
+    rows = spark.createDataFrame([(10, [0.6, 0.4]), (10, [0.4, 0.6])], "tokens bigint, p array<double>")
+    with pytest.raises(ValueError, match="miss"):
+        domain_mixing.fit_rates(rows, [18.0, 2.0])
+
+
 CHATS = [
     (1, 0, "user", "hi"), (1, 1, "assistant", "hello"),
     (2, 0, "user", "hi"), (2, 1, "assistant", "hello"), (2, 2, "user", "bye"),
