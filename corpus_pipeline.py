@@ -41,13 +41,13 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def mix_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents are drawn at rates that bring the languages' expected tokens to their targets.
+    """Documents are drawn, some more than once, at rates that bring the languages' expected tokens to their targets.
 
     The rows of ``labels`` name the documents whose language tag teaches the classifier.
     """
     taught = docs.join(table(spark, sf_dir, "labels").select("doc_id").distinct(), "doc_id", "left_semi")
     mixed, _ = domain_mixing.mix(docs, taught.select("doc_id", F.col("lang").alias("domain")), temper=TEMPER)
-    return domain_mixing.draw(mixed)
+    return domain_mixing.draw_copies(mixed)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

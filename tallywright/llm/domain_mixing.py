@@ -195,12 +195,28 @@ def mix(
     return rows.withColumn("rate", rate(fit_rates(rows, targets))), domains
 
 
-def draw(mixed: DataFrame, key: str = "doc_id", seed: int = 77) -> DataFrame:
+def _chance(key: str, text: str, seed: int) -> Column:
+    """A number from 0 to 1 by id, text and the row's place: rows that share an id or have none differ."""
+    place = [F.col(f"record.{key}"), F.col(f"record.{text}"), F.monotonically_increasing_id()]
+    return F.pmod(F.xxhash64(F.lit(seed), *place), F.lit(1 << 30)) / float(1 << 30)
+
+
+def draw(mixed: DataFrame, key: str = "doc_id", text: str = "text", seed: int = 77) -> DataFrame:
     """Documents drawn at their rates, relative to the highest one: a seeded hash decides.
 
     Each row stays with probability ``rate / max(rate)``, so expected domain shares are the targets' and
-    no document is repeated.
+    no document is repeated; the total shrinks by the highest rate. ``draw_copies`` keeps it.
     """
     top = mixed.agg(F.max("rate")).first()[0] or 1.0
-    u = F.pmod(F.xxhash64(F.lit(seed), F.col(f"record.{key}")), F.lit(1 << 30)) / float(1 << 30)
-    return mixed.where(u < F.col("rate") / F.lit(float(top))).select("record.*")
+    return mixed.where(_chance(key, text, seed) < F.col("rate") / F.lit(float(top))).select("record.*")
+
+
+def draw_copies(mixed: DataFrame, key: str = "doc_id", text: str = "text", seed: int = 77) -> DataFrame:
+    """Documents drawn at their rates: whole copies, and one more with the rest as its probability.
+
+    Expected domain tokens are the targets', in total too: a rate over 1 repeats a document.
+    """
+    whole = F.floor("rate")
+    copies = (whole + (_chance(key, text, seed) < F.col("rate") - whole).cast("bigint")).cast("int")
+    drawn = mixed.select("record", copies.alias("copies"))
+    return drawn.select("record", F.explode(F.array_repeat(F.lit(0), F.col("copies")))).select("record.*")

@@ -318,6 +318,17 @@ def test_targets_out_of_reach_are_an_error(spark):
         domain_mixing.fit_rates(rows, [18.0, 2.0])
 
 
+def test_draw_keeps_the_fitted_tokens(spark):
+    rows = [((None if i < 1000 else i), "a b", 3, 0.5) for i in range(2000)] + [(i, "c", 2, 2.25) for i in range(2000, 3000)] + [(9999, "d", 2, 0.0)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, tokens int, rate double")
+    mixed = df.select(F.struct("doc_id", "text", "tokens").alias("record"), "tokens", "rate")
+    drawn = domain_mixing.draw_copies(mixed).collect()
+    assert 450 < sum(r.doc_id is None for r in drawn) < 550  # drawn one by one
+    repeats = Counter(r.doc_id for r in drawn if r.text == "c")
+    assert len(repeats) == 1000 and set(repeats.values()) == {2, 3}
+    assert abs(sum(r.tokens for r in drawn) / sum(t * w for _, _, t, w in rows) - 1) < 0.05 and all(r.text != "d" for r in drawn)
+
+
 CHATS = [
     (1, 0, "user", "hi"), (1, 1, "assistant", "hello"),
     (2, 0, "user", "hi"), (2, 1, "assistant", "hello"), (2, 2, "user", "bye"),
