@@ -4,7 +4,21 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tallywright.llm import bilinear_lm, byte_network, chat_snapshots, domain_mixing, flat_graph, minhash, packing, quality_rules, shuffle_shards, toxicity
+from tallywright.llm import (
+    bilinear_lm,
+    byte_network,
+    chat_snapshots,
+    domain_mixing,
+    flat_graph,
+    minhash,
+    packing,
+    personal_data,
+    prefix_tries,
+    quality_rules,
+    shuffle_shards,
+    spelling_variants,
+    toxicity,
+)
 from tallywright.llm.labelled import id_remainder
 from tallywright.llm.registry import ORACLES, QUERIES, query, spread, table
 
@@ -80,3 +94,18 @@ def _(spark, sf_dir):
     mixed, domains = domain_mixing.mix(docs.select("doc_id", "text"), labelled)
     shares = [F.col("p")[k].alias(f"p_{d}") for k, d in enumerate(domains)]
     return mixed.select("record.doc_id", "tokens", *shares, "rate")
+
+
+@query("op11_personal_data")
+def _(spark, sf_dir):
+    return personal_data.digest(personal_data.find_personal_data(spread(table(spark, sf_dir, "documents").select("doc_id", "text"))))
+
+
+@query("op12_prefix_tries", prefix_tries.SQL)
+def _(spark, sf_dir):
+    return prefix_tries.prefix_tree(table(spark, sf_dir, "conversations"))
+
+
+@query("op13_spelling_variants")
+def _(spark, sf_dir):
+    return spelling_variants.spelling_variants(spread(table(spark, sf_dir, "documents").select("doc_id", "text")))
