@@ -16,6 +16,8 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from functools import cache
+from itertools import chain
 from typing import NamedTuple
 
 import numpy as np
@@ -23,98 +25,176 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallywright.llm.byte_words import LOWER_VALUES, HashIndex, Slice, Words, slices, span_hashes, words
 from tallywright.session import stored
 
 CAPACITY = 2048
 UNIT = 4
 CELL = 4096
 END_ID = 1
-CACHE_ENTRIES = 500_000
-MARKS = (b".", b",", b"!", b"?", b";", b":", b"|")
+CACHE_ENTRIES = 1_500_000
+SLICE_BYTES = 1 << 21
+MARK, LETTER = np.zeros(256, bool), np.zeros(256, bool)
+MARK[list(b".,!?;:|")] = True
+LETTER[list(b"abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ")] = True
+#: Letters before this one have one form only and fold one to one.
+LATIN_END = "\u0250"
 PIECES = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint"
 
 
+def _letters_of_bytes() -> dict[int, str]:
+    """The letter by which byte-level tokenizers write each byte: itself if it is visible, else one after U+0100."""
+    seen = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    rest = [b for b in range(256) if b not in seen]
+    return {b: chr(b) for b in seen} | {b: chr(0x100 + k) for k, b in enumerate(rest)}
+
+
 class ChunkTokenizer:
     """Token ids of whole texts, from the ids of their chunks between ASCII white space.
 
     The tokenizer drops white space, folds case and no token spans white space, so a text's ids are
-    those of its chunks in order, whatever their ASCII case. Chunks met before are looked up; new
-    words of letters alone are encoded together, as each ends with a token that closes a word.
+    those of its chunks in order, whatever their ASCII case; a letter and a mark after it are never in one
+    token either. Chunks are known by the 64-bit hash of their bytes. The ids of those met before lie
+    in one array and are gathered for a whole slice of texts; new ones are encoded once.
     """
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        vocabulary = self.tokenizer.get_vocab()
-        self.closes = np.zeros(max(vocabulary.values()) + 1, bool)
-        self.closes[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
-        self.known: dict[bytes, bytes] = {}
-
-    def encode(self, texts: list[bytes]) -> list[bytes]:
-        """Ids of each text as little-endian unsigned 32-bit numbers, the closing id last."""
-        end = END_ID.to_bytes(4, "little")
-        # A text that may hold a special token keeps its case.
-        chunked = [(text if b"<|" in text else text.lower()).split() for text in texts]
-        met = set().union(*chunked)
-        new = met - self.known.keys()
-        if len(self.known) + len(new) > CACHE_ENTRIES:
-            self.known = {c: self.known[c] for c in met - new}
-        self._learn(new)
-        look_up = self.known.__getitem__
-        return [b"".join(map(look_up, chunks)) + end for chunks in chunked]
-
-    def _learn(self, new: set[bytes]) -> None:
-        # A letter and a mark after it are never in one token.
-        marked = [c for c in new if c[-1:] in MARKS and c[-2:-1].isalpha()]
-        new.difference_update(marked)
-        stems = {c[:-1] for c in marked}
-        stems.update(MARKS)
-        new |= stems - self.known.keys()
-        words = [c for c in new if c.isalpha()]
+        letters = _letters_of_bytes()
+        self.as_letters = "".join(letters[b] for b in range(256))
+        self._forget()
+
+    def _forget(self) -> None:
+        none = np.zeros(0, np.uint64)
+        # Two indexes, so that learning a slice's chunks does not rebuild a long one.
+        self.old, self.recent = HashIndex(none), HashIndex(none)
+        self.old_place, self.recent_place = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.start, self.length, self.ids = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
+
+    def encode(self, part: Slice) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of a slice's texts, each with the closing id, and the bounds of each text's ids."""
+        found = words(part)
+        start, end, bounds = self._apart(part.data, found)
+        hashes = span_hashes(part.data, start, end, LOWER_VALUES)
+        place = self._places(hashes)
+        missing = np.flatnonzero(place < 0)
+        if len(missing):
+            new, at = np.unique(hashes[missing], return_index=True)
+            at = missing[at]
+            if len(self.start) and len(self.start) + len(new) > CACHE_ENTRIES:
+                self._forget()
+                new, at = np.unique(hashes, return_index=True)
+            raw = part.data.tobytes()
+            self._learn(new, [raw[a:b].lower() for a, b in zip(start[at].tolist(), end[at].tolist(), strict=True)])
+            place = self._places(hashes)
+        length = self.length[place]
+        before = np.r_[0, np.cumsum(length)]
+        picked = self.ids[np.repeat(self.start[place] - before[:-1], length) + np.arange(before[-1])]
+        counts = np.diff(before[bounds])
+        out = np.full(len(picked) + len(counts), END_ID, np.uint32)
+        out[np.arange(len(picked)) + np.repeat(np.arange(len(counts)), counts)] = picked
+        return self._with_special(part, out, np.r_[0, np.cumsum(counts + 1)])
+
+    @staticmethod
+    def _apart(data: np.ndarray, found: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Chunks with the mark after a last letter as a chunk of its own, and their bounds."""
+        last = found.end - 1
+        marked = (found.end - found.start > 1) & MARK[data[last]]
+        marked &= LETTER[data[np.maximum(last - 1, 0)]]
+        first = np.arange(len(marked)) + np.r_[0, np.cumsum(marked)[:-1]].astype(np.int64)[: len(marked)]
+        size = len(marked) + int(marked.sum())
+        start, end = np.empty(size, np.int64), np.empty(size, np.int64)
+        start[first], end[first] = found.start, found.end - marked
+        after = first[marked] + 1
+        start[after], end[after] = last[marked], found.end[marked]
+        return start, end, found.bounds + np.r_[0, np.cumsum(marked)][found.bounds]
+
+    def _with_special(self, part: Slice, ids: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Texts that may hold a special token are encoded whole."""
+        if not ((part.data[:-1] == 60) & (part.data[1:] == 124)).any():
+            return ids, bounds
+        each = []
+        for k, (a, b) in enumerate(zip(part.offsets[:-1], part.offsets[1:], strict=True)):
+            text = part.data[a:b].tobytes()
+            own = ids[bounds[k] : bounds[k + 1]]
+            if b"<|" in text:
+                own = np.array([*self.tokenizer.encode(text.decode("utf-8", "replace"), add_special_tokens=False).ids, END_ID], np.uint32)
+            each.append(own)
+        return np.concatenate(each), np.r_[0, np.cumsum([len(x) for x in each])]
+
+    def _places(self, hashes: np.ndarray) -> np.ndarray:
+        out = self.old.find(hashes)
+        hit = out >= 0
+        out[hit] = self.old_place[out[hit]]
+        left = np.flatnonzero(~hit)
+        there = self.recent.find(hashes[left])
+        out[left[there >= 0]] = self.recent_place[there[there >= 0]]
+        return out
+
+    def _learn(self, keys: np.ndarray, chunks: list[bytes]) -> None:
+        """``keys`` are distinct, ascending and not known."""
+        ids = self._encoded(chunks)
+        length = np.array([len(x) for x in ids], np.int64)
+        first = len(self.start)
+        self.start = np.r_[self.start, len(self.ids) + np.cumsum(length) - length]
+        self.length = np.r_[self.length, length]
+        self.ids = np.r_[self.ids, np.fromiter(chain.from_iterable(ids), np.uint32, int(length.sum()))]
+        merged = np.r_[self.recent.keys, keys]
+        place = np.r_[self.recent_place, np.arange(first, first + len(keys))]
+        if len(merged) > max(1 << 16, len(self.old.keys) // 4):
+            merged, place = np.r_[self.old.keys, merged], np.r_[self.old_place, place]
+            order = np.argsort(merged, kind="stable")
+            self.old, self.old_place = HashIndex(merged[order]), place[order]
+            self.recent, self.recent_place = HashIndex(np.zeros(0, np.uint64)), np.zeros(0, np.int64)
+        else:
+            order = np.argsort(merged, kind="stable")
+            self.recent, self.recent_place = HashIndex(merged[order]), place[order]
+
+    def _encoded(self, chunks: list[bytes]) -> list[list[int]]:
+        """Ids of chunks; those of Latin letters alone are one word, and go to the model at once."""
+        model, letters = self.tokenizer.model, self.as_letters
+        out: list[list[int]] = [[]] * len(chunks)
         others = []
-        for c in new.difference(words):
-            (words if c.decode("utf-8", "replace").isalpha() else others).append(c)
-        for at in range(0, len(words), 1024):
-            self._learn_words(words[at : at + 1024])
-        self._learn_each(others)
-        known = self.known
-        known.update([(c, known[c[:-1]] + known[c[-1:]]) for c in marked])
-
-    def _learn_words(self, some: list[bytes]) -> None:
-        ids = np.array(self.tokenizer.encode(b" ".join(some).decode("utf-8", "replace"), add_special_tokens=False).ids, "<u4")
-        ends = ((np.flatnonzero(self.closes[ids]) + 1) * 4).tolist()
-        if len(ends) != len(some):
-            self._learn_each(some)
-            return
-        flat = ids.tobytes()
-        self.known.update(zip(some, [flat[a:b] for a, b in zip([0, *ends], ends, strict=False)], strict=True))
-
-    def _learn_each(self, some: list[bytes]) -> None:
-        found = self.tokenizer.encode_batch_fast([c.decode("utf-8", "replace") for c in some], add_special_tokens=False)
-        for c, encoding in zip(some, found, strict=True):
-            self.known[c] = np.array(encoding.ids, "<u4").tobytes()
+        for k, c in enumerate(chunks):
+            if c.isalpha():
+                out[k] = [t.id for t in model.tokenize(c.decode())]
+            elif not c.isascii() and (word := c.decode("utf-8", "replace").lower()).isalpha() and max(word) < LATIN_END:
+                out[k] = [t.id for t in model.tokenize("".join([letters[b] for b in word.encode()]))]
+            else:
+                others.append(k)
+        found = self.tokenizer.encode_batch_fast([chunks[k].decode("utf-8", "replace") for k in others], add_special_tokens=False)
+        for k, encoding in zip(others, found, strict=True):
+            out[k] = encoding.ids
+        return out
+
+
+@cache
+def chunk_tokenizer(path: str) -> ChunkTokenizer:
+    """One per worker process, so that later tasks know the chunks of earlier ones."""
+    return ChunkTokenizer(path)
 
 
 def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY) -> DataFrame:
     """Full pieces and the remainder of every row of ``docs`` (``doc_id``, ``text``)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer = ChunkTokenizer(tokenizer_path)
+        tokenizer = chunk_tokenizer(tokenizer_path)
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
-                ids = tokenizer.encode([t or b"" for t in part["text"].to_pylist()])
-                rows = [
-                    (i, start, stop - start, zlib.crc32(memoryview(x)[4 * start : 4 * stop]), len(x) // 4)
-                    for i, x in enumerate(ids)
-                    for start in range(0, len(x) // 4, capacity)
-                    for stop in (min(start + capacity, len(x) // 4),)
-                ]
-                place, *columns = zip(*rows, strict=True)
-                names = ["start", "length", "ids_crc32", "doc_tokens"]
-                values = {name: pa.array(c, pa.int64()) for name, c in zip(names, columns, strict=True)}
-                yield pa.RecordBatch.from_pydict({"doc_id": part["doc_id"].take(pa.array(place)), **values})
+            for part in slices(batch["text"], SLICE_BYTES):
+                ids, bounds = tokenizer.encode(part)
+                data = memoryview(ids.astype("<u4").tobytes())
+                sizes = np.diff(bounds)
+                cuts = -(-sizes // capacity)
+                of = np.repeat(np.arange(len(sizes)), cuts)
+                start = (np.arange(len(of)) - np.repeat(np.cumsum(cuts) - cuts, cuts)) * capacity
+                length = np.minimum(sizes[of] - start, capacity)
+                first = 4 * (bounds[of] + start)
+                sums = [zlib.crc32(data[a:b]) for a, b in zip(first.tolist(), (first + 4 * length).tolist(), strict=True)]
+                columns = {"start": start, "length": length, "ids_crc32": sums, "doc_tokens": sizes[of]}
+                values = {name: pa.array(c, pa.int64()) for name, c in columns.items()}
+                yield pa.RecordBatch.from_pydict({"doc_id": batch["doc_id"].take(pa.array(of + part.first)), **values})
 
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("binary").alias("text"))
     return rows.mapInArrow(run, PIECES)
@@ -172,12 +252,13 @@ def _first_columns(lengths: np.ndarray, need: np.ndarray, room: int, most: int =
     return columns[:, lengths]
 
 
-def generate_columns(demand: np.ndarray, room: int, gap: float = 2e-4, most: int = 6000) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def generate_columns(demand: np.ndarray, room: int, tolerance: float = 1e-4, most: int = 60_000) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Solve the linear program by column generation: lengths, columns and their amounts.
 
     ``demand[l]`` pieces have length ``l``. A column comes from those met so far while one of them
-    pays, else from the knapsack. Ends at the optimum, or when the amount of sequences is within
-    ``gap`` of the bound that the total length gives.
+    pays, else from the knapsack. Ends when the knapsack finds none that pays, or when its best price
+    proves the amount of sequences to be within ``tolerance`` of the optimum (prices over the best price are a
+    solution of the dual program).
     """
     lengths = np.flatnonzero(demand[: room + 1])
     need = demand[lengths].astype(float)
@@ -185,16 +266,13 @@ def generate_columns(demand: np.ndarray, room: int, gap: float = 2e-4, most: int
     inverse = np.diag(1.0 / np.diag(basis))
     amounts = inverse @ need
     pool = _first_columns(lengths, need, room)
-    bound = (lengths * need).sum() / room
     for step in range(most):
-        if amounts.sum() <= bound * (1 + gap):
-            break
         prices = inverse.sum(axis=0)
         values = pool @ prices
         column = pool[values.argmax()]
         if values.max() <= 1 + 1e-7:
             value, column = _best_column(prices, lengths, room)
-            if value <= 1 + 1e-7:
+            if value <= 1 + 1e-7 or amounts.sum() <= need @ prices / value * (1 + tolerance):
                 break
             pool = np.concatenate([pool, column[None]])
         direction = inverse @ column
@@ -256,7 +334,8 @@ def slots_by_length(patterns: list[Pattern], room: int) -> tuple[list[Slots], in
 def _ranked(rows: DataFrame, sizes: np.ndarray) -> DataFrame:
     """Rank from 0 inside each length, by cells of bounded size."""
     cells = F.lit([max(1, -(-int(n) // CELL)) for n in sizes])
-    salt = F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.get(cells, F.col("units")).cast("bigint"))
+    # By a row's place in the stored table, so that rows that repeat exactly are dealt as well.
+    salt = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.get(cells, F.col("units")).cast("bigint"))
     rows = stored(rows.withColumn("salt", salt), "pieces")
     own = Window.partitionBy("units", "salt").orderBy("doc_id", "start", "ids_crc32")
     counts = rows.groupBy("units", "salt").agg(F.count(F.lit(1)).alias("n"))
