@@ -56,25 +56,43 @@ def detailed_breakdown(results: DataFrame) -> DataFrame:
     return metrics_by(results, "evaluation_type", "difficulty", error_rate=False)
 
 
-def all_metrics(results: DataFrame, by: list[str] | None = None) -> DataFrame:
-    """Overall, per type, per difficulty and per both, from one scan.
+CELL_KEYS = ["evaluation_type", "difficulty"]
+#: Sums of a cell; cells of the same group merge by adding them up.
+CELL_SUMS = ["n", "correct", "score", "scored", "time", "timed", "errors"]
+SUM_TYPE = "decimal(38,9)"
 
-    ``level`` tells which; ``by`` adds keys, such as the run or the model, to every level.
-    Results are first reduced to one row per type and difficulty; the four levels are sums
-    over those few rows, where grouping sets alone would copy every result four times.
-    """
-    by = by or []
-    cells = results.groupBy(*by, "evaluation_type", "difficulty").agg(
+
+def metric_cells(results: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """One mergeable row per type and difficulty, and per ``by``: counts and exact sums."""
+    return results.groupBy(*(by or []), *CELL_KEYS).agg(
         F.count("*").alias("n"),
         F.count_if("is_correct").alias("correct"),
-        F.sum(F.col("score").cast(MEAN_TYPE)).alias("score"),
+        F.sum(F.col("score").cast(MEAN_TYPE)).cast(SUM_TYPE).alias("score"),
         F.count("score").alias("scored"),
-        F.sum(F.col("execution_time").cast(MEAN_TYPE)).alias("time"),
+        F.sum(F.col("execution_time").cast(MEAN_TYPE)).cast(SUM_TYPE).alias("time"),
         F.count("execution_time").alias("timed"),
         F.count("error_message").alias("errors"),
     )
+
+
+def all_metrics(results: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """Overall, per type, per difficulty and per both, from one scan.
+
+    ``level`` tells which; ``by`` adds keys, such as the run or the model, to every level.
+    Results are first reduced to one row per type and difficulty; the four levels are sums
+    over those few rows, where grouping sets alone would copy every result four times.
+    """
+    return metrics_of_cells(metric_cells(results, by), by)
+
+
+def _ratio(part: str, whole: str) -> Column:
+    return _rounded(F.try_divide(F.sum(part).cast("double"), F.sum(whole)))
+
+
+def metrics_of_cells(cells: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """``all_metrics`` from cells, which may come from several writes."""
     t, d = F.col("evaluation_type"), F.col("difficulty")
-    extra = [F.col(c) for c in by]
+    extra = [F.col(c) for c in by or []]
     grouped = cells.groupingSets([extra, [*extra, t], [*extra, d], [*extra, t, d]], *extra, t, d)
     no_type, no_difficulty = F.grouping("evaluation_type"), F.grouping("difficulty")
     level = (
@@ -83,21 +101,28 @@ def all_metrics(results: DataFrame, by: list[str] | None = None) -> DataFrame:
         .when(no_type == 1, "difficulty")
         .otherwise("type_difficulty")
     )
-
-    def ratio(part: str, whole: str) -> Column:
-        return _rounded(F.try_divide(F.sum(part).cast("double"), F.sum(whole)))
-
     return grouped.agg(
         level.alias("level"),
         F.sum("n").alias("total_samples"),
         F.sum("correct").alias("correct_samples"),
-        ratio("correct", "n").alias("accuracy"),
-        ratio("score", "scored").alias("average_score"),
-        ratio("time", "timed").alias("average_execution_time"),
-        ratio("errors", "n").alias("error_rate"),
+        _ratio("correct", "n").alias("accuracy"),
+        _ratio("score", "scored").alias("average_score"),
+        _ratio("time", "timed").alias("average_execution_time"),
+        _ratio("errors", "n").alias("error_rate"),
     ).where("total_samples > 0")
 
 
+def pass_summary_of_cells(cells: DataFrame, *keys: str) -> DataFrame:
+    """``pass_summary`` from cells."""
+    return cells.groupBy(*keys).agg(
+        F.sum("n").alias("total_samples"),
+        F.sum("correct").alias("passed"),
+        (F.sum("n") - F.sum("correct")).alias("failed"),
+        _ratio("correct", "n").alias("success_rate"),
+        _ratio("score", "scored").alias("average_score"),
+    )
+
+
 def error_rates(results: DataFrame) -> DataFrame:
     """Errors and error rate of every evaluation type, also where there are none."""
     return results.groupBy("evaluation_type").agg(

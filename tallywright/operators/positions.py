@@ -2,11 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-BUCKET_WIDTH = 1 << 20
+RANGE_ROWS = 1 << 18
+
+
+def _same(columns: list[str], side: str) -> list[Column]:
+    return [F.col(c).eqNullSafe(F.col(f"_{side}_{c}")) for c in columns]
+
+
+def _renamed(df: DataFrame, columns: list[str], side: str) -> DataFrame:
+    return df.withColumnsRenamed({c: f"_{side}_{c}" for c in columns})
 
 
 def dense_positions(
@@ -15,38 +23,28 @@ def dense_positions(
     order: str,
     ties: list[str] | None = None,
     name: str = "pos",
-    width: int = BUCKET_WIDTH,
+    range_rows: int = RANGE_ROWS,
 ) -> DataFrame:
     """Number the rows of each group 1..n by a whole-number order column.
 
-    ``row_number()`` over the group would sort a whole group in one task. Here rows are
-    numbered within (group, order range) and shifted by the row count of the ranges
-    before, so the largest sorted piece holds the rows of one range.
+    ``row_number()`` over the group would sort a whole group in one task. Groups of more than
+    ``range_rows`` rows are cut into ranges of the order, as wide as their own bounds and number of rows ask for; rows are
+    numbered inside a range and shifted by the row count of the ranges before. Smaller groups are
+    one range. Null keys are a group like any other, and null order values come first.
     """
-    ranged = df.withColumn("_range", F.floor(F.col(order) / F.lit(width)))
+    sizes = df.groupBy(*group).agg(F.count("*").alias("_n"), F.min(order).alias("_low"), F.max(order).alias("_high")).where(F.col("_n") > range_rows)
+    width = F.ceil((F.col("_high") - F.col("_low") + 1) * F.lit(range_rows) / F.col("_n"))
+    large = _renamed(sizes.select(*group, "_low", width.alias("_width")), group, "l")
+    place = F.coalesce(F.floor((F.col(order) - F.col("_low")) / F.col("_width")), F.lit(-1))
+    ranged = df.join(large, _same(group, "l"), "left").withColumn("_range", F.when(F.col("_width").isNull(), 0).otherwise(place))
+    # Only the ranges of large groups have others before them; their counts are partial-aggregated.
     keys = [*group, "_range"]
-    # The range counts are partial-aggregated before their shuffle.
-    before = (
-        ranged.groupBy(*keys)
-        .agg(F.count("*").alias("_n"))
-        .withColumn(
-            "_before",
-            F.coalesce(
-                F.sum("_n").over(
-                    W.partitionBy(*group).orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
-                ),
-                F.lit(0),
-            ),
-        )
-        .drop("_n")
-    )
-    inside = F.row_number().over(W.partitionBy(*keys).orderBy(order, *(ties or [])))
-    return (
-        ranged.withColumn("_inside", inside)
-        .join(before, keys)
-        .withColumn(name, F.col("_before") + F.col("_inside"))
-        .drop("_range", "_inside", "_before")
-    )
+    earlier = W.partitionBy(*group).orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
+    before = ranged.where(F.col("_width").isNotNull()).groupBy(*keys).agg(F.count("*").alias("_n"))
+    before = _renamed(before.withColumn("_before", F.coalesce(F.sum("_n").over(earlier), F.lit(0))).drop("_n"), keys, "b")
+    inside = F.row_number().over(W.partitionBy(*keys).orderBy(F.col(order).asc_nulls_first(), *(ties or [])))
+    placed = ranged.withColumn("_inside", inside).join(before, _same(keys, "b"), "left")
+    return placed.withColumn(name, F.coalesce("_before", F.lit(0)) + F.col("_inside")).select(*df.columns, name)
 
 
 def partition_positions(df: DataFrame, group: list[str], part: str, index: str, name: str = "pos") -> DataFrame:

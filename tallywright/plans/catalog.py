@@ -13,14 +13,14 @@ from pyspark.sql import functions as F
 
 from tallywright.functions import call_text, prompts, questions, sql_text
 from tallywright.functions.values import lenient_match, strict_match
-from tallywright.operators import call_execution, call_scores, economics, metrics
+from tallywright.operators import call_execution, call_scores, economics, metrics, presence, returned_rows
 from tallywright.operators import result_sets as rs
 from tallywright.operators.positions import dense_positions
 from tallywright.operators.statement_runs import run_statements, with_execution
 from tallywright.plans import evaluations
 from tallywright.plans.fixtures import table, view
 from tallywright.session import scratch_dir
-from tallywright.sources import question_sets, responses, sinks
+from tallywright.sources import question_sets, responses, run_store, sinks
 from tallywright.sources.fact_tables import register_facts
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -197,10 +197,25 @@ def _(spark, sf):
 
 @query("s13_stored_runs")
 def _(spark, sf):
-    path = scratch_dir(spark, "runs")
-    view(spark, sf, "fx_eval_results").write.partitionBy("run_id").parquet(path)
-    stored = responses.read_runs(spark, path, ["baseline", "improved"])
-    return metrics.pass_summary(stored, "run_id")
+    path = _saved_runs(spark, sf)
+    return metrics.pass_summary(run_store.read_runs(spark, path, ["baseline", "improved"]), "run_id")
+
+
+def _saved_runs(spark: SparkSession, sf: str) -> str:
+    """Both runs as ``save_results`` stores them; one of them is then written again, and a third write is not finished."""
+    results = view(spark, sf, "fx_eval_results")
+    path = sinks.save_results(results, scratch_dir(spark, "runs"))["runs_path"]
+    improved = results.where("run_id = 'improved'")
+    run_store.write_run(improved, path)
+    run_store.stage_run(improved.withColumn("is_correct", F.lit(True)), path)
+    return path
+
+
+@query("s13_store_metrics")
+def _(spark, sf):
+    """All metrics of stored runs, from the cells of their commits alone."""
+    cells = run_store.committed_cells(spark, _saved_runs(spark, sf))
+    return metrics.metrics_of_cells(cells, ["run_id", "model"])
 
 
 # Questions
@@ -510,15 +525,14 @@ def _(spark, sf):
 
 
 def _matches(spark: SparkSession, sf: str, rule) -> DataFrame:
-    """Arguments with the same key in calls at the same place, matched under a rule."""
+    """Every expected argument against that of the same key in the call at the same place; false without one."""
     df = _call_lists(spark, sf)
     calls = F.explode(F.arrays_zip(F.col("expected").alias("e"), F.col("predicted").alias("p")))
     both = df.select("sample_id", calls.alias("z")).select("sample_id", "z.e.name", "z.e.args", F.col("z.p.args").alias("other"))
     args = both.select("sample_id", "name", F.explode("args").alias("a"), "other")
     found = args.withColumn("b", F.get(F.filter("other", lambda b: b["key"] == F.col("a.key")), F.lit(0)))
-    return found.where(F.col("b").isNotNull()).select(
-        "sample_id", "name", F.col("a.key").alias("arg_key"), rule(F.col("a"), F.col("b")).alias("is_match")
-    )
+    match = F.coalesce(rule(F.col("a"), F.col("b")), F.lit(False))
+    return found.select("sample_id", "name", F.col("a.key").alias("arg_key"), match.alias("is_match"))
 
 
 @query("m13_strict_value_match")
@@ -550,6 +564,15 @@ def _(spark, sf):
     return out.select("sample_id", _r("result").alias("result"))
 
 
+@query("m16_call_rows")
+def _(spark, sf):
+    points = returned_rows.fact_points(
+        view(spark, sf, "fx_series_points"), view(spark, sf, "fx_industry_gdp"), view(spark, sf, "fx_regional_data")
+    )
+    # Small bins and parts, so that spans are cut and parts are visited at every scale.
+    return returned_rows.returned_rows(returned_rows.asked_spans(_labelled(spark, sf), ["sample_id"]), points, width=3, hot=20)
+
+
 @query("m17_well_formed_share")
 def _(spark, sf):
     return _score(spark, sf, lambda p, e: call_scores.well_formed_share(p))
@@ -690,6 +713,41 @@ def _(spark, sf):
     return metrics.model_comparison(df)
 
 
+@query("a11_pairwise_models")
+def _(spark, sf):
+    df = _results(spark, sf).withColumn("sample_id", F.concat_ws("|", "evaluation_type", "difficulty", F.hour("timestamp"), F.minute("timestamp")))
+    return presence.pairwise_models(df)
+
+
+def _with_gaps(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """Samples, and answers of two runs that lack some of them."""
+    samples = view(spark, sf, "fx_eval_results").select("sample_id", F.lit("q").alias("question"), "evaluation_type", "difficulty")
+    answers = view(spark, sf, "fx_eval_results").where("sample_id % 10 <> 3").select(
+        F.when(F.col("sample_id") % 7 == 0, "short").otherwise("long").alias("run_id"),
+        F.lit("m").alias("model"),
+        "sample_id",
+        F.lit("x").alias("content"),
+        F.when(F.col("sample_id") % 21 == 0, "timeout").alias("error"),
+        F.lit(0).alias("prompt_tokens"),
+        F.lit(0).alias("completion_tokens"),
+    )
+    return samples, answers
+
+
+@query("m21_missing_answers")
+def _(spark, sf):
+    samples, answers = _with_gaps(spark, sf)
+    return evaluations.missing_results(samples, answers).select("run_id", "sample_id", "evaluation_type", "is_correct", "score", "error_message")
+
+
+@query("a1_metrics_with_missing")
+def _(spark, sf):
+    samples, answers = _with_gaps(spark, sf)
+    given = evaluations.answered(samples, answers)
+    given = evaluations.result_row(given, F.col("sample_id") % 2 == 0, F.lit(0.5), F.struct("content"))
+    return metrics.all_metrics(given.unionByName(evaluations.missing_results(samples, answers)), by=["run_id"])
+
+
 @query("a12_evaluation_types")
 def _(spark, sf):
     df = _results(spark, sf)

@@ -43,6 +43,7 @@ from tallywright.operators.metrics import (
     metrics_by,
     overall_metrics,
 )
+from tallywright.operators.presence import missing
 from tallywright.operators.result_sets import database_verdict, sql_verdict
 from tallywright.operators.statement_results import (
     expected_rows,
@@ -62,6 +63,7 @@ from tallywright.sources.sinks import save_results
 
 KEYS = ["run_id", "model", "sample_id"]
 NO_SQL = "No SQL found in response"
+NO_ANSWER = "No answer recorded"
 
 
 def answered(samples: DataFrame, responses: DataFrame) -> DataFrame:
@@ -81,21 +83,18 @@ def unknown_answers(samples: DataFrame, responses: DataFrame) -> DataFrame:
 
 
 def unanswered(samples: DataFrame, responses: DataFrame) -> DataFrame:
-    """``(run_id, model, sample_id)`` of samples without an answer in a run of the responses.
+    """``(run_id, model, sample_id)`` of samples without an answer in a run of the responses."""
+    return missing(samples, responses, ["run_id", "model"])
 
-    One row per missing answer: a run's present answers are counted first, and only runs that
-    lack some are set against the samples.
-    """
-    wanted = samples.select("sample_id").distinct()
-    have = responses.select("run_id", "model", "sample_id").distinct().join(wanted, "sample_id", "left_semi")
-    runs = responses.groupBy("run_id", "model").agg(F.count(F.lit(1)).alias("n")).drop("n")
-    counts = runs.join(have.groupBy("run_id", "model").agg(F.count(F.lit(1)).alias("n")), ["run_id", "model"], "left")
-    short = [r for r in counts.where(F.coalesce("n", F.lit(0)) < wanted.count()).collect()]  # runs, not answers
-    every = F.array(*[F.struct(F.lit(r.run_id).alias("run_id"), F.lit(r.model).alias("model")) for r in short])
-    if not short:
-        return have.limit(0)
-    missing = wanted.select("sample_id", F.explode(every).alias("run")).select("run.run_id", "run.model", "sample_id")
-    return missing.join(have, ["run_id", "model", "sample_id"], "left_anti")
+
+def missing_results(samples: DataFrame, responses: DataFrame) -> DataFrame:
+    """Result rows of the samples that a run did not answer: wrong, score 0, with ``NO_ANSWER`` as their error."""
+    answers = normalise_responses(responses)
+    if "run_id" not in answers.columns:
+        answers = answers.withColumn("run_id", F.lit("run"))
+    rows = unanswered(samples, answers.select("run_id", "model", "sample_id")).join(samples, "sample_id")
+    rows = rows.withColumns({"content": F.lit(None).cast("string"), "error": F.lit(NO_ANSWER)})
+    return result_row(rows, F.lit(False), F.lit(0.0), F.struct(F.lit(NO_ANSWER).alias("missing")))
 
 
 def result_row(df: DataFrame, is_correct: Column, score: Column, details: Column, error: Column | None = None) -> DataFrame:
@@ -285,6 +284,8 @@ class RunOptions:
     function_scorer: str = "calls_executed"
     output_dir: str | None = None
     prefix: str = "evaluation"
+    #: Samples that a run did not answer count as errors of that run.
+    count_missing: bool = True
 
     def __post_init__(self) -> None:
         if self.evaluation_type not in EVALUATION_TYPES:
@@ -321,7 +322,8 @@ def run_and_analyze(
 ) -> dict[str, DataFrame | dict[str, str]]:
     """Evaluate the chosen samples, aggregate, and store results where a folder is given.
 
-    Results are stored before they are aggregated, so each answer is scored once.
+    Results are stored before they are aggregated, so each answer is scored once. Samples without an
+    answer are errors of every run in ``responses``, unless the options leave them out.
     """
     options = options or RunOptions()
     families = EVALUATION_TYPES[options.evaluation_type]
@@ -333,6 +335,8 @@ def run_and_analyze(
             given = {"facts": facts, "coverage": coverage}
             asked = {k: v for k, v in given.items() if k in signature(evaluate).parameters}
             parts.append(evaluate(chosen.where(F.col("evaluation_type") == family), responses, **asked))
+    if options.count_missing:
+        parts.append(missing_results(chosen, responses))
     results = stored(reduce(lambda a, b: a.unionByName(b), parts), "results")
     out = {"results": results, **analyze(results)}
     if options.output_dir:

@@ -34,6 +34,11 @@ SELECT l_orderkey * 10 + l_linenumber AS record_id,
        CAST(l_extendedprice AS STRING) AS raw_value, l_extendedprice AS numeric_value,
        (l_returnflag = 'R') AS is_estimated
 FROM lineitem""",
+    # One point per series and month.
+    "fx_series_points": """
+SELECT CASE l_suppkey % 3 WHEN 0 THEN 'CUUR0000SA0' WHEN 1 THEN 'CIU1010000000000I' ELSE 'PRS85006092' END AS series_id,
+       CAST(year(l_shipdate) + 19 AS INT) AS year, CAST(month(l_shipdate) AS INT) AS period_value, MAX(l_extendedprice) AS numeric_value
+FROM lineitem GROUP BY 1, 2, 3""",
     "fx_industry_gdp": """
 SELECT p_type AS industry_name, CAST(year(l_shipdate) + 19 AS INT) AS year,
        CAST(SUM(CAST(l_extendedprice AS DECIMAL(18,2))) AS DOUBLE) AS gdp_value, 'USD' AS unit, 'BEA' AS source

@@ -269,6 +269,45 @@ _add(
   CAST(sum(prompt_tokens + completion_tokens) AS BIGINT) AS total_tokens FROM fx_sql_responses GROUP BY model""",
     "fx_sql_responses",
 )
+_add(
+    "s13_store_metrics",
+    """SELECT run_id, model, CASE WHEN GROUPING(evaluation_type) = 1 AND GROUPING(difficulty) = 1 THEN 'overall' WHEN GROUPING(difficulty) = 1 THEN 'type'
+    WHEN GROUPING(evaluation_type) = 1 THEN 'difficulty' ELSE 'type_difficulty' END AS level, evaluation_type, difficulty,
+  COUNT(*) AS total_samples, count_if(is_correct) AS correct_samples, round(count_if(is_correct) / COUNT(*), 6) AS accuracy,
+  round(avg(CAST(score AS DECIMAL(18,9))), 6) AS average_score, round(avg(CAST(execution_time AS DECIMAL(18,9))), 6) AS average_execution_time,
+  round(COUNT(error_message) / COUNT(*), 6) AS error_rate
+FROM fx_eval_results GROUP BY GROUPING SETS ((run_id, model), (run_id, model, evaluation_type), (run_id, model, difficulty), (run_id, model, evaluation_type, difficulty))""",
+    "fx_eval_results",
+)
+_add(
+    "a11_pairwise_models",
+    """, r AS (SELECT model, evaluation_type || '|' || difficulty || '|' || hour(timestamp) || '|' || minute(timestamp) AS sid, bool_and(is_correct) AS ok FROM fx_eval_results GROUP BY ALL)
+SELECT a.model AS model_a, b.model AS model_b, COUNT(*) AS common_samples, count_if(a.ok AND b.ok) AS both_right, count_if(a.ok AND NOT b.ok) AS only_a_right,
+  count_if(b.ok AND NOT a.ok) AS only_b_right, round((count_if(a.ok AND NOT b.ok) - count_if(b.ok AND NOT a.ok)) / COUNT(*), 6) AS lead_of_a
+FROM r a JOIN r b ON a.sid = b.sid AND a.model < b.model GROUP BY 1, 2""",
+    "fx_eval_results",
+)
+_GAPS = """runs AS (SELECT * FROM (VALUES ('short'), ('long')) v(run_id)),
+given AS (SELECT sample_id, CASE WHEN sample_id % 7 = 0 THEN 'short' ELSE 'long' END AS run_id, sample_id % 21 = 0 AS failed FROM fx_eval_results WHERE sample_id % 10 <> 3),
+every AS (SELECT runs.run_id, s.sample_id, s.evaluation_type, s.difficulty, g.failed, g.sample_id IS NULL AS missing
+  FROM fx_eval_results s CROSS JOIN runs LEFT JOIN given g ON g.run_id = runs.run_id AND g.sample_id = s.sample_id)"""
+_add(
+    "m21_missing_answers",
+    "SELECT run_id, sample_id, evaluation_type, false AS is_correct, 0.0::DOUBLE AS score, 'No answer recorded' AS error_message FROM every WHERE missing",
+    "fx_eval_results",
+    ctes=_GAPS,
+)
+_add(
+    "a1_metrics_with_missing",
+    """SELECT run_id, CASE WHEN GROUPING(evaluation_type) = 1 AND GROUPING(difficulty) = 1 THEN 'overall' WHEN GROUPING(difficulty) = 1 THEN 'type'
+    WHEN GROUPING(evaluation_type) = 1 THEN 'difficulty' ELSE 'type_difficulty' END AS level, evaluation_type, difficulty,
+  COUNT(*) AS total_samples, count_if(NOT wrong AND sample_id % 2 = 0) AS correct_samples, round(count_if(NOT wrong AND sample_id % 2 = 0) / COUNT(*), 6) AS accuracy,
+  round(avg(CASE WHEN wrong THEN 0.0 ELSE 0.5 END), 6) AS average_score, NULL::DOUBLE AS average_execution_time, round(count_if(wrong) / COUNT(*), 6) AS error_rate
+FROM (SELECT *, missing OR coalesce(failed, false) AS wrong FROM every)
+GROUP BY GROUPING SETS ((run_id), (run_id, evaluation_type), (run_id, difficulty), (run_id, evaluation_type, difficulty))""",
+    "fx_eval_results",
+    ctes=_GAPS,
+)
 _add(
     "a11_model_comparison",
     """SELECT model, COUNT(DISTINCT sid) AS common_samples, COUNT(*) AS total_samples, COUNT(CASE WHEN is_correct THEN 1 END) AS correct_samples,
@@ -677,8 +716,8 @@ _lists("m12_parameters_lenient", "SELECT sample_id, round(parameters, 6) AS scor
 for _name, _rule in (("m13_strict_value_match", _STRICT), ("m14_lenient_value_match", _LENIENT)):
     _lists(
         _name,
-        f"""SELECT e.sample_id, e.name, e.key AS arg_key, {_rule} AS is_match FROM toks e JOIN toks p
-ON p.sample_id = e.sample_id AND p.pos = e.pos AND p.key = e.key AND e.side = 'e' AND p.side = 'p'""",
+        f"""SELECT e.sample_id, e.name, e.key AS arg_key, coalesce({_rule}, false) AS is_match FROM toks e LEFT JOIN toks p
+ON p.sample_id = e.sample_id AND p.pos = e.pos AND p.key = e.key AND p.side = 'p' WHERE e.side = 'e'""",
     )
 _lists("m17_well_formed_share", "SELECT sample_id, round(execution, 6) AS score FROM family", f"{_NAMES},\n{_SOFT}")
 _lists("m18_result_proxy", "SELECT sample_id, round(result, 6) AS result FROM family", f"{_NAMES},\n{_SOFT}")
@@ -749,6 +788,23 @@ _YEARS = """series AS (SELECT DISTINCT series_id, year FROM fx_time_series_data)
 states AS (SELECT DISTINCT state_name, year FROM fx_regional_data)"""
 _RUN = f"{_X9},\n{_YEARS},\n{_ASKED}"
 _add("m15_execution_success", "SELECT sample_id, round(execution, 6) AS execution FROM shares", *_FACTS, ctes=_RUN)
+_add(
+    "m16_call_rows",
+    """, lined AS (SELECT sample_id, call_pos, max(CASE WHEN arg_key = 'line_code' THEN arg_text END) AS code FROM full_args GROUP BY ALL),
+wide AS (SELECT a.*, CASE WHEN code IN ('SA1-2', 'SA1-3') THEN code ELSE 'SA1-1' END AS line FROM asked a LEFT JOIN lined USING (sample_id, call_pos)),
+found AS (
+  SELECT sample_id, call_pos, name, 'series' AS domain, k, '' AS measure, f.year, period_value AS period, numeric_value AS value
+  FROM wide JOIN fx_series_points f ON name NOT IN ('get_gdp_by_industry', 'get_regional_income') AND series_id = k AND f.year BETWEEN low AND high
+  UNION ALL SELECT sample_id, call_pos, name, 'industry', k, '', f.year, NULL, gdp_value
+  FROM wide JOIN fx_industry_gdp f ON name = 'get_gdp_by_industry' AND (k = 'ALL' OR industry_name = k) AND f.year = low
+  UNION ALL SELECT sample_id, call_pos, name, 'state', k, line, f.year, NULL,
+    CAST(CASE line WHEN 'SA1-1' THEN personal_income WHEN 'SA1-2' THEN population ELSE per_capita_income END AS DOUBLE)
+  FROM wide JOIN fx_regional_data f ON name = 'get_regional_income' AND state_name = k AND f.year = low)
+SELECT sample_id, CAST(call_pos AS INT) AS call_pos, name AS function_name, domain, k AS key, measure, year, CAST(period AS INT) AS period, value FROM found""",
+    "fx_series_points",
+    *_FACTS,
+    ctes=_RUN,
+)
 _add("m16_result_accuracy", "SELECT sample_id, round(result, 6) AS result FROM shares", *_FACTS, ctes=_RUN)
 
 # The flagship: expected calls by the event's question, then all four components.

@@ -32,11 +32,6 @@ def normalise_responses(df: DataFrame) -> DataFrame:
     ).withColumn("content", F.when(F.col("error").isNull(), F.col("content")).otherwise(""))
 
 
-def read_runs(spark: SparkSession, path: str, run_ids: list[str]) -> DataFrame:
-    """Result rows of the named stored runs; the folder is partitioned by run."""
-    return spark.read.parquet(path).where(F.col("run_id").isin(*run_ids))
-
-
 def spread(df: DataFrame) -> DataFrame:
     """Spread a scan over all cores if it has fewer partitions than there are cores.
 

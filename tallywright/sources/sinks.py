@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallywright.operators.metrics import all_metrics
+from tallywright.sources.run_store import write_run
 
 # The fields of a stored result, in order; the CSV leaves the details out.
 RESULT_FIELDS = [
@@ -30,11 +31,11 @@ def _stored(results: DataFrame, fields: list[str], keys: list[str]) -> DataFrame
 
 
 def write_results_json(results: DataFrame, path: str, partition_by: str | None = "run_id") -> None:
-    """One JSON object per result, all fields, in one folder per run."""
+    """One JSON object per result, all fields, in one folder per run; folders of other runs stay."""
     keys = [k for k in ("run_id", "model") if k in results.columns]
     writer = _stored(results, RESULT_FIELDS, keys).write.mode("overwrite").option("ignoreNullFields", False)
     if partition_by in keys:
-        writer = writer.partitionBy(partition_by)
+        writer = writer.option("partitionOverwriteMode", "dynamic").partitionBy(partition_by)
     writer.json(path)
 
 
@@ -79,14 +80,19 @@ def write_report(results: DataFrame, path: str, title: str = "Evaluation") -> st
 
 
 def save_results(results: DataFrame, output_dir: str, prefix: str = "evaluation") -> dict[str, str]:
-    """JSON, CSV and report of one evaluation, under names with the time of writing."""
+    """JSON, CSV and report of one evaluation, under names with the time of writing.
+
+    The results also enter the store of runs below ``output_dir``, from which ``run_store.read_runs`` reads them.
+    """
     stamp = f"{dt.datetime.now():%Y%m%d_%H%M%S}"
     base = f"{output_dir.rstrip('/')}/{prefix}"
     paths = {
+        "runs_path": f"{output_dir.rstrip('/')}/{prefix}_runs",
         "json_path": f"{base}_results_{stamp}.json",
         "csv_path": f"{base}_results_{stamp}.csv",
         "report_path": f"{base}_report_{stamp}.md",
     }
+    write_run(results, paths["runs_path"])
     write_results_json(results, paths["json_path"])
     write_results_csv(results, paths["csv_path"])
     write_report(results, paths["report_path"])

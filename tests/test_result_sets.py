@@ -61,7 +61,7 @@ def test_dense_positions_with_a_hot_group(spark, width):
     rng = random.Random(5)
     data = [(0 if i % 3 else rng.randint(1, 9), rng.randint(-500, 500), i) for i in range(900)]
     df = spark.createDataFrame(data, "g int, o bigint, i int")
-    got = dense_positions(df, ["g"], "o", ties=["i"], width=width).collect()
+    got = dense_positions(df, ["g"], "o", ties=["i"], range_rows=width).collect()
     want = {}
     for g in {d[0] for d in data}:
         for n, d in enumerate(sorted(x for x in data if x[0] == g)):
