@@ -93,7 +93,7 @@ def _(spark, sf_dir):
     labelled = labelled.select("doc_id", F.col("lang").alias("domain"))
     mixed, domains = domain_mixing.mix(docs.select("doc_id", "text"), labelled)
     shares = [F.col("p")[k].alias(f"p_{d}") for k, d in enumerate(domains)]
-    return mixed.select("record.doc_id", "tokens", *shares, "rate")
+    return mixed.select("record.doc_id", "tokens", *shares, "rate", "miss")
 
 
 @query("op11_personal_data")
