@@ -306,7 +306,7 @@ COMPARISONS = {
 }
 
 
-METRICS = ("spending", "growth", "proportion")
+METRICS = ("spending", "growth", "proportion", "efficiency")
 
 
 def compare_categories(
@@ -322,8 +322,8 @@ def compare_categories(
 ) -> DataFrame:
     """Two categories per year: difference, relative difference, percentage or ratio.
 
-    The metric compared is the yearly total, its growth over the year before, or its share
-    of all categories. The percentage is that of the first value in the year's whole.
+    The metric compared is the yearly total, its growth over the year before, its share
+    of all categories, or its efficiency: the total per record. The percentage is that of the first value in the year's whole.
     """
     if comparison_type not in COMPARISONS:
         raise ValueError(f"unknown comparison type: {comparison_type}")
@@ -337,7 +337,13 @@ def compare_categories(
     per_year = (
         df.where(F.col(year).between(*time_period))
         .groupBy(F.col(year).alias("year"))
-        .agg(of(category1).alias("value1"), of(category2).alias("value2"), money_sum(amount).alias("whole"))
+        .agg(
+            of(category1).alias("value1"),
+            of(category2).alias("value2"),
+            money_sum(amount).alias("whole"),
+            *[F.count(F.when(F.col(category) == c, amount)).alias(n) for c, n in ((category1, "n1"), (category2, "n2"))],
+            F.count(amount).alias("n"),
+        )
     )
     if metric == "growth":
         # One row per year is left, so the window is tiny.
@@ -345,6 +351,9 @@ def compare_categories(
         per_year = per_year.select(
             "year", *[(F.try_divide(F.col(c), F.lag(c).over(before)) - 1).alias(c) for c in ("value1", "value2", "whole")]
         )
+    elif metric == "efficiency":
+        sizes = {"value1": "n1", "value2": "n2", "whole": "n"}
+        per_year = per_year.select("year", *[F.try_divide(F.col(c), F.col(n)).alias(c) for c, n in sizes.items()])
     elif metric == "proportion":
         per_year = per_year.select(
             "year", *[F.try_divide(F.col(c), F.col("whole")).alias(c) for c in ("value1", "value2", "whole")]

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from tallywright.functions import call_text, prompts, questions, sql_text
 from tallywright.functions.values import lenient_match, strict_match
-from tallywright.operators import call_execution, call_scores, economics, metrics, presence, returned_rows
+from tallywright.operators import call_execution, call_scores, confidence, economics, metrics, presence, returned_rows
 from tallywright.operators import result_sets as rs
 from tallywright.operators.positions import dense_positions
 from tallywright.operators.statement_runs import run_statements, with_execution
@@ -902,6 +902,29 @@ def _(spark, sf):
     return _trends(spark, sf, "correlation")
 
 
+def _combined(spark: SparkSession, sf: str) -> DataFrame:
+    return confidence.domain_totals(view(spark, sf, "fx_budget_outlays"), view(spark, sf, "fx_time_series_data"), "combined", (2012, 2016))
+
+
+@query("d3_combined_trend")
+def _(spark, sf):
+    return confidence.chosen_metrics(economics.trend_summary(_combined(spark, sf)), ["growth_rate", "volatility"])
+
+
+@query("d3_combined_correlation")
+def _(spark, sf):
+    pairs = confidence.pair_correlations(_combined(spark, sf))
+    return pairs.withColumn("correlation", _r("correlation"))
+
+
+@query("d4_compare_efficiency")
+def _(spark, sf):
+    df = view(spark, sf, "fx_budget_outlays")
+    return economics.compare_categories(
+        df, "1-URGENT", "5-LOW", "function_name", "fiscal_year", "outlay_amount", (2014, 2020), "ratio", "efficiency"
+    )
+
+
 @query("d4_compare_categories")
 def _(spark, sf):
     df = view(spark, sf, "fx_budget_outlays")
@@ -952,6 +975,30 @@ def _(spark, sf):
     return _patterns(spark, sf, "correlation")
 
 
+def _confident(spark: SparkSession, sf: str, kind: str, threshold: float) -> DataFrame:
+    return confidence.confident_patterns(view(spark, sf, "fx_time_series_data"), kind, ["BLS", "BEA", "OMB"], "long_term", threshold)
+
+
+@query("d5_confident_trend")
+def _(spark, sf):
+    return _confident(spark, sf, "trend", 0.1)
+
+
+@query("d5_confident_correlation")
+def _(spark, sf):
+    return _confident(spark, sf, "correlation", 0.5)
+
+
+@query("d5_confident_seasonal")
+def _(spark, sf):
+    return _confident(spark, sf, "seasonal", 0.05)
+
+
+@query("d5_confident_cyclical")
+def _(spark, sf):
+    return _confident(spark, sf, "cyclical", 0.5)
+
+
 # Whole evaluations
 
 

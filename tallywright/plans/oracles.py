@@ -1016,3 +1016,82 @@ _add(
     "fx_sql_samples",
     ctes=_FORMS_OF,
 )
+
+# Combined data, and patterns of a given confidence
+
+_COMBINED = f"""totals AS (SELECT function_name AS category, fiscal_year AS year, {_money('outlay_amount')} AS total FROM fx_budget_outlays WHERE fiscal_year BETWEEN 2012 AND 2016 GROUP BY 1, 2
+  UNION ALL SELECT category, year, {_money('numeric_value')} FROM fx_time_series_data WHERE year BETWEEN 2012 AND 2016 GROUP BY 1, 2)"""
+_BOTH = ("fx_budget_outlays", "fx_time_series_data")
+_add(
+    "d3_combined_trend",
+    """SELECT category, round(avg(g), 6) AS mean_growth, round(stddev_samp(g), 6) AS volatility
+FROM (SELECT *, total / lag(total) OVER (PARTITION BY category ORDER BY year) - 1 AS g FROM totals) GROUP BY 1""",
+    *_BOTH,
+    ctes=_COMBINED,
+)
+_add(
+    "d3_combined_correlation",
+    """SELECT a.category AS category1, b.category AS category2, COUNT(*) AS years, round(corr(a.total, b.total), 6) AS correlation
+FROM totals a JOIN totals b ON a.year = b.year AND a.category < b.category GROUP BY 1, 2""",
+    *_BOTH,
+    ctes=_COMBINED,
+)
+_add(
+    "d4_compare_efficiency",
+    f"""SELECT year, round(a, 6) AS value1, round(b, 6) AS value2, round(a / b, 6) AS result FROM (SELECT fiscal_year AS year,
+  {_money("CASE WHEN function_name = '1-URGENT' THEN outlay_amount END")} / count_if(function_name = '1-URGENT') AS a,
+  {_money("CASE WHEN function_name = '5-LOW' THEN outlay_amount END")} / count_if(function_name = '5-LOW') AS b
+  FROM fx_budget_outlays WHERE fiscal_year BETWEEN 2014 AND 2020 GROUP BY 1)""",
+    "fx_budget_outlays",
+)
+
+
+def _normal(z: str) -> str:
+    """Two-sided probability of a normal value nearer to 0."""
+    x = f"(abs({z}) / sqrt(2.0::DOUBLE))"
+    t = f"(1 / (1 + 0.3275911 * {x}))"
+    poly = f"({t} * (0.254829592 + {t} * (-0.284496736 + {t} * (1.421413741 + {t} * (-1.453152027 + {t} * 1.061405429)))))"
+    return f"(1 - {poly} * exp(-{x} * {x}))"
+
+
+_SERIES_TOTALS = f"totals AS (SELECT series_id AS category, year, {_money('numeric_value')} AS total FROM fx_time_series_data GROUP BY 1, 2)"
+_add(
+    "d5_confident_trend",
+    """, fitted AS (SELECT category, round(regr_slope(total, year - 2014), 2) AS slope, COUNT(*) AS years, abs(corr(year::DOUBLE, total)) AS r FROM totals GROUP BY 1),
+angled AS (SELECT *, years - 2 AS v, atan(r * sqrt((years - 2) / greatest(1 - r * r, 1e-12)) / sqrt(years - 2)) AS a FROM fitted WHERE years > 2),
+summed AS (SELECT *, 1 + coalesce(list_sum(list_transform(range(1, (CASE WHEN v % 2 = 1 THEN (v - 1) // 2 ELSE v // 2 END)::BIGINT), lambda k:
+  pow(cos(a), 2 * k) * list_product(list_transform(range(1, k + 1), lambda j: CASE WHEN v % 2 = 1 THEN 2.0 * j / (2 * j + 1) ELSE (2.0 * j - 1) / (2 * j) END)))), 0) AS s FROM angled),
+told AS (SELECT category, slope, years, CASE WHEN v % 2 = 1 THEN 2 / pi() * (a + CASE WHEN v > 1 THEN sin(a) * cos(a) * s ELSE 0 END) ELSE sin(a) * s END AS confidence FROM summed)
+SELECT category, slope, years, round(confidence, 4) AS confidence FROM told WHERE confidence >= 0.1""",
+    "fx_time_series_data",
+    ctes=_SERIES_TOTALS,
+)
+_add(
+    "d5_confident_correlation",
+    f"""SELECT category1, category2, years, round(r, 6) AS correlation, round(c, 4) AS confidence FROM (SELECT *, {_normal('(atanh(greatest(least(r, 1 - 1e-12), -1 + 1e-12)) * sqrt(years - 3))')} AS c FROM (
+SELECT a.category AS category1, b.category AS category2, COUNT(*) AS years, corr(a.total, b.total) AS r
+FROM totals a JOIN totals b ON a.year = b.year AND a.category < b.category GROUP BY 1, 2) WHERE years > 3) WHERE c >= 0.5""",
+    "fx_time_series_data",
+    ctes=_SERIES_TOTALS,
+)
+_add(
+    "d5_confident_seasonal",
+    f"""SELECT series_id, period_value, round(s / n / mean, 6) AS seasonal_index, round(confidence, 4) AS confidence FROM cells JOIN (
+  SELECT series_id, mean, (1 + sign(z) * {_normal('z')}) / 2 AS confidence FROM (
+    SELECT series_id, mean, ((1 - 2 / (9 * d2)) * f - (1 - 2 / (9 * d1))) / sqrt(2 / (9 * d2) * f * f + 2 / (9 * d1)) AS z FROM (
+      SELECT series_id, total / n AS mean, k - 1.0::DOUBLE AS d1, n - k * 1.0::DOUBLE AS d2, cbrt(((m - total * total / n) / (k - 1)) / ((q - m) / (n - k))) AS f FROM (
+        SELECT series_id, COUNT(*) AS k, sum(n) AS n, sum(s) AS total, sum(s * s / n) AS m, sum(q) AS q FROM cells GROUP BY 1)))) USING (series_id)
+WHERE confidence >= 0.05""",
+    "fx_time_series_data",
+    ctes="""cells AS (SELECT series_id, period_value, CAST(sum(CAST(numeric_value AS DECIMAL(18,2))) AS DOUBLE) AS s, COUNT(*) AS n,
+  CAST(sum(CAST(CAST(numeric_value AS DECIMAL(18,2)) AS DECIMAL(15,2)) * CAST(numeric_value AS DECIMAL(15,2))) AS DOUBLE) AS q FROM fx_time_series_data GROUP BY 1, 2)""",
+)
+_add(
+    "d5_confident_cyclical",
+    f"""SELECT series_id, CAST(lag AS INT) AS lag, pairs, r AS autocorrelation, round(c, 4) AS confidence FROM (
+  SELECT *, {_normal('(atanh(greatest(least(r, 1 - 1e-12), -1 + 1e-12)) * sqrt(pairs - 3))')} AS c, row_number() OVER (PARTITION BY series_id ORDER BY r DESC, lag) AS place FROM (
+    SELECT a.series_id, a.month - b.month AS lag, COUNT(*) AS pairs, round(corr(a.mean, b.mean), 6) AS r
+    FROM monthly a JOIN monthly b ON a.series_id = b.series_id AND a.month - b.month BETWEEN 1 AND 24 GROUP BY 1, 2 HAVING COUNT(*) >= 12)) WHERE place = 1 AND c >= 0.5""",
+    "fx_time_series_data",
+    ctes=f"monthly AS (SELECT series_id, year * 12 + period_value AS month, {_money('numeric_value')} / COUNT(numeric_value) AS mean FROM fx_time_series_data GROUP BY 1, 2)",
+)
