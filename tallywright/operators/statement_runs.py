@@ -9,9 +9,11 @@ holds the statement texts of the running batches and a short status per statemen
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable, Iterator
 from concurrent.futures import FIRST_COMPLETED, ThreadPoolExecutor, wait
 from functools import reduce
+from hashlib import sha256
 from itertools import islice
 
 from py4j.java_gateway import JavaObject
@@ -52,6 +54,8 @@ REFUSED_FUNCTIONS = {
 # Error classes that mean "not this SQL dialect" rather than "wrong query".
 DIALECT_CLASSES = ("PARSE_SYNTAX_ERROR", "UNRESOLVED_ROUTINE")
 INDEX_BITS = 33
+WIDEST = (1 << 31) - 1  # plans are written out in full
+RENAMED = re.compile(r"(none#\d+L?) AS #\d+L?")
 
 
 def statement_id(sql: Column, cleaned: bool = False) -> Column:
@@ -83,10 +87,49 @@ class StatementRules:
             tables = [t.name for t in spark.catalog.listTables() if t.isTemporary]
         self.tables = {t.lower() for t in tables}
 
+    def _parsed(self, sql: str) -> JavaObject:
+        return self.spark._jsparkSession.sessionState().sqlParser().parsePlan(sql)
+
     def refusal(self, sql: str) -> str | None:
         """Why a statement is not run, or None. Raises the parser's error for what is no SQL."""
-        plan = self.spark._jsparkSession.sessionState().sqlParser().parsePlan(sql)
-        return self._plan(plan, self.tables)
+        return self._plan(self._parsed(sql), self.tables)
+
+    def meaning(self, sql: str) -> str | None:
+        """A hash that statements share only if they have the same result; None for what is refused or not repeatable.
+
+        It covers the analysed plan without aliases and expression ids, the tables in the order of the plan's leaves
+        (as a canonical relation does not name its own), and which output names repeat.
+        """
+        parsed = self._parsed(sql)
+        if self._plan(parsed, self.tables):
+            return None
+        df = self.spark.sql(sql)
+        plan = df._jdf.queryExecution().analyzed()
+        if not plan.deterministic():
+            return None
+        tables = [str(r.multipartIdentifier()).lower() for r in self._relations(parsed)]
+        # A column under a name of its own is that column.
+        text = RENAMED.sub(r"\1", plan.canonicalized().treeString(True, False, WIDEST, False, False))
+        last = sorted({name: i for i, name in enumerate(df.columns)}.values())
+        types = [kind for _, kind in df.dtypes]
+        return sha256(repr((text, types, tables, last)).encode()).hexdigest()
+
+    def _relations(self, plan: JavaObject) -> Iterator[JavaObject]:
+        if _name(plan) == "UnresolvedRelation":
+            yield plan
+        if _name(plan) == "UnresolvedWith":
+            for pair in _each(plan.cteRelations()):
+                yield from self._relations(pair.productElement(1))
+        for expression in _each(plan.expressions()):
+            yield from self._inside(expression)
+        for child in _each(plan.children()):
+            yield from self._relations(child)
+
+    def _inside(self, node: JavaObject) -> Iterator[JavaObject]:
+        if _holds_plan(node):
+            yield from self._relations(node.plan())
+        for child in _each(node.children()):
+            yield from self._inside(child)
 
     def _plan(self, plan: JavaObject, tables: set[str]) -> str | None:
         kind = _name(plan)
@@ -143,9 +186,15 @@ class StatementRules:
         return None
 
 
+_PLAN_HOLDERS: dict[str, bool] = {}
+
+
 def _holds_plan(node: JavaObject) -> bool:
-    """Whether an expression holds a query: a scalar, IN or EXISTS subquery."""
-    return any(m.getName() == "plan" and m.getParameterCount() == 0 for m in node.getClass().getMethods())
+    """Whether an expression holds a query: a scalar, IN or EXISTS subquery. A class is looked at once."""
+    kind = node.getClass().getName()
+    if kind not in _PLAN_HOLDERS:
+        _PLAN_HOLDERS[kind] = any(m.getName() == "plan" and m.getParameterCount() == 0 for m in node.getClass().getMethods())
+    return _PLAN_HOLDERS[kind]
 
 
 def result_rows(df: DataFrame, digits: int | None = ROUND_DIGITS) -> DataFrame:
@@ -225,6 +274,42 @@ def _statuses(
             yield from f.result()
 
 
+def same_results(distinct: DataFrame, rules: StatementRules, folder: str, batch: int = 1000) -> DataFrame:
+    """``(sql_id, result_id)``: statements of one meaning share the least of their ids.
+
+    Each statement is analysed, not run; hashes go to the shared folder and are grouped there. A statement that
+    fails, is refused or is not repeatable stands for itself.
+    """
+    pending: list[tuple[str, str]] = []
+
+    def flush() -> None:
+        distinct.sparkSession.createDataFrame(pending, "sql_id string, meaning string").coalesce(1).write.mode("append").parquet(f"{folder}/meanings")
+        pending.clear()
+
+    for row in distinct.toLocalIterator():
+        meaning = None
+        if row.sql:
+            try:
+                meaning = rules.meaning(row.sql)
+            except Exception:  # its run reports why
+                meaning = None
+        pending.append((row.sql_id, meaning or row.sql_id))
+        if len(pending) >= batch:
+            flush()
+    flush()
+    known = distinct.sparkSession.read.schema("sql_id string, meaning string").parquet(f"{folder}/meanings")
+    least = known.groupBy("meaning").agg(F.min("sql_id").alias("result_id"))
+    return known.join(least, "meaning").select("sql_id", "result_id")
+
+
+def by_result(pairs: DataFrame, status: DataFrame, *columns: str) -> DataFrame:
+    """Pairs with the statements in ``columns`` replaced by the ones whose rows they share, each pair once."""
+    for column in columns:
+        ids = status.select(F.col("sql_id").alias(column), "result_id")
+        pairs = pairs.join(ids, column).drop(column).withColumnRenamed("result_id", column)
+    return pairs.distinct()
+
+
 def run_statements(
     statements: DataFrame,
     sql: str = "sql",
@@ -235,9 +320,13 @@ def run_statements(
     tables: Iterable[str] | None = None,
     together: int = 8,
     numbered: bool = True,
+    by_meaning: bool = False,
 ) -> tuple[DataFrame, DataFrame]:
     """Run each distinct statement once; give ``(status, rows)`` keyed by ``sql_id``.
 
+    ``by_meaning`` runs statements of the same analysed plan once, whatever their blanks and aliases: the status of each
+    names in ``result_id`` the statement whose rows it shares (see ``by_result``).
+
     Statements may read ``tables``, by default the session's temporary views, and run ``together`` in one job.
     Without ``numbered`` the rows carry no ``pos``.
 
@@ -261,6 +350,10 @@ def run_statements(
         pending.clear()
 
     rules = StatementRules(spark, tables)
+    shared = None
+    if by_meaning:
+        shared = same_results(distinct, rules, folder, batch)
+        distinct = distinct.join(shared.where("sql_id = result_id").select("sql_id"), "sql_id")
     for status in _statuses(rules, distinct.toLocalIterator(), folder, parallel, digits, together):
         any_rows = any_rows or status[1] == "ok"
         pending.append(status)
@@ -268,6 +361,8 @@ def run_statements(
             flush()
     flush()
     status = spark.read.schema(STATUS).parquet(f"{folder}/status")
+    if shared is not None:
+        status = shared.join(status.withColumnRenamed("sql_id", "result_id"), "result_id").select("sql_id", "status", "message", "result_id")
     if any_rows:
         rows = spark.read.schema(ROWS).parquet(f"{folder}/rows")
     else:

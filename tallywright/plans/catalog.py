@@ -442,6 +442,30 @@ def _(spark, sf):
     return rows.groupBy("sql_id").agg(F.count("*").alias("n_rows"), F.max("pos").alias("last_pos"))
 
 
+@query("m1_same_meaning")
+def _(spark, sf):
+    """Statements that differ in blanks, case of words and aliases run once, per year of the data."""
+    register_facts({"budget_outlays": view(spark, sf, "fx_budget_outlays")})
+    years = view(spark, sf, "fx_budget_outlays").select("fiscal_year").distinct()
+    forms = [
+        ("count", "SELECT count(*) AS n FROM budget_outlays WHERE fiscal_year = "),
+        ("count", "select  COUNT(*)  AS total from budget_outlays where fiscal_year = "),
+        ("count", "SELECT count(*) FROM budget_outlays b WHERE b.fiscal_year = "),
+        ("sum", "SELECT sum(outlay_amount) AS n FROM budget_outlays WHERE fiscal_year = "),
+        ("broken", "SELECT none FROM budget_outlays WHERE fiscal_year = "),
+        ("broken", "SELECT  none  FROM nowhere WHERE fiscal_year = "),
+    ]
+    each = F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), F.lit(t).alias("text")) for k, t in forms])).alias("form")
+    asked = years.select("fiscal_year", each).select("fiscal_year", "form.kind", F.concat("form.text", F.col("fiscal_year").cast("string")).alias("sql"))
+    status, rows = run_statements(asked, tables=["budget_outlays"], by_meaning=True, numbered=False)
+    results = rows.groupBy(F.col("sql_id").alias("result_id")).agg(F.first("row_key").alias("row_key"))
+    told = with_execution(asked, status).join(results, "result_id", "left")
+    value = F.when(F.col("kind") == "count", F.get("row_key", F.lit(0)))
+    return told.groupBy("fiscal_year", "kind").agg(
+        F.count(F.lit(1)).alias("texts"), F.count_distinct("result_id").alias("runs"), F.count_if("executed").alias("executed"), F.max(value).alias("value")
+    )
+
+
 @query("m2_ordered_equality")
 def _(spark, sf):
     return _equality(spark, sf)

@@ -1095,3 +1095,10 @@ _add(
     "fx_time_series_data",
     ctes=f"monthly AS (SELECT series_id, year * 12 + period_value AS month, {_money('numeric_value')} / COUNT(numeric_value) AS mean FROM fx_time_series_data GROUP BY 1, 2)",
 )
+_add(
+    "m1_same_meaning",
+    """, years AS (SELECT fiscal_year, COUNT(*) AS n FROM fx_budget_outlays GROUP BY 1)
+SELECT fiscal_year, kind, texts::BIGINT AS texts, runs::BIGINT AS runs, executed::BIGINT AS executed, CASE WHEN kind = 'count' THEN CAST(n AS VARCHAR) END AS value
+FROM years, (VALUES ('count', 3, 1, 3), ('sum', 1, 1, 1), ('broken', 2, 2, 0)) f(kind, texts, runs, executed)""",
+    "fx_budget_outlays",
+)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tallywright.operators import metrics, presence, returned_rows
 from tallywright.operators.positions import dense_positions
+from tallywright.operators.statement_runs import by_result, run_statements, statement_id
 from tallywright.plans import evaluations
 from tallywright.sources import run_store, sinks
 
@@ -164,6 +165,42 @@ def test_models_in_pairs_equal_sets(spark):
         assert r.only_b_right == sum(right[y, s] and not right[x, s] for s in common)
 
 
+def test_statements_of_one_meaning_run_once(spark):
+    spark.createDataFrame([(1, 2), (3, 4)], "a int, b int").createOrReplaceTempView("left_table")
+    spark.createDataFrame([(5, 6), (7, 8)], "a int, b int").createOrReplaceTempView("right_table")
+    same = ["SELECT a FROM left_table", "select  a as x from left_table", "SELECT l.a FROM left_table l"]
+    others = [
+        "SELECT a FROM right_table",  # a table of the same form
+        "SELECT a, a FROM left_table",  # a repeated name hides a column
+        "SELECT a AS x, a AS y FROM left_table",
+        "SELECT a FROM left_table WHERE a IN (SELECT a FROM left_table)",
+        "SELECT a FROM left_table WHERE a IN (SELECT a FROM right_table)",
+        "SELECT l.a FROM left_table l JOIN right_table r ON l.a = r.a",
+        "SELECT l.a FROM right_table l JOIN left_table r ON l.a = r.a",
+        "WITH t AS (SELECT a FROM left_table) SELECT a FROM t",
+        "WITH t AS (SELECT a FROM right_table) SELECT a FROM t",
+        "SELECT rand() AS x FROM left_table",
+        "SELECT rand() AS y FROM left_table",
+        "SELECT broken FROM left_table",
+        "DROP TABLE left_table",
+    ]
+    asked = spark.createDataFrame([(s,) for s in same + others], "sql string")
+    tables = ["left_table", "right_table"]
+    status, rows = run_statements(asked, cleaned=True, tables=tables, by_meaning=True)
+    plain, plain_rows = run_statements(asked, cleaned=True, tables=tables)
+    got = {r.sql: (r.status, r.result_id) for r in asked.withColumn("sql_id", statement_id(F.col("sql"), True)).join(status, "sql_id").collect()}
+    assert len({got[s][1] for s in same}) == 1
+    assert len({got[s][1] for s in others} | {got[same[0]][1]}) == len(others) + 1
+    assert {(r.sql_id, r.status) for r in status.collect()} == {(r.sql_id, r.status) for r in plain.collect()}
+    # The shared rows are those that each statement has on its own.
+    keyed = lambda df: sorted((r.sql_id, r.pos, tuple(r.row_key), tuple(r.ordered_key)) for r in df.collect())
+    steady = {r.sql_id for r in asked.where("sql NOT LIKE '%rand%'").select(statement_id(F.col("sql"), True).alias("sql_id")).collect()}
+    expanded = status.join(rows.withColumnRenamed("sql_id", "result_id"), "result_id")
+    assert [k for k in keyed(expanded) if k[0] in steady] == [k for k in keyed(plain_rows) if k[0] in steady]
+    pairs = status.select("sql_id", F.lit(1).alias("sample_id"))
+    assert by_result(pairs, status, "sql_id").count() == len(others) + 1
+
+
 @pytest.mark.parametrize("range_rows", [1 << 18, 10, 1])
 def test_positions_of_null_groups_and_values(spark, range_rows):
     rng = random.Random(4)
