@@ -1,17 +1,20 @@
-"""Near-duplicate vectors by comparing overlapping shards that are visited by range.
+"""Near-duplicate vectors by range search in robust-pruned graphs of overlapping shards.
 
 Vectors are clustered around centroids fitted on a bounded sample, and each belongs to the shards of
-its ``COPIES`` nearest centroids, so shards overlap. Every vector is then a query in the shards of its
-``PROBES`` nearest centroids and of every other centroid whose angle allows a link to a vector within ``CORE`` of it. So
-all links of a dense group are met, however many shards it is spread over; only links between vectors far from all
-centroids rely on the fixed number of probes. A shard's vectors are compared whole with its queries, and links near the
-threshold are decided in double precision. A shard over ``BLOCK`` vectors is split into blocks that are all
-searched, and its queries into chunks, so that a task's share is bounded.
+its ``COPIES`` nearest centroids, so shards overlap. Over each shard, in blocks of ``BLOCK`` vectors at most, a robust-pruned graph is
+built; a node's adjacency lists from all its shards are united, and a block's graph holds the united lists of its nodes.
+Every vector is then a query in the shards of its nearest centroids (``PROBES`` at first) and of every other centroid whose angle
+allows a link to a vector within ``CORE`` of it: a greedy search from the block's medoid, which expands all nodes in range.
+Pairs found near the threshold are verified in double precision.
+
+Recall is audited twice. In each block the queries whose id ``AUDIT`` divides are compared with the whole block;
+where the search caught too few of their links, it is repeated with a wider beam, and in the end the block is
+compared whole. Then a bounded sample of vectors is compared with all vectors; while fewer than ``LEAST_RECALL`` of its links
+are counted, the probes are doubled.
 
 Equal vectors are one node with a weight, and each block reports only counts and a spanning forest of its links,
 so a large group of copies or near copies is not expanded into pairs. A pair that meets in
-several shards is counted in one of them, and for both its ends even if only one of them visits the other's shards. ``audit_recall`` compares with brute force on a sample of queries.
-``build`` and ``range_search`` are a robust-pruned graph of one shard and its search; the operator does not need them.
+several shards is counted in one of them, and for both its ends even if only one of them visits the other's shards.
 
 Defined cases: vectors that are null, empty, zero or hold null or non-finite components link with nothing and are
 kept. Vectors of different length never link. A null id is no component's least id: its component is
@@ -36,7 +39,12 @@ BLOCK = 4096
 CHUNK = 16384
 COPIES = 2
 PROBES = 4
-CORE = 0.8  # links to vectors at least this near their centroid are all met
+CORE = 0.97  # the shards of links to vectors at least this near their centroid are all visited
+AUDIT = 50
+AUDITED = 256  # vectors compared with all others
+LEAST_RECALL = 0.95
+LEAST_CAUGHT = 0.99
+WIDER = 3  # times that a block's beam is doubled
 QUERIES = 512
 MAX_CELLS = 4096
 SAMPLE_PER_CELL = 256
@@ -49,7 +57,7 @@ ALPHA = 1.2
 BEAM = 24
 SLACK = 1e-4  # for single precision; links are verified afterwards
 
-MEMBERS = "node bigint, vector array<float>, weight bigint, cells array<int>"
+MEMBERS = "node bigint, vector array<double>, weight bigint, cells array<int>"
 
 
 def usable(vector: Column) -> Column:
@@ -93,13 +101,13 @@ def reach_cosine(threshold: float) -> float:
     return float(np.cos(min(np.pi, np.arccos(min(1.0, threshold)) + np.arccos(CORE))))
 
 
-def assigned(nodes: DataFrame, centroids: np.ndarray, least: float) -> DataFrame:
+def assigned(nodes: DataFrame, centroids: np.ndarray, least: float, probes: int = PROBES) -> DataFrame:
     """``nodes`` (``node, vector, weight``) with the cells to visit, nearest first.
 
-    These are the ``PROBES`` nearest and all others from a cosine of ``least``, however many.
+    These are the ``probes`` nearest and all others from a cosine of ``least``, however many.
     """
     shared = nodes.sparkSession.sparkContext.broadcast(centroids)  # at most MAX_CELLS vectors
-    width = min(PROBES, len(centroids))
+    width = min(probes, len(centroids))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         centroids = shared.value
@@ -266,7 +274,7 @@ class Lists(NamedTuple):
         return np.repeat(q, counts), self.ends[place]
 
 
-def range_search(x: np.ndarray, lists: Lists, queries: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+def range_search(x: np.ndarray, lists: Lists, queries: np.ndarray, threshold: float, beam: int = BEAM) -> tuple[np.ndarray, np.ndarray]:
     """Pairs (query, node) with a cosine from ``threshold``, as far as the graph leads.
 
     A beam search from the medoid, two nodes of each query's beam at a time, then an expansion of all nodes in range.
@@ -275,11 +283,11 @@ def range_search(x: np.ndarray, lists: Lists, queries: np.ndarray, threshold: fl
     rows = np.arange(b)
     seen = np.zeros((b, n), bool)
     start = medoid(x)
-    ids = np.full((b, BEAM), -1, np.int64)
-    value = np.full((b, BEAM), -3, np.float32)
+    ids = np.full((b, beam), -1, np.int64)
+    value = np.full((b, beam), -3, np.float32)
     ids[:, 0], value[:, 0] = start, queries @ x[start]
     seen[:, start] = True
-    done = np.ones((b, BEAM), bool)
+    done = np.ones((b, beam), bool)
     done[:, 0] = False
     pairs_q, pairs_n = [], []
 
@@ -307,7 +315,7 @@ def range_search(x: np.ndarray, lists: Lists, queries: np.ndarray, threshold: fl
         seen[eq, en] = True
         v = np.einsum("ij,ij->i", queries[eq], x[en])
         in_range(eq, en, v)
-        # The best BEAM of the old beam and the new nodes.
+        # The best of the old beam and the new nodes.
         counts = np.bincount(eq, minlength=b)[active]
         width = int(counts.max()) if len(counts) else 0
         slot = np.full((len(active), width), -1, np.int64)
@@ -320,7 +328,7 @@ def range_search(x: np.ndarray, lists: Lists, queries: np.ndarray, threshold: fl
         all_ids = np.concatenate([ids[active], slot], axis=1)
         all_value = np.concatenate([value[active], score], axis=1)
         all_done = np.concatenate([done[active], slot < 0], axis=1)
-        best = np.argpartition(-all_value, BEAM - 1, axis=1)[:, :BEAM]
+        best = np.argpartition(-all_value, beam - 1, axis=1)[:, :beam]
         ids[active] = np.take_along_axis(all_ids, best, axis=1)
         value[active] = np.take_along_axis(all_value, best, axis=1)
         done[active] = np.take_along_axis(all_done, best, axis=1)
@@ -371,10 +379,34 @@ def spanning(hit: np.ndarray, asked: np.ndarray, nodes: np.ndarray) -> tuple[np.
     return ids[ids != least], least[ids != least]
 
 
+def block_lists(members: pa.Table, seed: int) -> pa.Table:
+    """``(node, ends)``: the pruned adjacency lists of a block's graph, by node id."""
+    order = np.argsort(members["node"].to_numpy())  # the same graph whatever the order of the rows
+    nodes = members["node"].to_numpy()[order]
+    lists = build(rows_of(members["vector"])[order], seed)
+    offsets = np.r_[0, np.cumsum([len(x) for x in lists])].astype(np.int32)
+    ends = nodes[np.concatenate(lists).astype(np.int64)]
+    return pa.table({"node": nodes, "ends": pa.ListArray.from_arrays(pa.array(offsets), pa.array(ends, pa.int64()))})
+
+
+def local_lists(nodes: np.ndarray, ends: pa.Array) -> Lists:
+    """The united lists of a block's nodes by place, as far as they stay in the block."""
+    if isinstance(ends, pa.ChunkedArray):
+        ends = ends.combine_chunks()
+    tail = np.repeat(np.arange(len(nodes)), np.diff(ends.offsets.to_numpy()))
+    head = ends.flatten().to_numpy()
+    order = np.argsort(nodes)
+    place = np.minimum(np.searchsorted(nodes[order], head), len(nodes) - 1)
+    inside = nodes[order][place] == head
+    tail, head = tail[inside], order[place[inside]]
+    return Lists(np.r_[0, np.cumsum(np.bincount(tail, minlength=len(nodes)))], head)
+
+
 def search_block(members: pa.Table, queries: pa.Table, cell: int, cells: int, threshold: float) -> pa.Table:
-    """Counts and a spanning forest of the links of a block's queries to its nodes, compared whole."""
+    """Counts and a spanning forest of the links of a block's queries to its nodes, from the block's graph."""
     nodes = members["node"].to_numpy()
     exact = normal(rows_of(members["vector"]))
+    graph = local_lists(nodes, members["ends"])
     weight = members["weight"].to_numpy().astype(np.float64)
     width = min(COPIES, cells)
     home = first_cells(members["cells"], width)[:, 0]
@@ -387,12 +419,35 @@ def search_block(members: pa.Table, queries: pa.Table, cell: int, cells: int, th
     asked_weight = queries["asked_weight"].to_numpy().astype(np.float64)
     links, mirrored = np.zeros(len(asked)), np.zeros(len(nodes))
     edges: list[tuple[np.ndarray, np.ndarray]] = []
+
+    def verified(at: int, q: np.ndarray, k: np.ndarray) -> np.ndarray:
+        """A matrix of the pairs (q, k), of queries from ``at``, that are links in double precision."""
+        hit = np.zeros((min(QUERIES, len(asked) - at), len(nodes)), bool)
+        for some in range(0, len(q), 1 << 18):
+            part = slice(some, some + (1 << 18))
+            hit[q[part], k[part]] = np.einsum("ij,ij->i", wanted[at + q[part]], exact[k[part]]) >= threshold
+        return hit & (asked[at : at + QUERIES, None] != nodes)
+
+    def compared(at: int, rows: np.ndarray) -> np.ndarray:
+        q, k = np.nonzero(wanted[at + rows].astype(np.float32) @ x.T >= threshold - SLACK)
+        return verified(at, rows[q], k)
+
+    beam, audited, caught = BEAM, 0, 0
     for at in range(0, len(asked), QUERIES):
-        near = wanted[at : at + QUERIES].astype(np.float32) @ x.T
-        hit = near >= threshold + SLACK
-        q, k = np.nonzero((near >= threshold - SLACK) & ~hit)
-        hit[q, k] = np.einsum("ij,ij->i", wanted[at + q], exact[k]) >= threshold
-        hit &= asked[at : at + QUERIES, None] != nodes
+        some = wanted[at : at + QUERIES].astype(np.float32)
+        checked = np.flatnonzero(asked[at : at + QUERIES] % AUDIT == 0)
+        true = compared(at, checked)[checked] if len(checked) else np.zeros((0, len(nodes)), bool)
+        for attempt in range(WIDER + 2):
+            if attempt > WIDER:
+                hit = compared(at, np.arange(len(some)))  # the audit's last resort
+                break
+            hit = verified(at, *range_search(x, graph, some, threshold - SLACK, beam))
+            if attempt == 0:
+                audited, caught = audited + int(true.sum()), caught + int((true & hit[checked]).sum())
+            if (true & hit[checked]).sum() >= LEAST_CAUGHT * true.sum():
+                break
+            beam = 2 * beam
+        hit[checked] |= true
         rows, columns = np.flatnonzero(hit.any(axis=1)), np.flatnonzero(hit.any(axis=0))
         if not len(rows):
             continue
@@ -411,11 +466,21 @@ def search_block(members: pa.Table, queries: pa.Table, cell: int, cells: int, th
         a, b = forest(a, b)
     ends, counts = np.r_[asked, nodes], np.r_[links, mirrored].astype(np.int64)
     ends, counts = ends[counts > 0], counts[counts > 0]
-    return pa.table({"a": np.r_[a, ends], "b": np.r_[b, np.zeros_like(ends)], "n": np.r_[np.zeros(len(a), np.int64), counts]})
+    # The last row tells the audit: links of the audited queries, and those of them that the first search caught.
+    return pa.table(
+        {
+            "a": np.r_[a, ends, audited],
+            "b": np.r_[b, np.zeros_like(ends), caught],
+            "n": np.r_[np.zeros(len(a), np.int64), counts, -1],
+        }
+    )
 
 
-def links_of(nodes: DataFrame, threshold: float) -> DataFrame:
-    """``(a, b, n)``: edges of components where ``n`` is 0, else ``n`` links of node ``a``; one vector length."""
+def links_of(nodes: DataFrame, threshold: float, probes: int = PROBES) -> DataFrame:
+    """``(a, b, n)``: edges of components where ``n`` is 0, ``n`` links of node ``a`` where it is more; one vector length.
+
+    Rows with ``n`` -1 hold a block's audited links and those that the search caught at once.
+    """
     total = nodes.count()
     cells = max(1, min(MAX_CELLS, -(-total // BLOCK) * 2))
     share = min(1.0, min(MAX_SAMPLE, SAMPLE_PER_CELL * cells) / max(total, 1))
@@ -424,9 +489,17 @@ def links_of(nodes: DataFrame, threshold: float) -> DataFrame:
     if sample.num_rows == 0:
         sample = nodes.orderBy("node").limit(1).select("vector").toArrow()
     centroids = fit_centroids(rows_of(sample["vector"]), cells)
-    rows = stored(assigned(nodes, centroids, reach_cosine(threshold)), "assigned")
+    rows = stored(assigned(nodes, centroids, reach_cosine(threshold), probes), "assigned")
     layout = _layout(rows, len(centroids))
-    held = _members(rows, layout).select("*", F.explode(F.sequence(F.lit(0), _pick(layout.chunks, F.col("cell")) - 1)).alias("chunk"))
+    members = _members(rows, layout)
+
+    def build_block(key: tuple[pa.Scalar, ...], block: pa.Table) -> pa.Table:
+        return block_lists(block, key[0].as_py())
+
+    lists = members.select("cell", "block", "node", "vector").groupBy("cell", "block").applyInArrow(build_block, "node bigint, ends array<bigint>")
+    # A node is in a fixed number of shards, so its united list is bounded.
+    united = stored(lists.groupBy("node").agg(F.array_distinct(F.flatten(F.collect_list("ends"))).alias("ends")), "lists")
+    held = members.join(united, "node").select("*", F.explode(F.sequence(F.lit(0), _pick(layout.chunks, F.col("cell")) - 1)).alias("chunk"))
     asked = rows.select("*", F.explode("cells").alias("cell"))
     chunk = F.pmod(F.xxhash64("cell", "node"), _pick(layout.chunks, F.col("cell")).cast("bigint")).cast("int")
     asked = asked.withColumn("chunk", chunk).select("*", F.explode(F.sequence(F.lit(0), _pick(layout.blocks, F.col("cell")) - 1)).alias("block"))
@@ -437,18 +510,49 @@ def links_of(nodes: DataFrame, threshold: float) -> DataFrame:
         return search_block(left, right, key[0].as_py(), len(centroids), threshold)
 
     by = ["cell", "block", "chunk"]
-    left = held.select(*by, "node", "vector", "weight", "cells").groupBy(*by)
+    left = held.select(*by, "node", "vector", "weight", "cells", "ends").groupBy(*by)
     # Names of its own: both sides stem from one table.
     right = asked.select(*[F.col(c).alias(f"asked_{c}") for c in [*by, "node", "vector", "weight", "cells"]]).groupBy(*[f"asked_{c}" for c in by])
     return left.cogroup(right).applyInArrow(run, "a bigint, b bigint, n bigint")
 
 
+def sampled_recall(nodes: DataFrame, found: DataFrame, threshold: float, sample: int = AUDITED) -> float:
+    """Share of the links of ``sample`` nodes, those of least hashed id, that ``found`` counts: one pass over all nodes."""
+    picked = nodes.orderBy(F.xxhash64(F.lit(5), "node"), "node").limit(sample).select("node", "vector").toArrow()
+    if picked.num_rows == 0:
+        return 1.0
+    ids, wanted = picked["node"].to_numpy(), normal(rows_of(picked["vector"]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = np.zeros(len(ids), np.int64)
+        for batch in batches:
+            near = wanted @ normal(rows_of(batch["vector"])).T >= threshold
+            near &= ids[:, None] != batch["node"].to_numpy()
+            n += near @ batch["weight"].to_numpy()
+        yield pa.RecordBatch.from_pydict({"node": ids, "true": n})
+
+    true = nodes.select("node", "vector", "weight").mapInArrow(run, "node bigint, true bigint").groupBy("node").agg(F.sum("true").alias("true"))
+    counts = found.where("n > 0").groupBy(F.col("a").alias("node")).agg(F.sum("n").alias("n"))
+    both = true.join(counts, "node", "left").agg(F.sum(F.least("true", F.coalesce("n", F.lit(0)))), F.sum("true")).first()
+    return both[0] / both[1] if both[1] else 1.0
+
+
+def audited_links(nodes: DataFrame, threshold: float) -> DataFrame:
+    """``links_of`` with as many probes as the sample's recall asks for."""
+    probes = PROBES
+    while True:
+        found = stored(links_of(nodes, threshold, probes), "found")
+        if sampled_recall(nodes, found, threshold) >= LEAST_RECALL or probes >= MAX_CELLS:
+            return found
+        probes = 2 * probes
+
+
 def near_duplicate_vectors(rows: DataFrame, threshold: float = THRESHOLD, spread: Callable[[DataFrame], DataFrame] = lambda df: df) -> DataFrame:
     """Links and components of all rows of ``rows`` (``vec_id``, ``embedding``).
 
     Returns ``vec_id, n_links, component_id, kept`` per row.
     """
-    base = spread(rows.select(F.col("vec_id").cast("bigint").alias("vec_id"), F.col("embedding").cast("array<float>").alias("vector")))
+    base = spread(rows.select(F.col("vec_id").cast("bigint").alias("vec_id"), F.col("embedding").cast("array<double>").alias("vector")))
     fit = usable(F.col("vector")) & F.col("vec_id").isNotNull()
     same = ["h1", "h2", "width"]
     key = [F.xxhash64("vector").alias("h1"), F.xxhash64(F.lit(1), F.reverse("vector")).alias("h2"), F.size("vector").alias("width")]
@@ -457,7 +561,7 @@ def near_duplicate_vectors(rows: DataFrame, threshold: float = THRESHOLD, spread
     nodes = stored(nodes, "nodes")
     found = None
     for (width,) in nodes.select("width").distinct().collect():
-        some = links_of(nodes.where(F.col("width") == width), threshold)
+        some = audited_links(nodes.where(F.col("width") == width), threshold)
         found = some if found is None else found.unionByName(some)
     out = base.select("vec_id", F.when(fit, key[0]).alias("h1"), F.when(fit, key[1]).alias("h2"), F.when(fit, key[2]).alias("width"))
     if found is None:
