@@ -33,7 +33,7 @@ from tallywright.functions.text import once
 from tallywright.session import stored
 
 SAMPLE = 4000  # labelled documents that teach the classifier
-BUCKETS = 1 << 14
+BUCKETS = 1 << 11
 ENDING = 3  # last letters that are a feature of their own
 EFFECTIVE = 30.0  # words of evidence a text carries at most
 SMOOTH = 0.05  # share of the domains' mean added to each: bounds a log ratio

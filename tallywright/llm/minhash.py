@@ -343,9 +343,15 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, spread: C
 def one_of_each(docs: DataFrame, size: int = 5, percent: int = 80, spread: Callable[[DataFrame], DataFrame] = lambda df: df) -> DataFrame:
     """The rows of ``docs``, all columns, that stay when one document of each class is kept.
 
-    Of rows that share a kept id one stays; rows with a null id all stay.
+    Of rows that share a kept id and their text one stays; rows of one id with different texts are documents of
+    their own, known by a hash of both, and rows with a null id all stay.
     """
-    found = near_duplicates(docs, size, percent, spread)
-    stay = found.where("kept AND doc_id IS NOT NULL").select(F.col("doc_id").alias("stay_id")).distinct()
-    named = docs.join(stay, F.col("doc_id") == F.col("stay_id"), "left_semi").dropDuplicates(["doc_id"])
-    return named.unionByName(docs.where(F.col("doc_id").isNull()))
+    key = F.xxhash64(F.col("text").cast("binary"))
+    several = docs.where(F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").alias("_shared")).agg(F.min(key).alias("low"), F.max(key).alias("high"))
+    several = stored(several.where("low <> high").select("_shared"), "shared_ids")
+    own = F.when(F.col("_shared").isNull(), F.col("doc_id").cast("bigint")).otherwise(F.xxhash64("doc_id", F.col("text").cast("binary")))
+    named = docs.join(several, F.col("doc_id") == F.col("_shared"), "left").withColumn("_own", own)
+    found = near_duplicates(named.select(F.col("_own").alias("doc_id"), "text"), size, percent, spread)
+    stay = found.where("kept AND doc_id IS NOT NULL").select(F.col("doc_id").alias("_stay")).distinct()
+    kept = named.join(stay, F.col("_own") == F.col("_stay"), "left_semi").dropDuplicates(["_own"])
+    return kept.select(*docs.columns).unionByName(docs.where(F.col("doc_id").isNull()))

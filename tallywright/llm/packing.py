@@ -32,7 +32,7 @@ CAPACITY = 2048
 UNIT = 4
 CELL = 4096
 END_ID = 1
-CACHE_ENTRIES = 1_500_000
+CACHE_ENTRIES = 600_000
 SLICE_BYTES = 1 << 21
 MARK, LETTER = np.zeros(256, bool), np.zeros(256, bool)
 MARK[list(b".,!?;:|")] = True

@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from tallywright.session import stored
 
 BUCKET_BYTES = 8 << 20
+RUN = 4096  # buckets
 LAW = "rows"
 
 
@@ -49,9 +50,13 @@ def shards(df: DataFrame, n_shards: int = 8, text: str = "text", seed: int = 20)
     """
     rows = shuffled(df, text, seed)
     counts = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"))
-    # One row per bucket of megabytes: offsets of all buckets.
-    before = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = stored(counts.select("bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first")), "offsets")
+    # Offsets of all buckets: sums inside a run of buckets, and of the runs before, of which there are few.
+    counts = counts.withColumn("run", F.floor(F.col("bucket") / RUN))
+    inside = Window.partitionBy("run").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    earlier = Window.orderBy("run").rowsBetween(Window.unboundedPreceding, -1)
+    runs = counts.groupBy("run").agg(F.sum("n").alias("n")).select("run", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("start"))
+    first = (F.col("start") + F.coalesce(F.sum("n").over(inside), F.lit(0))).alias("first")
+    offsets = stored(counts.join(runs, "run").select("bucket", first), "offsets")
     index = F.col("first") + F.col("place")
     placed = rows.join(offsets, "bucket").withColumn("index", index)
     return placed.select("record", F.pmod("index", F.lit(n_shards)).cast("int").alias("shard"), F.floor(F.col("index") / n_shards).alias("slot"))

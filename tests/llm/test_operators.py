@@ -474,6 +474,16 @@ def test_graph_recall_in_dense_groups():
     assert len(q) >= 0.99 * (unit @ unit.T >= 0.9).sum()
 
 
+def test_one_of_each_keeps_every_text_of_a_shared_id(spark):
+    a, b, c = (" ".join(f"{x}{k}" for k in range(30)) for x in "abc")
+    rows = [(1, a), (1, b), (2, a), (5, a + " more"), (5, c), (5, c), (None, a), (7, None), (7, "")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").withColumn("text_key", F.lit("mine"))
+    got = [(r.doc_id, r.text) for r in minhash.one_of_each(df).collect()]
+    copies = [(1, a), (2, a), (5, a + " more")]
+    assert sum(g in copies for g in got) == 1  # which of them follows from the hashes of shared ids
+    assert sorted((g for g in got if g not in copies), key=str) == sorted([(1, b), (5, c), (None, a), (7, None), (7, "")], key=str)
+
+
 @pytest.mark.parametrize("made", ["toxicity", "network", "rules", "minhash", "lm", "packing", "sharding", "mixing", "chats", "vectors"])
 def test_empty_tables(spark, made):
     docs = spark.createDataFrame([], DOCS)
