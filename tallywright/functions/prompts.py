@@ -30,8 +30,39 @@ SYSTEM_TEXT = {
 }
 
 
+# What each table holds, and by which columns a sample query sums it up.
+HOLDS = {
+    "budget_outlays": "federal spending per budget function and fiscal year",
+    "time_series_data": "indicator values of the statistics bureaus, per series and period",
+    "industry_gdp": "an industry's share of output, per year",
+    "regional_data": "income and population of each state, per year",
+    "gdp_by_industry": "an industry's contribution to output, per quarter",
+    "economic_indicators": "the catalogue of indicators with their sources",
+}
+SAMPLE_COLUMNS = {
+    "budget_outlays": ("function_name", "outlay_amount", "fiscal_year"),
+    "time_series_data": ("series_id", "numeric_value", "year"),
+    "industry_gdp": ("industry_name", "gdp_value", "year"),
+    "regional_data": ("state_name", "personal_income", "year"),
+    "gdp_by_industry": ("industry_name", "gdp_contribution", "year"),
+}
+# The categories that questions name.
+KEY_CATEGORIES = {"time_series_data": ["consumer_price_index", "employment_cost_index", "productivity_measures"]}
+
+
+def sample_query(table: str) -> str:
+    """The largest groups of a table in the year before its last, or the sources of a catalogue."""
+    if table not in SAMPLE_COLUMNS:
+        return f"SELECT source, COUNT(*) AS n FROM {table} GROUP BY source"
+    group, amount, year = SAMPLE_COLUMNS[table]
+    return f"SELECT {group}, SUM({amount}) AS amount FROM {table} WHERE {year} = {LAST_YEAR - 1} GROUP BY {group} ORDER BY amount DESC LIMIT 5"
+
+
 def schema_of(table: str) -> str:
-    return f"TABLE: {table}\nCOLUMNS: {', '.join(FACT_COLUMNS[table])}"
+    lines = [f"TABLE: {table}", f"HOLDS: {HOLDS[table]}", f"COLUMNS: {', '.join(FACT_COLUMNS[table])}"]
+    if table in KEY_CATEGORIES:
+        lines.append(f"CATEGORIES: {', '.join(KEY_CATEGORIES[table])}")
+    return "\n".join([*lines, f"SAMPLE: {sample_query(table)}"])
 
 
 def schema_text(tables: Column) -> Column:

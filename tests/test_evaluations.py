@@ -15,6 +15,7 @@ from tallywright.operators.call_execution import (
 )
 from tallywright.plans import evaluations
 from tallywright.sources import question_sets, sinks
+from tallywright.sources.fact_tables import FACT_COLUMNS, register_facts
 from tallywright.sources.responses import read_responses
 
 
@@ -426,3 +427,12 @@ def test_missing_and_unknown_answers(spark):
     assert sorted((r.run_id, r.sample_id) for r in got) == [("r2", "b"), ("r3", "a"), ("r3", "b")]
     assert evaluations.unanswered(samples, answers.where("run_id = 'r1'")).count() == 0
     assert [r.sample_id for r in evaluations.unknown_answers(samples, answers).collect()] == ["zz"]
+
+
+def test_schema_text_names_purpose_categories_and_a_query_that_runs(spark, facts):
+    register_facts(facts)
+    for table in FACT_COLUMNS:
+        text = prompts.schema_of(table)
+        assert prompts.HOLDS[table] in text and text.count("\n") == (4 if table in prompts.KEY_CATEGORIES else 3)
+        if table in facts:
+            spark.sql(prompts.sample_query(table)).collect()
