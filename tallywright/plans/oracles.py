@@ -377,7 +377,7 @@ def _lit(text: str) -> str:
 _SCHEMA_CASE = (
     "CASE t "
     + " ".join(
-        f"WHEN '{t}' THEN {_lit('TABLE: ' + t + chr(10) + 'COLUMNS: ' + ', '.join(c))}" for t, c in FACT_COLUMNS.items()
+        f"WHEN '{t}' THEN {_lit(prompts.schema_of(t))}" for t in FACT_COLUMNS
     )
     + " END"
 )
