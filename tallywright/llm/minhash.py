@@ -349,8 +349,12 @@ def one_of_each(docs: DataFrame, size: int = 5, percent: int = 80, spread: Calla
     key = F.xxhash64(F.col("text").cast("binary"))
     several = docs.where(F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").alias("_shared")).agg(F.min(key).alias("low"), F.max(key).alias("high"))
     several = stored(several.where("low <> high").select("_shared"), "shared_ids")
-    own = F.when(F.col("_shared").isNull(), F.col("doc_id").cast("bigint")).otherwise(F.xxhash64("doc_id", F.col("text").cast("binary")))
-    named = docs.join(several, F.col("doc_id") == F.col("_shared"), "left").withColumn("_own", own)
+    own = F.col("doc_id").cast("bigint")
+    named = docs
+    if not several.isEmpty():
+        named = docs.join(several, F.col("doc_id") == F.col("_shared"), "left")
+        own = F.when(F.col("_shared").isNull(), own).otherwise(F.xxhash64("doc_id", F.col("text").cast("binary")))
+    named = named.withColumn("_own", own)
     found = near_duplicates(named.select(F.col("_own").alias("doc_id"), "text"), size, percent, spread)
     stay = found.where("kept AND doc_id IS NOT NULL").select(F.col("doc_id").alias("_stay")).distinct()
     kept = named.join(stay, F.col("_own") == F.col("_stay"), "left_semi").dropDuplicates(["_own"])
