@@ -2,7 +2,8 @@
 
 A call asks for a key (series, industry or state) and a span of years. The facts are
 first reduced to one row per key with the years it has data for, and stored. Requests are
-joined with that table, broadcast if its size on disk allows, and put together again per answer.
+joined with that table, broadcast if its size on disk allows, once per distinct list of requests, and the
+answers look up what their list found.
 """
 
 from __future__ import annotations
@@ -80,39 +81,39 @@ def _has_data(years: Column, low: Column, high: Column) -> Column:
     return F.coalesce(F.exists(years, lambda y: y.between(low, high)), F.lit(False))
 
 
-def _answer_id(df: DataFrame) -> Column:
-    """Identity of a row by its content; maps and variants are left out of it."""
-    plain = [F.col(f"`{c}`") for c, kind in df.dtypes if "map<" not in kind and "variant" not in kind]
-    return F.struct(F.xxhash64(*plain).alias("x"), F.xxhash64(F.lit(1), *plain).alias("y"))
+def _asked(requests: Column) -> Column:
+    """What the requests that can be run ask for."""
+    fields = ("domain", "key", "low", "high")
+    return F.transform(F.filter(requests, lambda r: r["ok"]), lambda r: F.struct(*[r[f].alias(f) for f in fields]))
+
+
+def _list_id(asked: Column) -> list[Column]:
+    """Identity of a list of requests by its content; NULL without requests."""
+    some = F.size(asked) > 0
+    return [F.when(some, F.xxhash64(asked)).alias("_x"), F.when(some, F.xxhash64(F.lit(1), asked)).alias("_y")]
+
+
+def _found_data(asked: DataFrame, coverage: DataFrame) -> DataFrame:
+    """``(_x, _y, _found)``: how many requests of each distinct list in ``_asked`` find a fact row, if any does."""
+    lists = asked.where(F.size("_asked") > 0).distinct()
+    each = lists.select(*_list_id(F.col("_asked")), F.explode("_asked").alias("_r"))
+    met = each.join(coverage, (F.col("_r.domain") == F.col("domain")) & (F.col("_r.key") == F.col("key")))
+    hits = met.where(_has_data(F.col("years"), F.col("_r.low"), F.col("_r.high")))
+    return hits.groupBy("_x", "_y").agg(F.count(F.lit(1)).alias("_found"))
 
 
 def result_accuracy(df: DataFrame, coverage: DataFrame) -> DataFrame:
     """Add ``result``: the share of a row's calls that find at least one fact row.
 
-    ``df`` carries ``requests``. A row is known by its content, and rows with equal content are
-    counted and put back, so neither keys nor repeated answers need be unique. A row travels with its first
-    request only, so it is shuffled once. Requests that cannot be run get a key of their own that
-    matches no fact, which keeps them evenly spread should the join have to shuffle.
+    ``df`` carries ``requests``. It is stored, so that its calls are parsed once. Only the distinct lists of
+    requests are put to the facts; the rows then look up the count of their list, and so are not grouped and need
+    no keys. They stay where they are if the counts can be broadcast by their size on disk. Rows that ask for
+    nothing get a key of their own that matches no count, which spreads them should the join have to shuffle.
     """
-    first = F.coalesce("_pos", F.lit(0)) == 0
-    spread = df.select(_answer_id(df).alias("_id"), F.struct(*[f"`{c}`" for c in df.columns]).alias("_row"), F.posexplode_outer("requests").alias("_pos", "_r"))
-    asked = spread.select(
-        "_id",
-        F.when(first, F.col("_row")).alias("_row"),
-        first.alias("_first"),
-        F.when(F.col("_r.ok"), F.col("_r.domain")).otherwise("none").alias("_domain"),
-        F.when(F.col("_r.ok"), F.col("_r.key")).otherwise(F.concat(F.lit("none:"), F.col("_id.x").cast("string"))).alias("_key"),
-        F.col("_r.low").alias("_low"),
-        F.col("_r.high").alias("_high"),
-    )
-    together = (
-        asked.join(coverage, (F.col("_domain") == F.col("domain")) & (F.col("_key") == F.col("key")), "left")
-        .groupBy("_id")
-        .agg(
-            F.first("_row", ignorenulls=True).alias("_row"),
-            F.count_if("_first").alias("_copies"),
-            F.count_if(_has_data(F.col("years"), F.col("_low"), F.col("_high"))).alias("_found"),
-        )
-    )
-    share = _share(F.col("_found") / F.col("_copies"), F.col("_row.requests")).alias("result")
-    return together.select("_row.*", share, F.explode(F.sequence(F.lit(1), F.col("_copies"))).alias("_copy")).drop("_copy")
+    rows = stored(df, "requests")
+    found = stored(_found_data(rows.select(_asked(F.col("requests")).alias("_asked")), coverage), "found")
+    x, y = _list_id(F.col("_asked"))
+    own = F.monotonically_increasing_id()
+    keyed = rows.withColumn("_asked", _asked(F.col("requests"))).withColumns({"_x": F.coalesce(x, own), "_y": y})
+    share = _share(F.coalesce("_found", F.lit(0)), F.col("requests")).alias("result")
+    return keyed.join(found, ["_x", "_y"], "left").select(*[f"`{c}`" for c in df.columns], share)

@@ -308,6 +308,28 @@ def test_calls_meet_the_facts(spark, coverage):
     assert sorted((r.i, r.t, round(r.result, 9)) for r in got.collect()) == sorted((i, t, round(want[texts.index(t)], 9)) for i, t in rows)
 
 
+def test_answers_are_neither_sorted_nor_shuffled(spark, coverage):
+    """Grouping whole answers held all of a task's answers in memory; rows that differ in a map only stay rows of their own."""
+    texts = ["get_gdp_by_industry(year=2016)", "get_gdp_by_industry(year=2016) get_regional_income(state=TX)", "get_gdp_by_industry(year=1)", "get_gdp_by_industry(year=soon)", "nothing", None]
+    want = dict(zip(texts, [1.0, 0.5, 0.0, 0.0, 0.0, 0.0]))
+    df = spark.createDataFrame([(i, t) for t in texts for i in (1, 1, 2)], "i int, t string").withColumn("m", F.create_map(F.lit("i"), "i")).drop("i")
+    df = with_requests(df.withColumn("predicted", extract_calls_labelled(F.col("t"))))
+    expected = sorted(str((t, i, want[t])) for t in texts for i in (1, 1, 2))
+
+    def answers(out):
+        return sorted(str((r.t, r.m["i"], r.result)) for r in out.collect())
+
+    looked_up = result_accuracy(df, coverage)
+    assert answers(looked_up) == expected
+    plan = looked_up._jdf.queryExecution().executedPlan().toString()
+    assert "Sort" not in plan and "hashpartitioning" not in plan
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert answers(result_accuracy(df, coverage)) == expected
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 def test_empty_results_report(spark):
     empty = spark.createDataFrame(
         [], "evaluation_type string, difficulty string, is_correct boolean, score double, execution_time double, error_message string"
